@@ -49,9 +49,10 @@ def classify_rows(raw: DataFrame, width: int = 65_536) -> DataFrame:
     ids = number_within(
         parsed.where("date_error is null").select("company_id", "source_incident_id", "source_row_number"),
         ["company_id", "source_incident_id"], "source_row_number", "use", width)
-    return parsed.join(ids.drop("source_incident_id"), ["company_id", "source_row_number"], "left") \
-        .withColumn("id", F.when(F.col("use") > 1, F.concat_ws("-", "source_incident_id", F.col("use").cast("string")))
-                    .otherwise(F.when(F.col("use") == 1, F.col("source_incident_id"))))
+    again = ids.where("use > 1").drop("source_incident_id")
+    return parsed.join(again, ["company_id", "source_row_number"], "left") \
+        .withColumn("id", F.when(F.col("date_error").isNull(), F.concat_ws(
+            "-", "source_incident_id", F.col("use").cast("string"))))
 
 
 def row_issues(rows: DataFrame) -> DataFrame:
@@ -179,7 +180,7 @@ def sequence_members(rows: DataFrame, breaks: DataFrame, hot_rows: int = HOT_ROW
         "company_id", "source_row_number", "source_incident_id",
         trailing_number(F.col("source_incident_id")).alias("n")).where("n is not null")
     sizes = numbered.groupBy("company_id").agg(F.count(F.lit(1)).alias("key_rows"))
-    return attach(numbered, sizes.join(breaks, "company_id"), ["company_id"], "key_rows",
+    return attach(numbered, sizes.join(breaks, "company_id", "left"), ["company_id"], "key_rows",
                   F.col("source_row_number"), hot_rows) \
         .where("n >= resumes_at") \
         .select("company_id", F.lit("INC-ID-SEQUENCE-01").alias("rule_id"),
