@@ -9,11 +9,16 @@ from sitelens.sources.reference import FACTOR_KEY_BY_ACTIVITY
 AREA_NAMES = ["Open Cut - North Pit", "Open Cut - South Pit", "Processing Plant", "Site Services",
               "Haul Fleet", "Light Vehicles", "Tailings Dam", ""]
 WORDS = ["amba", "birk", "codo", "dusk", "elmy", "fjor", "gyps", "hemp", "iron", "jute"]
+SPREAD = {"lineitem", "orders", "documents", "customer"}
 FACTORS = [("diesel", 1, "L", "2.7000"), ("petrol_ulp", 1, "L", "2.3100"), ("grid_electricity_qld", 2, "kWh", "0.7100")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. Its file holds one row group, which one task would read whole,
+    so a scan with fewer splits than cores is spread; a larger input is left as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if name not in SPREAD or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def pick(values: list[str], index) -> F.Column:
@@ -136,8 +141,8 @@ def finding_raw(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     doc, n = F.col("doc_id"), F.length("text")
     quote = F.substring("text", F.floor(n / 3).cast("int") + 1, F.lit(60))
-    spoilt = F.when(doc % 7 == 1, F.upper(quote)).when(doc % 7 == 2, F.lit("   \n")) \
-        .when(doc % 7 == 3, F.concat(F.lit("  "), quote, F.lit("\n "))).otherwise(quote)
+    spoilt = F.when(doc % 7 == 1, F.upper(quote)).when(doc % 7 == 2, F.lit("   \n")) \
+        .when(doc % 7 == 3, F.concat(F.lit("  "), quote, F.lit("\n "))).otherwise(quote)
     both = docs.select("doc_id", "lang", F.explode(F.array(
         F.struct(F.lit(0).alias("turn"), spoilt.alias("q")),
         F.struct(F.lit(1).alias("turn"), quote.alias("q")))).alias("f"))

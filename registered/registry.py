@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from registered import inputs
 from registered.ctes import pct, query
 from sitelens.functions import normalise
+from sitelens.functions.numbers import strip
 from sitelens.functions.robust import robust_outliers
 from sitelens.operators import citations, contracts, electricity, fuel, grounding, incidents, suppliers
 from sitelens.operators.ledger import findings_report, findings_totals
@@ -130,7 +131,7 @@ def _(spark, d):
         CAST(sum(CASE WHEN number = 0 THEN NULL ELSE CAST(floor(number * factor * 100 + 0.5) / 100 AS DECIMAL(14,2)) END) AS DOUBLE) AS litres
       FROM (SELECT * REPLACE (CASE WHEN number = 0 THEN NULL ELSE factor END AS factor) FROM fuel_parsed) GROUP BY 1, 2, 3""", "fuel_parsed"))
 def _(spark, d):
-    raw = inputs.fuel_raw(spark, d).withColumn("r", normalise.normalise_quantity(F.col("quantity"), F.col("unit")))
+    raw = inputs.fuel_raw(spark, d).withColumn("r", normalise.normalise_quantity(strip(F.col("quantity")), strip(F.col("unit"))))
     return raw.groupBy("company_id", F.coalesce("r.error", F.lit("ok")).alias("outcome"),
                        F.coalesce("r.factor", F.lit(0)).alias("factor")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("r.litres").alias("litres"))
@@ -151,7 +152,7 @@ def _(spark, d):
       BETWEEN 1.0 AND 3.0, false) AS plausible FROM fuel_parsed WHERE number <> 0 AND factor IS NOT NULL) GROUP BY 1, 2""", "fuel_parsed"))
 def _(spark, d):
     raw = inputs.fuel_raw(spark, d) \
-        .withColumn("q", normalise.normalise_quantity(F.col("quantity"), F.col("unit"))) \
+        .withColumn("q", normalise.normalise_quantity(strip(F.col("quantity")), strip(F.col("unit")))) \
         .withColumn("c", normalise.parse_amount(F.col("cost"))).where("q.error is null")
     price = normalise.implied_price(F.col("c.value"), F.col("q.litres"))
     return raw.groupBy("company_id", normalise.price_is_plausible(price).alias("plausible")).agg(F.count(F.lit(1)).alias("n"))
@@ -929,7 +930,7 @@ def _(spark, d):
 
 
 @register("text_numbers", r"""SELECT conv_id, turn, len(t) AS numbers, CAST(list_sum(list_transform(t, lambda x: CAST(replace(x, ',', '') AS DOUBLE))) AS DOUBLE) AS total
-  FROM (SELECT conv_id, turn, regexp_extract_all(translate(text, '−–', '--'), '-?\d[\d,]*(?:\.\d+)?') AS t FROM conversations) WHERE len(t) > 0""")
+  FROM (SELECT conv_id, turn, regexp_extract_all(translate(text, chr(8722) || chr(8211), '--'), '-?\d[\d,]*(?:\.\d+)?') AS t FROM conversations) WHERE len(t) > 0""")
 def _(spark, d):
     tokens = citations.number_tokens(F.col("text"))
     value = F.aggregate("t", F.lit(0.0), lambda s, x: s + F.replace(x, F.lit(","), F.lit("")).cast("double"))

@@ -1,10 +1,14 @@
-"""Value normalisers. Each returns a struct whose ``error`` is null on success."""
+"""Value normalisers. Each returns a struct whose ``error`` is null on success.
+
+They read text that ``numbers.strip`` has trimmed: operators trim every field once, in
+a projection of its own, instead of once per use.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from sitelens.functions.numbers import money_half_up, parse_decimal, strip
+from sitelens.functions.numbers import money_half_up, parse_decimal
 
 # ---------------------------------------------------------------- fixed values
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun",
@@ -27,20 +31,17 @@ def _lookup(table: dict, key: Column) -> Column:
     return F.element_at(F.create_map(*pairs), key)
 
 
-def normalise_date(raw: Column) -> Column:
+def normalise_date(text: Column) -> Column:
     """ISO, day-first slash or ``Mon-yy`` text to a calendar date.
 
     Returns ``struct<value DATE, precision, format, error>``. Error codes: empty,
     not-a-date, month-first (valid only the other way round), unknown-month,
     unknown-format. ``Mon-yy`` means year 2000+yy, day 1, precision ``month``.
     """
-    text = strip(raw)
     iso = F.when(text >= "0100", text.try_cast("date"))
-    part = F.split(text, "/")
-    year = F.when(part[2] >= "0100", part[2])
-    first, second = F.lpad(part[0], 2, "0"), F.lpad(part[1], 2, "0")
-    day_first = F.concat_ws("-", year, second, first).try_cast("date")
-    month_first = F.concat_ws("-", year, first, second).try_cast("date")
+    slashed = F.right(text, F.lit(4)) >= "0100"
+    day_first = F.when(slashed, F.try_to_date(text, "d/M/yyyy"))
+    month_first = F.when(slashed, F.try_to_date(text, "M/d/yyyy"))
     month_no = F.array_position(F.array(*[F.lit(m) for m in MONTHS]),
                                 F.lower(F.substring(text, 1, 3)))
     anchored = F.make_date(F.lit(2000) + F.right(text, F.lit(2)).cast("int"), month_no, F.lit(1))
@@ -74,12 +75,12 @@ def month_start(day: Column) -> Column:
     return F.trunc(day, "MM")
 
 
-def normalise_quantity(raw_quantity: Column, raw_unit: Column) -> Column:
+def normalise_quantity(quantity_text: Column, unit_text: Column) -> Column:
     """Quantity and unit text to litres: ``struct<litres, unit, factor, error>``."""
-    quantity_text, unit_text = strip(raw_quantity), strip(raw_unit)
-    number = parse_decimal(F.translate(quantity_text, ",", ""), "decimal(20,6)")
+    number = parse_decimal(F.translate(quantity_text, ",", ""), "decimal(18,6)")
     factor = _lookup(LITRES_PER_UNIT, F.lower(unit_text))
-    litres = money_half_up((number * factor).cast("decimal(26,6)"))
+    litres = F.when(factor == 1, money_half_up(number)) \
+        .otherwise(money_half_up((number * factor).cast("decimal(24,6)")))
     error = (
         F.when(quantity_text == "", F.lit("quantity-empty"))
         .when(unit_text == "", F.lit("unit-empty"))
@@ -104,13 +105,12 @@ def price_is_plausible(price: Column) -> Column:
     return F.coalesce(price.between(*PRICE_BAND), F.lit(False))
 
 
-def parse_amount(raw: Column) -> Column:
+def parse_amount(text: Column) -> Column:
     """Currency text to DECIMAL: ``struct<value, formatted, error>``.
 
     A minus anywhere makes the amount negative. ``formatted`` says that the text
     carried a currency sign or thousands separators.
     """
-    text = strip(raw)
     number = F.translate(text, "$,-", "").try_cast("decimal(14,2)")
     signed = F.when(text.contains("-"), -number).otherwise(number)
     error = (
@@ -125,9 +125,8 @@ def parse_amount(raw: Column) -> Column:
     )
 
 
-def normalise_severity(raw: Column) -> Column:
+def normalise_severity(text: Column) -> Column:
     """``struct<severity, scale, error>``; scale is ``numeric`` or ``ordinal-text``."""
-    text = strip(raw)
     numeric = F.when(text.rlike("^[123]$"), text.cast("int"))
     ordinal = _lookup(ORDINAL_SEVERITY, F.lower(text))
     return F.struct(

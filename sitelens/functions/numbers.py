@@ -14,14 +14,18 @@ DECIMAL_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,2})?$"
 
 
 def strip(value: Column) -> Column:
-    """Trim every Unicode space from both ends (plain ``trim`` removes U+0020 only)."""
-    return F.btrim(value, F.lit(WHITE_SPACE))
+    """Trim every Unicode space from both ends (plain ``trim`` removes U+0020 only).
+
+    A value that starts and ends with a printable ASCII character needs no trimming;
+    the test is much cheaper than the general trim.
+    """
+    bare = F.ascii(value).between(33, 126) & F.ascii(F.substring(value, -1, 1)).between(33, 126)
+    return F.when(bare, value).otherwise(F.btrim(value, F.lit(WHITE_SPACE)))
 
 
 def parse_decimal(text: Column, dtype: str = "decimal(24,6)") -> Column:
-    """Decimal value of a plain number, null for anything else (blank included)."""
-    value = strip(text)
-    return F.when(value.rlike(DECIMAL_TEXT), value.try_cast(dtype))
+    """Decimal value of a plain trimmed number, null for anything else (blank included)."""
+    return F.when(text.rlike(DECIMAL_TEXT), text.try_cast(dtype))
 
 
 def round_half_up(value: Column, digits: int) -> Column:
@@ -36,7 +40,8 @@ def round_half_up(value: Column, digits: int) -> Column:
 def money_half_up(value: Column) -> Column:
     """Decimal value to two places, ties toward +infinity, as DECIMAL(14,2)."""
     cents = F.floor(value * F.lit(100) + F.expr("0.5BD"))
-    return (cents.cast("decimal(20,0)") * F.expr("0.01BD")).cast("decimal(14,2)")
+    below_zero = (cents.cast("decimal(20,0)") * F.expr("0.01BD")).cast("decimal(14,2)")
+    return F.when(value >= 0, F.round(value, 2).cast("decimal(14,2)")).otherwise(below_zero)
 
 
 def plain(value: Column) -> Column:

@@ -14,7 +14,7 @@ def factor_table(raw: DataFrame) -> DataFrame:
     return raw.select(
         lookup(FACTOR_KEY_BY_ACTIVITY, activity).alias("factor_key"), activity.alias("activity"),
         strip(F.col("scope")).try_cast("smallint").alias("scope"), strip(F.col("unit")).alias("unit"),
-        parse_decimal(F.col("kg_co2e_per_unit")).cast("decimal(10,4)").alias("kg_co2e_per_unit"),
+        parse_decimal(strip(F.col("kg_co2e_per_unit"))).cast("decimal(10,4)").alias("kg_co2e_per_unit"),
         strip(F.col("source")).alias("source"), "company_id", "source_row_number")
 
 

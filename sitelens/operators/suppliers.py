@@ -31,14 +31,15 @@ class SupplierResult(NamedTuple):
 
 def parse_suppliers(raw: DataFrame) -> DataFrame:
     """A spend that cannot be read, blank included, stays null."""
-    name, category = strip(F.coalesce("supplier_name", F.lit(""))), strip(F.coalesce("category", F.lit("")))
-    abn_text = strip(F.coalesce("abn", F.lit("")))
-    return raw.withColumn("a", normalise_abn(F.col("abn"))).select(
-        "company_id", F.col("source_row_number").cast("bigint").alias("source_row_number"),
-        name.alias("supplier_name"), canonical_name(name).alias("name_canonical"),
-        F.when(abn_text != "", abn_text).alias("abn_raw"), F.col("a.digits").alias("abn"),
+    text = raw.select("company_id", F.col("source_row_number").cast("bigint").alias("source_row_number"),
+                      *[strip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in RAW_COLUMNS])
+    parsed = text.withColumn("a", normalise_abn(F.col("abn")))
+    return parsed.select(
+        "company_id", "source_row_number", "supplier_name",
+        canonical_name(F.col("supplier_name")).alias("name_canonical"),
+        F.when(F.col("abn") != "", F.col("abn")).alias("abn_raw"), F.col("a.digits").alias("abn"),
         F.col("a.well_formed").alias("abn_well_formed"), F.col("a.checksum_valid").alias("abn_valid"),
-        F.when(category != "", category).alias("category"),
+        F.when(F.col("category") != "", F.col("category")).alias("category"),
         parse_decimal(F.col("fy_spend_aud")).cast("decimal(14,2)").alias("fy_spend_aud"))
 
 

@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sitelens.functions.numbers import strip
+from sitelens.operators.skew import attach
 from sitelens.operators.rules import EXPORT_FILES, FACTOR_FILE, FUEL_FILE, INCIDENT_FILE, POWER_FILE, SUPPLIER_FILE
 
 # Header name of every column the operators read (fixed values).
@@ -59,14 +60,19 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         "value")
 
 
-def split_fields(line: Column) -> Column:
-    """Fields of one CSV record; quotes removed, doubled quotes undone."""
+def field_parts(line: Column) -> Column:
+    """Fields of one CSV record as written, each with a leading comma."""
     # The added comma lets every field, an empty one too, start with a comma.
-    parts = F.regexp_extract_all(
-        F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,"]*)'), F.lit(1))
+    return F.regexp_extract_all(
+        F.concat(F.lit(","), line), F.lit(r',(?:"(?:[^"]|"")*"|[^,"]*)'), F.lit(0))
+
+
+def unquoted(parts: Column) -> Column:
+    """Field values: quotes removed, doubled quotes undone."""
     return F.transform(parts, lambda p: F.when(
-        p.startswith('"'),
-        F.replace(F.substring(p, F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))).otherwise(p))
+        p.startswith(',"'),
+        F.replace(F.substring(p, F.lit(3), F.length(p) - 3), F.lit('""'), F.lit('"')))
+        .otherwise(F.substring(p, F.lit(2), F.length(p))))
 
 
 def read_export(spark: SparkSession, root: str, file_name: str) -> Export:
@@ -79,24 +85,21 @@ def read_export(spark: SparkSession, root: str, file_name: str) -> Export:
     lines = numbered_lines(spark, path).select(
         F.regexp_extract("file", r"company_id=(\d+)", 1).cast("bigint").alias("company_id"),
         "source_row_number",
-        F.when(F.col("source_row_number") == 1, F.regexp_replace("value", "^﻿", ""))
+        F.when(F.col("source_row_number") == 1, F.regexp_replace("value", r"^\x{FEFF}", ""))
         .otherwise(F.col("value")).alias("value"))
-    raw_headers = split_fields(F.col("value"))
+    names = unquoted(field_parts(F.col("value")))
     headers = lines.where("source_row_number = 1").select(
-        "company_id", raw_headers.alias("raw_headers"),
-        F.transform(raw_headers, strip).alias("headers"))
-    records = lines.where("source_row_number > 1").where(strip(F.col("value")) != "") \
-        .withColumn("fields", split_fields(F.col("value"))) \
-        .join(F.broadcast(headers.select("company_id", "headers")) if _few(headers) else
-              headers.select("company_id", "headers"), "company_id")
+        "company_id", names.alias("raw_headers"), F.transform(names, strip).alias("headers"))
+    records = _with_headers(
+        lines.where("source_row_number > 1").where(strip(F.col("value")) != ""), headers)
+    records = records.withColumn("parts", field_parts(F.col("value")))
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    rebuilt = F.aggregate("fields", F.lit(0), lambda n, f: n + F.length(f)) + F.size("fields") - 1
-    plain_line = ~F.col("value").contains('"')
+    matched = F.aggregate("parts", F.lit(0), lambda n, p: n + F.length(p))
     problem = F.when(quotes % 2 == 1, "unbalanced-quote") \
-        .when(plain_line & (rebuilt != F.length("value")), "misplaced-quote") \
-        .when(F.size("fields") != F.size("headers"), "ragged-row")
-    records = records.withColumn("problem", problem)
-    cell = {name: F.coalesce(F.get("fields", F.array_position("headers", F.lit(header)).cast("int") - 1), F.lit(""))
+        .when(matched != F.length("value") + 1, "misplaced-quote") \
+        .when(F.size("parts") != F.size("headers"), "ragged-row")
+    records = records.withColumn("problem", problem).withColumn("fields", unquoted(F.col("parts")))
+    cell = {name: F.coalesce(F.get("fields", F.array_position("headers", header).cast("int") - 1), F.lit(""))
             for name, header in HEADERS[file_name].items()}
     return Export(
         records.where("problem is null").select(
@@ -105,9 +108,14 @@ def read_export(spark: SparkSession, root: str, file_name: str) -> Export:
         records.where("problem is not null").select("company_id", "source_row_number", "problem"))
 
 
-def _few(headers: DataFrame, limit: int = 100_000) -> bool:
-    """Whether there are few enough files to broadcast their headers."""
-    return headers.limit(limit + 1).count() <= limit
+def _with_headers(lines: DataFrame, headers: DataFrame, limit: int = 100_000) -> DataFrame:
+    """Header names beside each line: broadcast up to ``limit`` files, else skew-safe."""
+    names = headers.select("company_id", "headers")
+    if names.limit(limit + 1).count() <= limit:
+        return lines.join(F.broadcast(names), "company_id")
+    sizes = lines.groupBy("company_id").agg(F.count(F.lit(1)).alias("key_rows"))
+    return attach(lines, sizes.join(names, "company_id"), ["company_id"], "key_rows",
+                  F.col("source_row_number")).drop("key_rows")
 
 
 def require_whole(export: Export, file_name: str) -> None:
@@ -131,7 +139,7 @@ def intake(spark: SparkSession, root: str) -> DataFrame:
     return files.select(
         F.regexp_extract("path", r"company_id=(\d+)", 1).cast("bigint").alias("company_id"),
         F.element_at(F.split("path", "/"), -1).alias("role"), F.col("length").alias("bytes"),
-        (F.length(strip(F.regexp_replace(F.col("content").cast("string"), "^﻿", ""))) == 0).alias("blank"),
+        (F.length(strip(F.regexp_replace(F.col("content").cast("string"), r"^\x{FEFF}", ""))) == 0).alias("blank"),
         head.rlike("^(..)*00").alias("binary"))
 
 
