@@ -52,7 +52,7 @@ NUMBER = r"'[+-]?(\d+\.?\d*|\.\d+)'"
 
 
 def pct(actual: str, base: str) -> str:
-    return f"CASE WHEN {base} = 0 THEN 0.0 ELSE floor(({actual} - {base}) / {base} * 100.0 * 10 + 0.5) / 10 END"
+    return f"CASE WHEN {base} = 0 AND outage_month IS NOT NULL THEN 0.0 ELSE floor(({actual} - {base}) / {base} * 100.0 * 10 + 0.5) / 10 END"
 
 
 def issue(rule: str, source: str, where: str, key: str = "NULL", field: str | None = None, line: str = "source_row_number",
@@ -316,7 +316,7 @@ CTES: dict[str, tuple[list[str], str]] = {
       FROM supplier_raw"""),
     "supplier_checked": (["supplier_parsed"], """SELECT *, coalesce(length(abn) = 11, false) AS abn_well_formed,
       coalesce(length(abn) = 11 AND (list_sum(list_transform([10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19],
-        lambda w, i: w * CAST(substr(abn, i, 1) AS INT))) - 10) % 89 = 0, false) AS abn_valid FROM supplier_parsed"""),
+        lambda w, i: w * TRY_CAST(substr(abn, i, 1) AS INT))) - 10) % 89 = 0, false) AS abn_valid FROM supplier_parsed"""),
     "supplier_names": (["supplier_parsed"], "SELECT company_id, name_canonical AS name, min(source_row_number) AS node FROM supplier_parsed GROUP BY 1, 2"),
     "supplier_pairs": (["supplier_names", "supplier_parsed"], """SELECT DISTINCT a.company_id, a.node AS a, b.node AS b FROM supplier_names a JOIN supplier_names b
         ON a.company_id = b.company_id AND a.node <> b.node AND abs(length(a.name) - length(b.name)) <= 2
@@ -401,7 +401,7 @@ CTES: dict[str, tuple[list[str], str]] = {
       CASE WHEN doc_id % 19 = 0 THEN 'INC-X' || doc_id ELSE 'DOC-' || doc_id END AS incident_id,
       CASE lang WHEN 'de' THEN 'Psychosocial hazard' ELSE 'Other' END AS category, lang = 'de' AS is_psychosocial,
       doc_id % 4 AS severity_assessment, CAST((doc_id % 120) / 100.0 AS DECIMAL(3,2)) AS confidence,
-      CASE WHEN turn = 1 THEN quote WHEN doc_id % 7 = 1 THEN upper(quote) WHEN doc_id % 7 = 2 THEN '   ' || chr(10)
+      CASE WHEN turn = 1 THEN quote WHEN doc_id % 7 = 1 THEN '~' || quote WHEN doc_id % 7 = 2 THEN '   ' || chr(10)
         WHEN doc_id % 7 = 3 THEN '  ' || quote || chr(10) || ' ' ELSE quote END AS evidence_quote,
       'm1' AS model, CASE turn WHEN 0 THEN 'v1' ELSE 'v2' END AS prompt_version, 1600000000 + doc_id * 60 + turn AS created
       FROM (SELECT *, substr(text, CAST(length(text) // 3 AS BIGINT) + 1, 60) AS quote, unnest([0, 1]) AS turn FROM documents)"""),

@@ -141,7 +141,7 @@ def finding_raw(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     doc, n = F.col("doc_id"), F.length("text")
     quote = F.substring("text", F.floor(n / 3).cast("int") + 1, F.lit(60))
-    spoilt = F.when(doc % 7 == 1, F.upper(quote)).when(doc % 7 == 2, F.lit("   \n")) \
+    spoilt = F.when(doc % 7 == 1, F.concat(F.lit("~"), quote)).when(doc % 7 == 2, F.lit("   \n")) \
         .when(doc % 7 == 3, F.concat(F.lit("  "), quote, F.lit("\n "))).otherwise(quote)
     both = docs.select("doc_id", "lang", F.explode(F.array(
         F.struct(F.lit(0).alias("turn"), spoilt.alias("q")),

@@ -36,39 +36,86 @@ def register(name: str, sql: str | None):
 
 
 # ------------------------------------------------------------- shared pipelines
+#
+# Cleaning queries run their pipeline from the raw rows. Report queries read the
+# loaded tables, as a user would: written once per application, then queried.
 
-def _fuel(spark, d, stage=materialise):
-    return fuel.clean_fuel(inputs.fuel_raw(spark, d), stage=stage)
+_loaded: dict[tuple, object] = {}
 
 
-def _power(spark, d, stage=materialise):
-    return electricity.clean_electricity(inputs.power_raw(spark, d), stage=stage)
+def _load(spark, d, name: str, make):
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _loaded:
+        _loaded[key] = make(spark, d)
+    return _loaded[key]
 
 
-def _incidents(spark, d, stage=materialise):
-    return incidents.clean_incidents(inputs.incident_raw(spark, d), stage=stage)
+def _stored(*tables_):
+    return [materialise(t) for t in tables_]
+
+
+def _fuel(spark, d):
+    return fuel.clean_fuel(inputs.fuel_raw(spark, d), stage=materialise)
+
+
+def _power(spark, d):
+    return electricity.clean_electricity(inputs.power_raw(spark, d), stage=materialise)
+
+
+def _incidents(spark, d):
+    return incidents.clean_incidents(inputs.incident_raw(spark, d), stage=materialise)
 
 
 def _suppliers(spark, d):
     return suppliers.clean_suppliers(inputs.supplier_raw(spark, d), stage=materialise)
 
 
+def fuel_tables(spark, d):
+    """Loaded fuel: facts, issues."""
+    def make(spark, d):
+        result = _fuel(spark, d)
+        return _stored(result.facts, result.issues)
+    return _load(spark, d, "fuel", make)
+
+
+def power_tables(spark, d):
+    """Loaded electricity: readings, meters, issues."""
+    def make(spark, d):
+        result = _power(spark, d)
+        return _stored(result.facts, result.meters, result.issues)
+    return _load(spark, d, "power", make)
+
+
+def incident_tables(spark, d):
+    """Loaded register: incidents, issues."""
+    def make(spark, d):
+        result = _incidents(spark, d)
+        return _stored(result.facts, result.issues)
+    return _load(spark, d, "incidents", make)
+
+
+def supplier_tables(spark, d):
+    """Loaded suppliers: facts, issues."""
+    def make(spark, d):
+        result = _suppliers(spark, d)
+        return _stored(result.facts, result.issues)
+    return _load(spark, d, "suppliers", make)
+
+
 def _fuel_facts(spark, d):
-    """Facts alone: one pass, nothing staged."""
-    return fuel.fuel_facts(fuel.row_issues(fuel.classify_rows(inputs.fuel_raw(spark, d))))
+    return fuel_tables(spark, d)[0]
 
 
 def _readings(spark, d):
-    return electricity.reading_facts(electricity.row_issues(
-        electricity.repair_units(electricity.parse_readings(inputs.power_raw(spark, d)))))
+    return power_tables(spark, d)[0]
 
 
 def _incident_facts(spark, d):
-    return incidents.incident_facts(incidents.row_issues(incidents.classify_rows(inputs.incident_raw(spark, d))))
+    return incident_tables(spark, d)[0]
 
 
 def _ledger(spark, d):
-    return _fuel(spark, d).issues.unionByName(_power(spark, d).issues).unionByName(_incidents(spark, d).issues)
+    return fuel_tables(spark, d)[1].unionByName(power_tables(spark, d)[2]).unionByName(incident_tables(spark, d)[1])
 
 
 def _v1(spark, d):
@@ -80,7 +127,7 @@ def _v3(spark, d):
 
 
 def _v4(spark, d):
-    facts = materialise(_fuel_facts(spark, d))
+    facts = _fuel_facts(spark, d)
     areas, _ = tables.known_site_areas(site_areas(spark), facts.select("company_id", "site_area"))
     return marts.scope1_by_site_area(facts, inputs.factors(spark), areas)
 
@@ -90,8 +137,8 @@ def _v6(spark, d):
 
 
 def _findings(spark, d):
-    return grounding.accepted_findings(grounding.verify_findings(
-        inputs.finding_raw(spark, d), inputs.finding_incidents(spark, d), ["model", "prompt_version"]))
+    return _load(spark, d, "findings", lambda spark, d: materialise(grounding.accepted_findings(grounding.verify_findings(
+        inputs.finding_raw(spark, d), inputs.finding_incidents(spark, d), ["model", "prompt_version"]))))
 
 
 ISSUE_COLUMNS = ["company_id", "rule_id", "source_file", "source_row_number", "record_key", "field",
@@ -193,7 +240,7 @@ def _(spark, d):
         count(*) FILTER (WHERE severity = 'error') AS errors FROM fuel_issues GROUP BY 1, 2) USING (company_id, source_row_number)""",
     "fuel_facts", "fuel_issues"))
 def _(spark, d):
-    return _fuel_facts(spark, d).drop("source_file")
+    return fuel.fuel_facts(fuel.row_issues(fuel.classify_rows(inputs.fuel_raw(spark, d)))).drop("source_file")
 
 
 @register("fuel_issues", query(_issues_sql + "fuel_issues", "fuel_issues"))
@@ -244,7 +291,8 @@ def _(spark, d):
     f"""SELECT company_id, source_row_number, meter_id, {_date('period')}, {_num('consumption_kwh')}, {_num('original_consumption')},
       original_unit, {_num('unit_correction_factor')} FROM power_facts""", "power_facts"))
 def _(spark, d):
-    return _readings(spark, d).drop("source_file", "issue_count", "error_count")
+    return electricity.reading_facts(electricity.row_issues(electricity.repair_units(electricity.parse_readings(
+        inputs.power_raw(spark, d))))).drop("source_file", "issue_count", "error_count")
 
 
 @register("electricity_issues", query(_issues_sql + "power_issues", "power_issues"))
@@ -281,7 +329,8 @@ def _(spark, d):
     f"""SELECT company_id, id, source_incident_id, {_date('incident_date')}, site_area, location_raw, type_code, {_int('severity')},
       severity_raw, md5(description) AS description_md5, source_row_number FROM incident_facts""", "incident_facts"))
 def _(spark, d):
-    return _incident_facts(spark, d).withColumn("description_md5", F.md5("description")).drop("description", "source_file")
+    return incidents.incident_facts(incidents.classify_rows(inputs.incident_raw(spark, d))) \
+        .withColumn("description_md5", F.md5("description")).drop("description", "source_file")
 
 
 @register("incident_issues", query(_issues_sql + "incident_issues", "incident_issues"))
@@ -302,13 +351,13 @@ def _(spark, d):
     f"""SELECT company_id, first_line, occurrences, locations, {_date('first_date')}, {_date('last_date')} FROM incident_reuse""",
     "incident_reuse"))
 def _(spark, d):
-    return incidents.reused_texts(incidents.classify_rows(inputs.incident_raw(spark, d))) \
+    return incidents.reused_texts(materialise(incidents.classify_rows(inputs.incident_raw(spark, d)))) \
         .select("company_id", "first_line", "occurrences", "locations", "first_date", "last_date")
 
 
 @register("incident_id_breaks", query("SELECT company_id, resumes_at FROM incident_jump", "incident_jump"))
 def _(spark, d):
-    return incidents.sequence_breaks(incidents.classify_rows(inputs.incident_raw(spark, d))).select("company_id", "resumes_at")
+    return incidents.sequence_breaks(materialise(incidents.classify_rows(inputs.incident_raw(spark, d)))).select("company_id", "resumes_at")
 
 
 # --------------------------------------------------------------------- suppliers
@@ -332,7 +381,7 @@ def _(spark, d):
         WHERE x.company_id = s.company_id AND x.duplicate_of_row = s.source_row_number), 0) AS DOUBLE) END AS consolidated_spend_aud
       FROM supplier_facts s""", "supplier_facts"))
 def _(spark, d):
-    return reports.find_suppliers(_suppliers(spark, d).facts).select(
+    return reports.find_suppliers(supplier_tables(spark, d)[0]).select(
         "company_id", "source_row_number", "supplier_name", "duplicate_of_row", "fy_spend_aud", "consolidated_spend_aud")
 
 
@@ -341,7 +390,7 @@ def _(spark, d):
       count(duplicate_of_row) AS duplicate_count, count(*) FILTER (WHERE abn IS NULL OR length(abn) <> 11) AS malformed_abn_count
       FROM supplier_facts GROUP BY 1""", "supplier_facts"))
 def _(spark, d):
-    return reports.supplier_list_totals(_suppliers(spark, d).facts)
+    return reports.supplier_list_totals(supplier_tables(spark, d)[0])
 
 
 @register("supplier_totals", query(
@@ -349,7 +398,7 @@ def _(spark, d):
       count(*) FILTER (WHERE NOT abn_valid) AS invalid_abn_count, CAST(sum(fy_spend_aud) AS DOUBLE) AS consolidated_spend_aud
       FROM supplier_facts GROUP BY 1""", "supplier_facts"))
 def _(spark, d):
-    return reports.supplier_totals(_suppliers(spark, d).facts)
+    return reports.supplier_totals(supplier_tables(spark, d)[0])
 
 
 # -------------------------------------------------------------------------- marts
@@ -499,8 +548,8 @@ _REGISTER_COLUMNS = """company_id, id, source_incident_id, incident_date, locati
 
 
 def _register_query(spark, d, **filters):
-    result = _incidents(spark, d)
-    return reports.find_incidents(result.facts, incident_types(spark), _as_register(spark, d), result.issues, **filters) \
+    facts, issues = incident_tables(spark, d)
+    return reports.find_incidents(facts, incident_types(spark), _as_register(spark, d), issues, **filters) \
         .withColumn("description_md5", F.md5("description")).drop("description")
 
 
@@ -528,8 +577,8 @@ def _(spark, d):
         contains(i.description, f.quote) FROM incident_facts i JOIN findings f ON f.company_id = i.company_id
         AND replace(f.incident_id, 'DOC-', 'INC-') = i.id""", "incident_facts", "incident_issues", "findings"))
 def _(spark, d):
-    result = _incidents(spark, d)
-    return reports.incident_audit_trail(result.facts, result.issues, rule_catalogue(spark), _as_register(spark, d)) \
+    facts, issues = incident_tables(spark, d)
+    return reports.incident_audit_trail(facts, issues, rule_catalogue(spark), _as_register(spark, d)) \
         .drop("title", "text", "created_at")
 
 
@@ -564,7 +613,7 @@ def _(spark, d):
     """SELECT company_id, 'severity' AS kind, severity AS key, count(*) AS issue_count FROM ledger GROUP BY 1, 2, 3
       UNION ALL SELECT company_id, 'action', action, count(*) FROM ledger GROUP BY 1, 2, 3""", "ledger"))
 def _(spark, d):
-    ledger = materialise(_ledger(spark, d))
+    ledger = _ledger(spark, d)
     return reports.issues_by(ledger, "severity").withColumn("kind", F.lit("severity")).unionByName(
         reports.issues_by(ledger, "action").withColumn("kind", F.lit("action")))
 
@@ -654,8 +703,8 @@ def _(spark, d):
     """SELECT f.company_id, f.meter_id, m.description, CAST(f.consumption_kwh AS DOUBLE) AS consumption_kwh FROM power_facts f
       LEFT JOIN meters m USING (company_id, meter_id) WHERE f.period = DATE '2021-03-01'""", "power_facts", "meters"))
 def _(spark, d):
-    result = _power(spark, d)
-    return reports.meters_for_month(result.facts, result.meters, F.to_date(F.lit("2021-03-01")))
+    readings, meters, _ = power_tables(spark, d)
+    return reports.meters_for_month(readings, meters, F.to_date(F.lit("2021-03-01")))
 
 
 @register("fuel_totals", query(
@@ -667,11 +716,11 @@ def _(spark, d):
 
 
 @register("electricity_totals", query(
-    """SELECT company_id, CAST(sum(consumption_kwh) AS DOUBLE) AS grid_kwh, 0.71 AS kg_co2e_per_unit, count(*) AS meter_readings,
+    """SELECT company_id, CAST(sum(consumption_kwh) AS DOUBLE) AS grid_kwh, CAST(0.71 AS DOUBLE) AS kg_co2e_per_unit, count(*) AS meter_readings,
       count(DISTINCT meter_id) AS meters FROM power_facts GROUP BY 1""", "power_facts"))
 def _(spark, d):
-    result = _power(spark, d)
-    return reports.electricity_totals(result.facts, result.meters, inputs.factors(spark))
+    readings, meters, _ = power_tables(spark, d)
+    return reports.electricity_totals(readings, meters, inputs.factors(spark))
 
 
 @register("load_history", query(
@@ -723,10 +772,10 @@ _FIGURES["figures"] = """SELECT t.company_id, t.outage_month, t.months_analysed,
 
 
 def _explain(spark, d):
-    burnt, power = materialise(_fuel_facts(spark, d)), _power(spark, d)
+    burnt, (readings, meters, _) = _fuel_facts(spark, d), power_tables(spark, d)
     factors = inputs.factors(spark)
-    v3 = marts.monthly_totals(marts.monthly_emissions(burnt, power.facts, factors))
-    return outage.explain(burnt, power.facts, power.meters, v3, _incident_facts(spark, d), _as_register(spark, d), factors)
+    v3 = materialise(marts.monthly_totals(marts.monthly_emissions(burnt, readings, factors)))
+    return outage.explain(burnt, readings, meters, v3, _incident_facts(spark, d), _as_register(spark, d), factors)
 
 
 @register("outage_summary", query(
@@ -747,15 +796,15 @@ def _(spark, d):
 @register("outage_meters", query(
     f"""SELECT company_id, meter_id, description, CAST(consumption_kwh AS DOUBLE) AS consumption_kwh, round(own, 1) AS baseline_kwh,
       {pct('CAST(consumption_kwh AS DOUBLE)', 'own')} AS change_pct, own > 0 AND consumption_kwh < own AS below_baseline
-      FROM (SELECT f.*, m.description, coalesce(h.own, 0.0) AS own FROM power_facts f JOIN target t USING (company_id)
+      FROM (SELECT f.*, t.outage_month, m.description, coalesce(h.own, 0.0) AS own FROM power_facts f JOIN target t USING (company_id)
         LEFT JOIN meters m USING (company_id, meter_id)
         LEFT JOIN (SELECT company_id, meter_id, median(CAST(consumption_kwh AS DOUBLE)) AS own FROM power_facts JOIN target USING (company_id)
           WHERE period <> outage_month GROUP BY 1, 2) h USING (company_id, meter_id) WHERE f.period = t.outage_month)""",
     "power_drops", "power_facts", "meters", "fuel_facts", extra=_TARGET))
 def _(spark, d):
-    power = _power(spark, d)
-    target = outage.anomalous_month(reports.monthly_electricity(power.facts))
-    return outage.meter_changes(power.facts, power.meters, target) \
+    readings, meters, _ = power_tables(spark, d)
+    target = outage.anomalous_month(reports.monthly_electricity(readings))
+    return outage.meter_changes(readings, meters, target) \
         .withColumn("baseline_kwh", F.round("baseline_kwh", 1))
 
 
@@ -827,7 +876,7 @@ def _(spark, d):
       UNION ALL SELECT * FROM findings a WHERE prompt_version = 'v1' AND NOT EXISTS (SELECT 1 FROM findings b
         WHERE b.company_id = a.company_id AND b.incident_id = a.incident_id AND b.prompt_version = 'v2'))""", "findings"))
 def _(spark, d):
-    found = materialise(_findings(spark, d))
+    found = _findings(spark, d)
     return grounding.merge_findings(found.where("prompt_version = 'v1'"), found.where("prompt_version = 'v2'")) \
         .select("company_id", "incident_id", "prompt_version", "seq")
 
@@ -853,7 +902,7 @@ def _(spark, d):
         UNION ALL SELECT *, 'mismatch' FROM findings WHERE severity_mismatch) f
       JOIN finding_incidents i ON i.company_id = f.company_id AND i.id = f.incident_id""", "findings", "finding_incidents"))
 def _(spark, d):
-    found = materialise(_findings(spark, d))
+    found = _findings(spark, d)
     docs = inputs.finding_incidents(spark, d).withColumn("type_code", F.lit("OTH")).withColumn("location_raw", F.lit(""))
     out = None
     for kind in ("psychosocial", "mismatch"):
@@ -954,11 +1003,10 @@ def _(spark, d):
 
 @register("fact_pack", None)
 def _(spark, d):
-    burnt, power, register_ = _fuel(spark, d), _power(spark, d), _incidents(spark, d)
-    partners = _suppliers(spark, d)
-    issues = burnt.issues.unionByName(power.issues).unionByName(register_.issues).unionByName(partners.issues)
-    return build_fact_pack(burnt.facts, power.facts, power.meters, register_.facts, partners.facts,
-                           materialise(_as_register(spark, d)), materialise(issues), inputs.factors(spark),
+    partners, partner_issues = supplier_tables(spark, d)
+    readings, meters, _ = power_tables(spark, d)
+    return build_fact_pack(_fuel_facts(spark, d), readings, meters, _incident_facts(spark, d), partners,
+                           _as_register(spark, d), _ledger(spark, d).unionByName(partner_issues), inputs.factors(spark),
                            incident_types(spark), rule_catalogue(spark))
 
 
@@ -980,12 +1028,12 @@ def _(spark, d):
     "v3", "v5", "fuel_facts", "power_facts"))
 def _(spark, d):
     from sitelens.plans.factpack import emission_facts
-    burnt, power = materialise(_fuel_facts(spark, d)), _power(spark, d)
+    burnt, (readings, meters, _) = _fuel_facts(spark, d), power_tables(spark, d)
     factors = inputs.factors(spark)
-    v1 = materialise(marts.monthly_emissions(burnt, power.facts, factors))
+    v1 = materialise(marts.monthly_emissions(burnt, readings, factors))
     v3 = marts.monthly_totals(v1)
     blocks = emission_facts(v1, v3, marts.financial_years(v3), reports.fuel_totals(burnt, factors),
-                            reports.electricity_totals(power.facts, power.meters, factors))
+                            reports.electricity_totals(readings, meters, factors))
     facts = blocks[0]
     for block in blocks[1:]:
         facts = facts.unionByName(block)
@@ -1012,10 +1060,10 @@ def _(spark, d):
 
     areas = rows.select("company_id").distinct().select("company_id", F.explode(F.array(
         *[F.lit(n) for n in inputs.AREA_NAMES if n not in ("", "Tailings Dam")])).alias("site_area"))
-    power = _power(spark, d)
+    readings, meters, _ = power_tables(spark, d)
     found = _incident_facts(spark, d)
     return contracts.validate([
-        *contracts.fuel_checks(rows, inputs.factors(spark), areas), *contracts.reading_checks(power.facts, power.meters),
+        *contracts.fuel_checks(rows, inputs.factors(spark), areas), *contracts.reading_checks(readings, meters),
         contracts.refers(found, "incident-type", {"type_code": "code"}, incident_types(spark)),
         contracts.unique(found, "incident-unique", ["company_id", "id"]),
         *contracts.load_checks(inputs.loads(spark, d))])

@@ -13,6 +13,7 @@ from sitelens.operators.ledger import (
     LISTED_MEMBERS, collect_row_issues, explode_issues, file_issue, issue)
 from sitelens.operators.rules import POWER_FILE
 from sitelens.operators.skew import HOT_ROWS, attach, exact_median
+from sitelens.session import materialise
 
 RAW_COLUMNS = ["meter_id", "meter_description", "period", "consumption", "unit"]
 
@@ -44,13 +45,15 @@ def parse_readings(raw: DataFrame) -> DataFrame:
     ).withColumn("reject", F.col("period").isNull() | F.col("value").isNull())
 
 
-def repair_units(parsed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def repair_units(parsed: DataFrame, hot_rows: int = HOT_ROWS,
+                 stage: Callable[[DataFrame], DataFrame] = materialise) -> DataFrame:
     """Find readings in MWh labelled kWh by each meter's own scale and repair them.
 
     A positive reading is suspect at 10^2.5 or more below the meter's maximum. The
     reference is the median of the meter's other readings. x1000 is accepted only
     near the reference; otherwise the reading is kept and flagged. A meter without
-    a positive reading keeps its rows.
+    a positive reading keeps its rows. The marked rows are staged once, because the
+    median, the suspects and the rest all read them.
     """
     keys = ["company_id", "meter_id"]
     usable = F.when(~F.col("reject"), F.col("value"))
@@ -61,7 +64,7 @@ def repair_units(parsed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     suspect = F.coalesce(
         ~F.col("reject") & (F.col("value") > 0)
         & (F.log10(value) <= F.log10(F.col("top").cast("double")) - MAGNITUDE_GAP), F.lit(False))
-    marked = topped.withColumn("suspect", suspect)
+    marked = stage(topped.withColumn("suspect", suspect))
     normal = exact_median(marked.where(~F.col("reject") & ~F.col("suspect")), keys, "value", 6,
                           "reference")
     # Only suspect rows need the reference, and only meters that have any.

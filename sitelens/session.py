@@ -24,6 +24,8 @@ def build_session(app: str = "sitelens", master: str = "local[*]",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # HotSpot does not compile methods beyond 8000 bytes of bytecode.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # Call-site capture makes building wide expressions several times slower.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )

@@ -60,19 +60,36 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         "value")
 
 
+# Stands for a field-separating comma while a record is taken apart.
+_SEPARATOR = "\x1f"
+
+
 def field_parts(line: Column) -> Column:
-    """Fields of one CSV record as written, each with a leading comma."""
-    # The added comma lets every field, an empty one too, start with a comma.
-    return F.regexp_extract_all(
-        F.concat(F.lit(","), line), F.lit(r',(?:"(?:[^"]|"")*"|[^,"]*)'), F.lit(0))
+    """Fields of one CSV record as written.
+
+    Between quote characters, every second stretch lies outside quotes; only there
+    is a comma a separator. No regular expression walks the (possibly long) fields.
+    """
+    stretches = F.transform(F.split(line, '"', -1), lambda s, i: F.when(
+        i % 2 == 0, F.replace(s, F.lit(","), F.lit(_SEPARATOR))).otherwise(s))
+    return F.split(F.array_join(stretches, '"'), _SEPARATOR, -1)
+
+
+def _inner(part: Column) -> Column:
+    return F.substring(part, F.lit(2), F.length(part) - 2)
 
 
 def unquoted(parts: Column) -> Column:
     """Field values: quotes removed, doubled quotes undone."""
     return F.transform(parts, lambda p: F.when(
-        p.startswith(',"'),
-        F.replace(F.substring(p, F.lit(3), F.length(p) - 3), F.lit('""'), F.lit('"')))
-        .otherwise(F.substring(p, F.lit(2), F.length(p))))
+        p.startswith('"'), F.replace(_inner(p), F.lit('""'), F.lit('"'))).otherwise(p))
+
+
+def _misquoted(part: Column) -> Column:
+    """A quote anywhere but around the whole field or doubled inside it."""
+    whole = part.startswith('"') & part.endswith('"') & (F.length(part) > 1)
+    stray = F.replace(_inner(part), F.lit('""'), F.lit("")).contains('"')
+    return part.contains('"') & (~whole | stray)
 
 
 def read_export(spark: SparkSession, root: str, file_name: str) -> Export:
@@ -94,9 +111,9 @@ def read_export(spark: SparkSession, root: str, file_name: str) -> Export:
         lines.where("source_row_number > 1").where(strip(F.col("value")) != ""), headers)
     records = records.withColumn("parts", field_parts(F.col("value")))
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    matched = F.aggregate("parts", F.lit(0), lambda n, p: n + F.length(p))
     problem = F.when(quotes % 2 == 1, "unbalanced-quote") \
-        .when(matched != F.length("value") + 1, "misplaced-quote") \
+        .when(F.exists("parts", _misquoted), "misplaced-quote") \
+        .when(F.col("value").contains(_SEPARATOR), "control-character") \
         .when(F.size("parts") != F.size("headers"), "ragged-row")
     records = records.withColumn("problem", problem).withColumn("fields", unquoted(F.col("parts")))
     cell = {name: F.coalesce(F.get("fields", F.array_position("headers", header).cast("int") - 1), F.lit(""))
