@@ -189,8 +189,8 @@ CTES: dict[str, tuple[list[str], str]] = {
     "power_raw": ([], """SELECT company_id, source_row_number, 'MTR-0' || n AS meter_id, meter_description,
       CASE WHEN o_orderkey % 199 = 0 THEN '2021/13' ELSE strftime(m, '%Y-%m') END AS period,
       CASE WHEN o_orderkey % 211 = 0 THEN 'n/a' ELSE CAST(CASE
-        WHEN n = 7 AND m >= DATE '2022-01-01' THEN CAST(round(price / 1000, 2) AS DECIMAL(14,2))
-        WHEN m = DATE '2021-03-01' THEN CAST(round(price / 4, 2) AS DECIMAL(14,2)) ELSE price END AS VARCHAR) END AS consumption,
+        WHEN n = 7 AND m >= DATE '2022-01-01' THEN CAST(round(price * 0.001, 2) AS DECIMAL(14,2))
+        WHEN m = DATE '2021-03-01' THEN CAST(round(price * 0.25, 2) AS DECIMAL(14,2)) ELSE price END AS VARCHAR) END AS consumption,
       'kWh' AS unit
       FROM (SELECT o_orderkey, o_custkey % 5 AS company_id, o_orderkey + 2 AS source_row_number,
         CASE WHEN (o_custkey // 5) % 6 = 5 THEN 7 ELSE (o_custkey // 5) % 6 + 1 END AS n,

@@ -78,8 +78,8 @@ def power_raw(spark: SparkSession, d: str) -> DataFrame:
     number = F.when(k == 5, 7).otherwise(k + 1).cast("int")
     price = F.col("o_totalprice").cast("decimal(14,2)")
     value = F.when((number == 7) & (F.col("m") >= F.lit("2022-01-01").cast("date")),
-                   F.round(price / 1000, 2).cast("decimal(14,2)")) \
-        .when(F.col("m") == F.lit("2021-03-01").cast("date"), F.round(price / 4, 2).cast("decimal(14,2)")) \
+                   F.round(price * F.expr("0.001BD"), 2).cast("decimal(14,2)")) \
+        .when(F.col("m") == F.lit("2021-03-01").cast("date"), F.round(price * F.expr("0.25BD"), 2).cast("decimal(14,2)")) \
         .otherwise(price)
     return o.select(
         (F.col("o_custkey") % 5).alias("company_id"), (F.col("o_orderkey") + 2).alias("source_row_number"),

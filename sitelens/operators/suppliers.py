@@ -99,10 +99,10 @@ def near_name_links(names: DataFrame) -> DataFrame:
     the square of a group.
     """
     long_enough = names.where(F.length("name_canonical") >= MIN_FUZZY_LENGTH)
-    # One name's equal keys collapse to the lowest role before the shuffle.
-    keys = long_enough.select(
-        "company_id", "node", F.explode(F.array_distinct(edit_signatures(F.col("name_canonical")))).alias("k")) \
-        .select("company_id", "node", F.col("k.key").alias("key"), F.col("k.role").alias("role"))
+    # Staged, because making the keys costs more than reading them back.
+    keys = materialise(long_enough.select(
+        "company_id", "node", F.explode(edit_signatures(F.col("name_canonical"))).alias("k"))
+        .select("company_id", "node", F.col("k.key").alias("key"), F.col("k.role").alias("role")))
     centres = keys.groupBy("company_id", "key").agg(
         F.min(F.col("role") * F.lit(_ROLE) + F.col("node")).alias("centre"),
         F.count(F.lit(1)).alias("members")).where("members > 1")
