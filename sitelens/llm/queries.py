@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import fingerprints, packing, pieces
-from sitelens.llm.common import table
+from sitelens.llm import fingerprints, packing, pieces, quality, toxicity
+from sitelens.llm.common import fold, table
 
 
 def tokenizer_file(name: str) -> bytes:
@@ -15,10 +15,21 @@ def tokenizer_file(name: str) -> bytes:
         return f.read()
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=fold("doc_id", 4) != 2)
+    return toxicity.scored(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"),
+                                               "score", "predicted")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -28,6 +39,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_importance_resampling": op1_importance_resampling,
+    "op7_toxicity": op7_toxicity,
     "op5_piece_encoding": op5_piece_encoding,
     "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
