@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitelens.llm import fingerprints, packing, pieces, quality, toxicity, voronoi, warc
+from sitelens.llm import fingerprints, packing, pieces, quality, suffixes, toxicity, voronoi, warc
 from sitelens.llm.common import fold, table
 
 
@@ -23,6 +23,10 @@ def op2_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.top_products(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(50)) == 0)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -49,6 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_voronoi_join": op2_voronoi_join,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op6_warc_index": op6_warc_index,
     "op7_toxicity": op7_toxicity,
     "op5_piece_encoding": op5_piece_encoding,
