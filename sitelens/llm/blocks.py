@@ -48,12 +48,16 @@ def places(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) % np.uint64(n_buckets) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
 
 
-def send(block: int, at: np.ndarray, counts: np.ndarray, n_buckets: int) -> pa.Table:
-    """Rows (bucket, block, keys, counts) of a block's distinct places, ascending."""
-    bucket = (at >> np.uint64(32)).astype(np.int64)
-    low = at.astype("<u4")
-    wide = "<u4" if counts.max(initial=0) > 255 else "u1"
-    counts = counts.astype(wide)
+def send(block: int, at: np.ndarray, counts: np.ndarray, first_bucket: int = 0,
+         keys: np.ndarray | None = None) -> pa.Table:
+    """Rows (bucket, block, keys, counts) of a block's distinct places, ascending.
+
+    ``keys``, in the same order, replaces the low bits where no two keys may be
+    taken for one (eight bytes each then).
+    """
+    bucket = (at >> np.uint64(32)).astype(np.int64) + first_bucket
+    low = at.astype("<u4") if keys is None else keys.astype("<u8")
+    counts = counts.astype("<u4" if counts.max(initial=0) > 255 else "u1")
     found, start = np.unique(bucket, return_index=True)
     cuts = [*start.tolist(), len(bucket)]
     return pa.table([pa.array(found, pa.int64()), pa.array(np.full(len(found), block), pa.int64()),
@@ -66,10 +70,14 @@ SENT = "bucket bigint, block bigint, keys binary, counts binary"
 TOTALS = "block bigint, bucket bigint, totals binary"
 
 
-def totalled(sent: DataFrame, shape: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Sums per key, back to the blocks: ``shape`` turns int64 sums into the array to return."""
+def totalled(sent: DataFrame, shape: Callable[[np.ndarray], np.ndarray], exact_below: int = 0) -> DataFrame:
+    """Sums per key, back to the blocks: ``shape`` turns int64 sums into the array to return.
+
+    Buckets below ``exact_below`` hold whole keys.
+    """
     def run(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, "<u4") for k in t.column("keys").to_pylist()]
+        kind = "<u8" if t.column("bucket")[0].as_py() < exact_below else "<u4"
+        keys = [np.frombuffer(k, kind) for k in t.column("keys").to_pylist()]
         counts = [np.frombuffer(c, "u1" if len(c) == len(k) else "<u4") for c, k in
                   zip(t.column("counts").to_pylist(), keys)]
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)

@@ -80,3 +80,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(31)
     return h
+
+
+REMEMBERED = 1_000_000
+
+
+class _Hashes(dict):
+    """Word to unsigned 64-bit hash, remembered per worker up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+        if len(self) >= REMEMBERED:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+hashes = _Hashes()

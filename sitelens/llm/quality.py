@@ -31,28 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sitelens.llm.common import materialise, mix, raw
+from sitelens.llm.common import hashes, materialise, mix, raw
 
 BUCKETS = 1 << 17
 # Bound of the sample of labelled good rows that the target model is counted on.
 TARGET_ROWS = 20_000
 PARTS = 4096
 FEW = 10_000
-REMEMBERED = 1_000_000
-
-
-class _Hashes(dict):
-    """Word to 64-bit hash, remembered per worker."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-hashes = _Hashes()
 
 
 _TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^\s0-9a-z\x80-\xff]+")

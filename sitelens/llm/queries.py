@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitelens.llm import fingerprints, packing, pieces, quality, suffixes, toxicity, voronoi, warc
+from sitelens.llm import fingerprints, lm, packing, pieces, quality, suffixes, toxicity, voronoi, warc
 from sitelens.llm.common import fold, table
 
 
@@ -42,6 +42,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                "score", "predicted")
 
 
+def op8_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 10) == 0
+    return lm.scored(table(spark, sf_dir, "documents"), ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -57,6 +63,7 @@ QUERIES = {
     "op6_warc_index": op6_warc_index,
     "op7_toxicity": op7_toxicity,
     "op5_piece_encoding": op5_piece_encoding,
+    "op8_backoff_automaton": op8_backoff_automaton,
     "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
 }
