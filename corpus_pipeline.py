@@ -7,8 +7,8 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import packing, quality, toxicity
-from sitelens.llm.common import shared_root, table
+from sitelens.llm import jaccard, packing, quality, suffixes, toxicity
+from sitelens.llm.common import shared_root, ship, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,21 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality.keep_selected(docs, table(spark, sf_dir, "labels"))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: of each component of linked documents the smallest doc_id stays."""
+    ship(spark)
+    return jaccard.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: passages that start in a document with a smaller id are cut from the text."""
+    ship(spark)
+    return suffixes.deduplicated(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: the kept texts as pieces of training sequences."""
-    table(spark, sf_dir, "documents")
+    ship(spark)
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         return packing.packed(docs, f.read())
 
@@ -31,6 +43,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("quality", drop_low_quality),
+    ("ngram_jaccard", drop_near_copies),
+    ("suffix_array", cut_repeats),
     ("packing", pack),
 ]
 # Learnt scores, suffix arrays and tokens are beyond SQL; tests hold run() against brute force.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitelens.llm import fingerprints, lm, packing, pieces, quality, suffixes, toxicity, voronoi, warc
+from sitelens.llm import fingerprints, jaccard, lm, packing, pieces, quality, suffixes, toxicity, voronoi, warc
 from sitelens.llm.common import fold, table
 
 
@@ -27,6 +27,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_voronoi_join": op2_voronoi_join,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_grouped_prefix_join": op4_grouped_prefix_join,
     "op6_warc_index": op6_warc_index,
     "op7_toxicity": op7_toxicity,
     "op5_piece_encoding": op5_piece_encoding,
