@@ -1,7 +1,5 @@
 import random
 
-import random
-
 import pytest
 from pyspark.sql import types as T
 
