@@ -222,7 +222,8 @@ CTES: dict[str, tuple[list[str], str]] = {
     "meter_numbers": (["meters"], r"SELECT company_id, CAST(regexp_extract(meter_id, '^MTR-(\d+)$', 1) AS BIGINT) AS n, * EXCLUDE (company_id) FROM meters"),
     "meter_missing": (["meter_numbers"], """SELECT company_id, n FROM (SELECT company_id, unnest(generate_series(min(n), max(n))) AS n
         FROM meter_numbers GROUP BY 1) ANTI JOIN meter_numbers USING (company_id, n)"""),
-    "meter_gap_rows": (["meter_missing", "meters"], """SELECT company_id, string_agg('MTR-' || lpad(CAST(n AS VARCHAR), 2, '0'), ', ' ORDER BY n) AS listed,
+    "meter_gap_rows": (["meter_missing", "meters"], """SELECT company_id, printf('MTR-%02d', min(n)) || CASE WHEN count(*) > 1
+        THEN printf(' ... MTR-%02d', max(n)) ELSE '' END AS listed,
       (SELECT count(*) FROM meters m WHERE m.company_id = g.company_id) AS meters FROM meter_missing g GROUP BY 1"""),
     "power_issues": (["power_parsed", "power_rows", "power_drops", "meter_gap_rows"], " UNION ALL ".join([
         issue("ELEC-UNIT-SCALE-01", "power_parsed", "period IS NULL OR value IS NULL", "meter_id",
@@ -261,16 +262,17 @@ CTES: dict[str, tuple[list[str], str]] = {
       FROM incident_rows WHERE date IS NOT NULL"""),
     "incident_reuse": (["incident_facts"], """SELECT company_id, description, min(source_row_number) AS first_line, count(*) AS occurrences,
       count(DISTINCT location_raw) AS locations, arg_min(incident_date, source_row_number) AS first_date,
-      arg_max(incident_date, source_row_number) AS last_date, string_agg(id, ', ' ORDER BY source_row_number) AS ids
+      arg_max(incident_date, source_row_number) AS last_date, arg_min(id, source_row_number) || CASE WHEN arg_min(id, source_row_number) = arg_max(id, source_row_number)
+        THEN '' ELSE ' ... ' || arg_max(id, source_row_number) END AS ids
       FROM incident_facts GROUP BY 1, 2 HAVING count(*) > 1"""),
     "incident_jump": (["incident_rows"], """SELECT company_id, min(n) AS resumes_at FROM (
       SELECT company_id, n, n - lag(n) OVER (PARTITION BY company_id ORDER BY n) AS gap FROM incident_rows
       WHERE date IS NOT NULL AND n IS NOT NULL) WHERE gap > 20 GROUP BY 1"""),
     "incident_late": (["incident_rows", "incident_jump"], """SELECT r.company_id, j.resumes_at, r.n, r.source_row_number, r.incident_id
       FROM incident_rows r JOIN incident_jump j USING (company_id) WHERE r.date IS NOT NULL AND r.n >= j.resumes_at"""),
-    "incident_late_sum": (["incident_late"], """SELECT company_id, resumes_at, CASE WHEN count(*) <= 1000
-      THEN string_agg(incident_id, ', ' ORDER BY n, source_row_number) ELSE 'members from ' || resumes_at END AS ids
-      FROM incident_late GROUP BY 1, 2"""),
+    "incident_late_sum": (["incident_late"], """SELECT company_id, resumes_at, CASE WHEN lo = hi THEN lo ELSE lo || ' ... ' || hi END AS ids FROM (
+      SELECT company_id, resumes_at, first(incident_id ORDER BY n, source_row_number) AS lo,
+        first(incident_id ORDER BY n DESC, source_row_number DESC) AS hi FROM incident_late GROUP BY 1, 2)"""),
     "incident_scales": (["incident_rows"], """SELECT company_id, count(*) FILTER (WHERE scale = 'numeric') AS numeric,
       count(*) FILTER (WHERE scale = 'ordinal-text') AS ordinal_text FROM incident_rows WHERE date IS NOT NULL GROUP BY 1"""),
     "incident_issues": (["incident_rows", "incident_reuse", "incident_late_sum", "incident_scales"], " UNION ALL ".join([
@@ -289,12 +291,13 @@ CTES: dict[str, tuple[list[str], str]] = {
               original="location"),
         issue("INC-SEV-SCALE-01", "incident_scales", "numeric > 0 AND ordinal_text > 0", field="severity", line="NULL",
               original="'numeric: ' || numeric || ', ordinal-text: ' || ordinal_text"),
-        issue("INC-DESC-REUSED-01", "incident_reuse", "true", "CASE WHEN occurrences <= 1000 THEN ids ELSE 'members of line ' || first_line END",
+        issue("INC-DESC-REUSED-01", "incident_reuse", "true", "ids",
               "description", "NULL", "occurrences || ' occurrences'"),
         issue("INC-ID-SEQUENCE-01", "incident_late_sum", "true", "ids", "incident_id", "NULL", "ids"),
     ])),
-    "ledger": (["fuel_issues", "power_issues", "incident_issues"],
-               "SELECT * FROM fuel_issues UNION ALL SELECT * FROM power_issues UNION ALL SELECT * FROM incident_issues"),
+    "ledger": (["fuel_issues", "power_issues", "incident_issues", "supplier_issues"],
+               "SELECT * FROM fuel_issues UNION ALL SELECT * FROM power_issues UNION ALL SELECT * FROM incident_issues "
+               "UNION ALL SELECT * FROM supplier_issues"),
 
     # -------------------------------------------------------------- suppliers
     "supplier_raw": ([], f"""SELECT c_nationkey % 5 AS company_id, c_custkey + 2 AS source_row_number, typo, c_custkey AS key,

@@ -115,7 +115,8 @@ def _incident_facts(spark, d):
 
 
 def _ledger(spark, d):
-    return fuel_tables(spark, d)[1].unionByName(power_tables(spark, d)[2]).unionByName(incident_tables(spark, d)[1])
+    return fuel_tables(spark, d)[1].unionByName(power_tables(spark, d)[2]).unionByName(incident_tables(spark, d)[1]) \
+        .unionByName(supplier_tables(spark, d)[1])
 
 
 def _v1(spark, d):
@@ -382,8 +383,8 @@ def _(spark, d):
 
 @register("supplier_consolidated_spend", query(
     f"""SELECT s.company_id, s.source_row_number, s.supplier_name, s.duplicate_of_row, {_num('fy_spend_aud')},
-      CASE WHEN s.duplicate_of_row IS NULL THEN CAST(s.fy_spend_aud + coalesce((SELECT sum(x.fy_spend_aud) FROM supplier_facts x
-        WHERE x.company_id = s.company_id AND x.duplicate_of_row = s.source_row_number), 0) AS DOUBLE) END AS consolidated_spend_aud
+      CASE WHEN s.duplicate_of_row IS NULL THEN CAST((SELECT sum(x.fy_spend_aud) FROM supplier_facts x WHERE x.company_id = s.company_id
+        AND coalesce(x.duplicate_of_row, x.source_row_number) = s.source_row_number) AS DOUBLE) END AS consolidated_spend_aud
       FROM supplier_facts s""", "supplier_facts"))
 def _(spark, d):
     return reports.find_suppliers(supplier_tables(spark, d)[0]).select(
@@ -1008,10 +1009,10 @@ def _(spark, d):
 
 @register("fact_pack", None)
 def _(spark, d):
-    partners, partner_issues = supplier_tables(spark, d)
+    partners = supplier_tables(spark, d)[0]
     readings, meters, _ = power_tables(spark, d)
     return build_fact_pack(_fuel_facts(spark, d), readings, meters, _incident_facts(spark, d), partners,
-                           _as_register(spark, d), _ledger(spark, d).unionByName(partner_issues), inputs.factors(spark),
+                           _as_register(spark, d), _ledger(spark, d), inputs.factors(spark),
                            incident_types(spark), rule_catalogue(spark))
 
 

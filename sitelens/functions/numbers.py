@@ -40,8 +40,8 @@ def round_half_up(value: Column, digits: int) -> Column:
 def money_half_up(value: Column) -> Column:
     """Decimal value to two places, ties toward +infinity, as DECIMAL(14,2)."""
     cents = F.floor(value * F.lit(100) + F.expr("0.5BD"))
-    below_zero = (cents.cast("decimal(20,0)") * F.expr("0.01BD")).cast("decimal(14,2)")
-    return F.when(value >= 0, F.round(value, 2).cast("decimal(14,2)")).otherwise(below_zero)
+    below_zero = (cents.try_cast("decimal(20,0)") * F.expr("0.01BD")).try_cast("decimal(14,2)")
+    return F.when(value >= 0, F.round(value, 2).try_cast("decimal(14,2)")).otherwise(below_zero)
 
 
 def plain(value: Column) -> Column:

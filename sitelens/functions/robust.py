@@ -19,7 +19,7 @@ def robust_outliers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Add ``median_value``, ``mad``, ``modified_z``, ``is_outlier`` to a series per key.
 
     The windows hold one group each: meant for series bounded by the calendar
-    (monthly figures), not for row-level facts (see ``operators.selection``).
+    (monthly figures), not for row-level facts (see ``operators.skew.exact_median``).
     """
     group = Window.partitionBy(*keys)
     x = F.col(value).cast("double")

@@ -16,13 +16,13 @@ def _nearest(edges: DataFrame, scope: str) -> DataFrame:
         .withColumn("m", F.least("u", "m"))
 
 
-def connected_components(links: DataFrame, scope: str = "company_id",
-                         max_rounds: int = 40) -> DataFrame:
+def connected_components(links: DataFrame, scope: str = "company_id") -> DataFrame:
     """``(scope, a, b)`` links between BIGINT nodes to ``(scope, node, component)``.
 
     The component is its smallest node. Every round points nodes at a smaller
     neighbour (large star, then small star; Kiveris et al., SoCC 2014) and is
-    written to the shared folder. Rounds grow with log^2 of the longest chain.
+    written to the shared folder, until a round changes nothing. Rounds grow with
+    log^2 of the longest chain.
     """
     def canonical(df: DataFrame) -> DataFrame:
         return df.where("a <> b").select(
@@ -37,7 +37,7 @@ def connected_components(links: DataFrame, scope: str = "company_id",
     edges = materialise(canonical(links))
     mark = fingerprint(edges)
     if mark[0]:
-        for _ in range(max_rounds):
+        while True:
             both = edges.unionByName(edges.select(
                 scope, F.col("v").alias("u"), F.col("u").alias("v")))
             large = _nearest(both, scope).where("v > u").select(
@@ -50,8 +50,6 @@ def connected_components(links: DataFrame, scope: str = "company_id",
             if seen == mark:
                 break
             mark = seen
-        else:
-            raise RuntimeError("components did not settle")
     return edges.select(scope, F.col("u").alias("node"), F.col("v").alias("component")) \
         .unionByName(edges.select(scope, F.col("v").alias("node"),
                                   F.col("v").alias("component")).distinct())

@@ -10,7 +10,7 @@ from sitelens.functions.normalise import meter_number, normalise_date
 from sitelens.functions.numbers import money_half_up, parse_decimal, plain, strip
 from sitelens.functions.robust import robust_outliers
 from sitelens.operators.ledger import (
-    LISTED_MEMBERS, collect_row_issues, explode_issues, file_issue, issue)
+    collect_row_issues, explode_issues, file_issue, issue, span_key)
 from sitelens.operators.rules import POWER_FILE
 from sitelens.operators.skew import HOT_ROWS, attach, exact_median
 from sitelens.session import materialise
@@ -21,6 +21,8 @@ RAW_COLUMNS = ["meter_id", "meter_description", "period", "consumption", "unit"]
 # the range around the meter's median that a repaired reading must land in.
 MAGNITUDE_GAP = 2.5
 MWH_TO_KWH = 1000
+# Below this a reading and its repaired value fit the tables' DECIMAL(14,2).
+LARGEST_READING = 10 ** 9
 PLAUSIBLE_RANGE = (0.2, 5.0)
 
 
@@ -34,7 +36,8 @@ class ElectricityResult(NamedTuple):
 def parse_readings(raw: DataFrame) -> DataFrame:
     """Parse period and value; ``reject`` marks rows that cannot be read.
 
-    A blank consumption is unreadable here rather than a zero reading.
+    A blank consumption is unreadable here rather than a zero reading, and so is one
+    that no table could hold.
     """
     text = raw.select("company_id", F.col("source_row_number").cast("bigint").alias("source_row_number"),
                       *[strip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in RAW_COLUMNS])
@@ -42,7 +45,7 @@ def parse_readings(raw: DataFrame) -> DataFrame:
         "company_id", "source_row_number", "meter_id", "meter_description", "unit",
         F.col("period").alias("raw_period"), F.col("consumption").alias("raw_consumption"),
         F.col("d.value").alias("period"), parse_decimal(F.col("consumption")).alias("value"),
-    ).withColumn("reject", F.col("period").isNull() | F.col("value").isNull())
+    ).withColumn("value", F.when(F.abs("value") < LARGEST_READING, F.col("value"))).withColumn("reject", F.col("period").isNull() | F.col("value").isNull())
 
 
 def repair_units(parsed: DataFrame, hot_rows: int = HOT_ROWS,
@@ -112,7 +115,7 @@ def row_issues(rows: DataFrame) -> DataFrame:
 def reading_facts(rows: DataFrame) -> DataFrame:
     return rows.where("not reject").select(
         "company_id", "meter_id", "period", "consumption_kwh",
-        F.col("value").cast("decimal(14,2)").alias("original_consumption"),
+        F.col("value").try_cast("decimal(14,2)").alias("original_consumption"),
         F.col("unit").alias("original_unit"), "unit_correction_factor",
         F.lit(POWER_FILE).alias("source_file"), "source_row_number",
         F.size("row_issues").alias("issue_count"),
@@ -145,20 +148,13 @@ def meter_gap_issues(rows: DataFrame) -> DataFrame:
     sizes = gaps.groupBy("company_id").agg(
         F.sum(F.col("last_missing") - F.col("first_missing") + 1).alias("missing"),
         F.min("first_missing").alias("lowest_missing"), F.max("last_missing").alias("highest_missing"))
-    listed = (
-        gaps.join(sizes.where(F.col("missing") <= LISTED_MEMBERS).select("company_id"), "company_id")
-        .select("company_id", F.explode(F.sequence("first_missing", "last_missing")).alias("n"))
-        .groupBy("company_id").agg(F.array_join(F.transform(
-            F.array_sort(F.collect_list("n")), _meter_label), ", ").alias("listed")))
     context = meters.groupBy("company_id").agg(
         F.count(F.lit(1)).alias("meters"), F.min(meter_number(F.col("meter_id"))).alias("lowest"),
         F.max(meter_number(F.col("meter_id"))).alias("highest"))
     periods = rows.where("not reject").groupBy("company_id").agg(
         F.count_distinct("period").alias("periods"))
-    joined = sizes.join(listed, "company_id", "left").join(context, "company_id") \
-        .join(periods, "company_id")
-    key = F.coalesce("listed", F.concat(
-        _meter_label(F.col("lowest_missing")), F.lit(" ... "), _meter_label(F.col("highest_missing"))))
+    joined = sizes.join(context, "company_id").join(periods, "company_id")
+    key = span_key(_meter_label(F.col("lowest_missing")), _meter_label(F.col("highest_missing")))
     return file_issue(joined, issue(
         "ELEC-METER-GAP-01",
         F.concat(F.col("missing").cast("string"), F.lit(" number(s) between "), _meter_label(F.col("lowest")),
@@ -168,6 +164,14 @@ def meter_gap_issues(rows: DataFrame) -> DataFrame:
         original=F.concat(F.col("meters").cast("string"), F.lit(" meters present"))))
 
 
+def gap_members(meters: DataFrame) -> DataFrame:
+    """Member rows of the meter gaps: one per missing run, however long, never per number."""
+    return meter_gaps(meters).select(
+        "company_id", F.lit("ELEC-METER-GAP-01").alias("rule_id"), F.col("first_missing").alias("group_key"),
+        F.col("first_missing").alias("member_order"), F.lit(None).cast("bigint").alias("source_row_number"),
+        span_key(_meter_label(F.col("first_missing")), _meter_label(F.col("last_missing"))).alias("member_id"))
+
+
 def monthly_consumption(rows: DataFrame) -> DataFrame:
     return rows.where("not reject").groupBy("company_id", F.col("period").alias("month")) \
         .agg(F.sum("consumption_kwh").alias("kwh"))

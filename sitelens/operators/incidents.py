@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from sitelens.functions.normalise import normalise_date, normalise_severity, trailing_number
 from sitelens.functions.numbers import strip
 from sitelens.operators.ledger import (
-    LISTED_MEMBERS, collect_row_issues, explode_issues, file_issue, issue)
+    collect_row_issues, explode_issues, file_issue, issue, span_key)
 from sitelens.operators.rules import INCIDENT_FILE
 from sitelens.operators.skew import HOT_ROWS, attach, number_within
 from sitelens.sources.reference import INCIDENT_TYPES
@@ -189,33 +189,29 @@ def sequence_members(rows: DataFrame, breaks: DataFrame, hot_rows: int = HOT_ROW
                 F.col("source_incident_id").alias("member_id"))
 
 
-def _listed(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Member ids as one text, only for groups small enough to list."""
-    small = sizes.where(F.col("members") <= LISTED_MEMBERS).select("company_id", "group_key")
-    return members.join(small, ["company_id", "group_key"]).groupBy("company_id", "group_key").agg(
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("member_order", "source_row_number", "member_id"))),
-            lambda m: m["member_id"]), ", ").alias("listed"))
+def _group_spans(members: DataFrame) -> DataFrame:
+    """Record key and size of every group, from map-side combined extremes."""
+    place = F.struct("member_order", "source_row_number", "member_id")
+    return members.groupBy("company_id", "group_key").agg(
+        F.count(F.lit(1)).alias("members"), F.min(place).alias("lo"), F.max(place).alias("hi")).select(
+        "company_id", "group_key", "members", span_key(F.col("lo.member_id"), F.col("hi.member_id")).alias("span"))
 
 
 def group_issues(rows: DataFrame, reused: DataFrame, breaks: DataFrame, members: DataFrame) -> DataFrame:
     reuse = members.where("rule_id = 'INC-DESC-REUSED-01'")
-    texts = reused.withColumnRenamed("first_line", "group_key").withColumn("members", F.col("occurrences"))
-    texts = texts.join(_listed(reuse, texts), ["company_id", "group_key"], "left")
+    texts = reused.withColumnRenamed("first_line", "group_key").join(_group_spans(reuse), ["company_id", "group_key"])
     copies = file_issue(texts, issue(
         "INC-DESC-REUSED-01",
         F.concat(F.lit("Same text on "), F.col("occurrences").cast("string"), F.lit(" incidents in "),
                  F.col("locations").cast("string"), F.lit(" location(s), "),
                  F.col("first_date").cast("string"), F.lit(" to "), F.col("last_date").cast("string"),
                  F.lit(": \""), "excerpt", F.lit("\"")),
-        key=F.coalesce("listed", F.concat(F.lit("members of line "), F.col("group_key").cast("string"))),
+        key=F.col("span"),
         field="description",
         original=F.concat(F.col("occurrences").cast("string"), F.lit(" occurrences"))))
     late = members.where("rule_id = 'INC-ID-SEQUENCE-01'")
-    jumps = late.groupBy("company_id", "group_key").agg(F.count(F.lit(1)).alias("members")) \
-        .join(breaks.withColumnRenamed("resumes_at", "group_key"), ["company_id", "group_key"])
-    jumps = jumps.join(_listed(late, jumps), ["company_id", "group_key"], "left")
-    ids = F.coalesce("listed", F.concat(F.lit("members from "), F.col("group_key").cast("string")))
+    jumps = _group_spans(late).join(breaks.withColumnRenamed("resumes_at", "group_key"), ["company_id", "group_key"])
+    ids = F.col("span")
     return copies.unionByName(file_issue(jumps, issue(
         "INC-ID-SEQUENCE-01",
         F.concat(F.col("members").cast("string"), F.lit(" incident(s) after a jump from "),

@@ -12,9 +12,13 @@ ISSUE_SCHEMA = (
     "description string, original_value string, resolved_value string")
 ISSUE_COLUMNS = [part.split()[0] for part in ISSUE_SCHEMA.split(", ")]
 
-# An issue about many records lists them in ``record_key`` up to this number. All
-# of them, without limit, are rows of the operator's member table.
-LISTED_MEMBERS = 1000
+
+def span_key(first: Column, last: Column) -> Column:
+    """Record key of an issue about many records: the first and the last of them.
+
+    The form is the same at every size; all records are rows of the member table.
+    """
+    return F.when(first == last, first).otherwise(F.concat(first, F.lit(" ... "), last))
 
 
 def _text(value) -> Column:

@@ -40,7 +40,7 @@ def parse_suppliers(raw: DataFrame) -> DataFrame:
         F.when(F.col("abn") != "", F.col("abn")).alias("abn_raw"), F.col("a.digits").alias("abn"),
         F.col("a.well_formed").alias("abn_well_formed"), F.col("a.checksum_valid").alias("abn_valid"),
         F.when(F.col("category") != "", F.col("category")).alias("category"),
-        parse_decimal(F.col("fy_spend_aud")).cast("decimal(14,2)").alias("fy_spend_aud"))
+        parse_decimal(F.col("fy_spend_aud")).try_cast("decimal(14,2)").alias("fy_spend_aud"))
 
 
 def _cut(name: Column, at: Column) -> Column:

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitelens.operators import contracts
-from sitelens.operators.electricity import clean_electricity
+from sitelens.operators.electricity import clean_electricity, gap_members
 from sitelens.operators.factors import factor_table, global_factors, unmapped_activities
 from sitelens.operators.fuel import clean_fuel
 from sitelens.operators.grounding import load_findings
@@ -20,7 +20,7 @@ from sitelens.operators.suppliers import clean_suppliers
 from sitelens.session import materialise
 from sitelens.sinks import audit, tables
 from sitelens.sources.artefacts import read_findings
-from sitelens.sources.csv_export import intake, intake_problems, read_export
+from sitelens.sources.csv_export import intake, intake_problems, no_export, read_export
 from sitelens.sources.reference import site_areas
 
 TENANT_TABLES = ["data_quality_issues", "issue_members", "fuel_deliveries", "electricity_readings",
@@ -34,15 +34,19 @@ class Clean(NamedTuple):
     finding_counts: DataFrame | None
 
 
-def clean_export(spark: SparkSession, root: str, findings_path: str | None = None) -> Clean:
+def clean_export(spark: SparkSession, root: str, findings_path: str | None = None,
+                 files: DataFrame | None = None) -> Clean:
     """Read and clean every complete batch under ``root``; refuse the others whole.
 
     A tenant is refused for a missing, blank, doubled, unknown or binary file, for a
     broken CSV row, or for an emission activity without a factor key.
     """
-    problems = intake_problems(intake(spark, root))
+    files = materialise(intake(spark, root)) if files is None else files
+    problems = intake_problems(files)
     reasons = [problems.select("company_id", F.concat_ws(" ", "role", "problem").alias("reason"))]
-    exports = {name: read_export(spark, root, name) for name in EXPORT_FILES}
+    sent = {r.role for r in files.where(F.col("role").isin(EXPORT_FILES)).select("role").distinct().collect()}
+    exports = {name: read_export(spark, root, name) if name in sent else no_export(spark, name)
+               for name in EXPORT_FILES}
     for name, export in exports.items():
         worst = export.broken.groupBy("company_id").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("source_row_number", "problem")).alias("f"))
@@ -71,7 +75,7 @@ def clean_export(spark: SparkSession, root: str, findings_path: str | None = Non
         register.facts.select("company_id", "site_area"))
     _, fresh = tables.known_site_areas(site_areas(spark), places)
     clean = {
-        "data_quality_issues": issues, "issue_members": register.members, "fuel_deliveries": fuel.facts,
+        "data_quality_issues": issues, "issue_members": register.members.unionByName(gap_members(power.meters)), "fuel_deliveries": fuel.facts,
         "electricity_readings": power.facts, "incidents": register.facts, "suppliers": partners.facts,
         "meters": power.meters, "site_areas": fresh}
     counts = None
@@ -91,16 +95,23 @@ def run_load(spark: SparkSession, root: str, out: str, source: str = "cli",
     started = dt.datetime.now(dt.timezone.utc)
     out = out.rstrip("/")
     files = materialise(intake(spark, root))
-    clean = clean_export(spark, root, findings_path)
+    clean = clean_export(spark, root, findings_path, files)
     loaded = files.select("company_id").distinct().join(clean.refused, "company_id", "left_anti")
     staged = {name: materialise(df) for name, df in clean.tables.items()}
+    if "ai_incident_findings" not in staged:
+        # Findings speak about incidents that this load replaces, so the tenant's old ones go.
+        old = tables.read_current(spark, f"{out}/ai_incident_findings")
+        if old is not None:
+            staged["ai_incident_findings"] = old.limit(0)
     if not unresolved_fixes(staged["data_quality_issues"]).isEmpty():
         reason = "a ledger row claims a fix without a resolved value"
         audit.append_loads(audit.failed(files, loaded.withColumn("reason", F.lit(reason)), source, started),
                            f"{out}/data_loads")
         raise ValueError(reason)
+    # Keys that an earlier load stored count as well.
+    known_factors = tables.upserted(tables.read_current(spark, f"{out}/emission_factors"), clean.factors, ["factor_key"])
     broken = contracts.validate([
-        *contracts.fuel_checks(staged["fuel_deliveries"], clean.factors,
+        *contracts.fuel_checks(staged["fuel_deliveries"], known_factors,
                                _areas(spark, staged)), *contracts.supplier_checks(staged["suppliers"]),
         contracts.unique(staged["incidents"], "incident-unique", ["company_id", "id"]),
         *contracts.reading_checks(staged["electricity_readings"], staged["meters"])])

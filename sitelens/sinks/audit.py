@@ -32,9 +32,10 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def succeeded(files: DataFrame, counts: DataFrame, issues: DataFrame, source: str, started_at) -> DataFrame:
     tally = issues.groupBy("company_id").agg(
         F.count(F.lit(1)).alias("issue_count"), F.count_if(F.col("severity") == "error").alias("error_count"))
-    joined = file_manifest(files).join(counts, "company_id").join(tally, "company_id", "left")
+    joined = file_manifest(files).join(counts, "company_id", "left").join(tally, "company_id", "left")
     return joined.select(
-        "company_id", F.lit(source).alias("source"), "files", "row_counts",
+        "company_id", F.lit(source).alias("source"), "files", F.coalesce("row_counts", F.map_from_arrays(
+            F.array().cast("array<string>"), F.array().cast("array<bigint>"))).alias("row_counts"),
         F.coalesce("issue_count", F.lit(0)).alias("issue_count"),
         F.coalesce("error_count", F.lit(0)).alias("error_count"), F.lit("succeeded").alias("status"),
         F.lit(None).cast("string").alias("failure_reason"), F.lit(started_at).cast("timestamp").alias("started_at"),

@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-FINDING_FIELDS = (
-    "incident_id string, category string, is_psychosocial boolean, psychosocial_subtype string, "
-    "severity_assessment int, confidence decimal(3,2), evidence_quote string, rationale string")
-
-FINDINGS_FILE = (
-    "generatedAt string, provider string, model string, promptVersion string, "
-    "incidentsClassified int, usage struct<inputTokens:bigint,outputTokens:bigint,estimatedCostUsd:double>, "
-    "rejected array<struct<incidentId:string,reason:string,detail:string,quote:string>>, "
-    f"findings array<struct<{FINDING_FIELDS.replace(', ', ',').replace(' ', ':')}>>")
-
-REPORT_FILE = (
-    "generatedAt string, provider string, model string, promptVersion string, factDigest string, "
-    "period struct<from:string,to:string,company:string>, "
-    "sections array<struct<section:string,claims array<struct<text:string,citations:array<string>>>>>, "
-    "rejected array<struct<section:string,text:string,citations:array<string>,reason:string,detail:string,round:int>>, "
-    "claimsAccepted int, claimsRejected int, "
-    "usage struct<inputTokens:bigint,outputTokens:bigint,estimatedCostUsd:double>"
-).replace("claims array", "claims:array")
+# Field names of the two artefact files (fixed values).
+FINDING = T.StructType([
+    T.StructField("incident_id", T.StringType()), T.StructField("category", T.StringType()),
+    T.StructField("is_psychosocial", T.BooleanType()), T.StructField("psychosocial_subtype", T.StringType()),
+    T.StructField("severity_assessment", T.IntegerType()), T.StructField("confidence", T.DecimalType(3, 2)),
+    T.StructField("evidence_quote", T.StringType()), T.StructField("rationale", T.StringType())])
+USAGE = T.StructType([
+    T.StructField("inputTokens", T.LongType()), T.StructField("outputTokens", T.LongType()),
+    T.StructField("estimatedCostUsd", T.DoubleType())])
+FINDINGS_FILE = T.StructType([
+    T.StructField("generatedAt", T.StringType()), T.StructField("provider", T.StringType()),
+    T.StructField("model", T.StringType()), T.StructField("promptVersion", T.StringType()),
+    T.StructField("incidentsClassified", T.IntegerType()), T.StructField("usage", USAGE),
+    T.StructField("rejected", T.ArrayType(T.StructType([
+        T.StructField(c, T.StringType()) for c in ("incidentId", "reason", "detail", "quote")]))),
+    T.StructField("findings", T.ArrayType(FINDING))])
+CITATIONS = T.StructField("citations", T.ArrayType(T.StringType()))
+REPORT_FILE = T.StructType([
+    T.StructField("generatedAt", T.StringType()), T.StructField("provider", T.StringType()),
+    T.StructField("model", T.StringType()), T.StructField("promptVersion", T.StringType()),
+    T.StructField("factDigest", T.StringType()),
+    T.StructField("period", T.StructType([T.StructField(c, T.StringType()) for c in ("from", "to", "company")])),
+    T.StructField("sections", T.ArrayType(T.StructType([
+        T.StructField("section", T.StringType()),
+        T.StructField("claims", T.ArrayType(T.StructType([T.StructField("text", T.StringType()), CITATIONS])))]))),
+    T.StructField("rejected", T.ArrayType(T.StructType([
+        T.StructField("section", T.StringType()), T.StructField("text", T.StringType()), CITATIONS,
+        T.StructField("reason", T.StringType()), T.StructField("detail", T.StringType()),
+        T.StructField("round", T.IntegerType())]))),
+    T.StructField("claimsAccepted", T.IntegerType()), T.StructField("claimsRejected", T.IntegerType()),
+    T.StructField("usage", USAGE)])
 
 
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
@@ -41,7 +54,7 @@ def read_findings(spark: SparkSession, path: str) -> DataFrame:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Stored reports; a malformed file counts as no report."""
-    schema = REPORT_FILE + ", _corrupt_record string"
+    schema = T.StructType([*REPORT_FILE.fields, T.StructField("_corrupt_record", T.StringType())])
     files = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     return files.select("*", "_metadata.file_path").where("_corrupt_record is null") \
         .withColumn("report_id", F.element_at(F.split("file_path", "/"), -1)) \
@@ -53,5 +66,5 @@ def report_claims(reports: DataFrame) -> DataFrame:
     sections = reports.select("report_id", F.posexplode("sections").alias("s_pos", "s"))
     claims = sections.select("report_id", "s_pos", F.col("s.section").alias("section"),
                              F.posexplode("s.claims").alias("c_pos", "c"))
-    return claims.select("report_id", (F.col("s_pos") * 1_000_000 + F.col("c_pos")).cast("bigint").alias("seq"),
+    return claims.select("report_id", (F.shiftleft(F.col("s_pos").cast("bigint"), 32) + F.col("c_pos")).alias("seq"),
                          "section", F.col("c.text").alias("text"), F.col("c.citations").alias("citations"))

@@ -92,6 +92,15 @@ def _misquoted(part: Column) -> Column:
     return part.contains('"') & (~whole | stray)
 
 
+def no_export(spark: SparkSession, file_name: str) -> Export:
+    """A role that no tenant has sent."""
+    key = "company_id bigint"
+    cells = ", ".join(f"{c} string" for c in HEADERS[file_name])
+    return Export(spark.createDataFrame([], f"{key}, source_row_number bigint, {cells}"),
+                  spark.createDataFrame([], f"{key}, raw_headers array<string>, headers array<string>"),
+                  spark.createDataFrame([], f"{key}, source_row_number bigint, problem string"))
+
+
 def read_export(spark: SparkSession, root: str, file_name: str) -> Export:
     """Read one role of all tenants. Blank lines are skipped but keep their number.
 
@@ -145,19 +154,38 @@ def require_whole(export: Export, file_name: str) -> None:
 
 # ------------------------------------------------------------------ file intake
 
+NUL_DEPTH = 1024
+
+
 def intake(spark: SparkSession, root: str) -> DataFrame:
     """One row per uploaded file: tenant, role, size, blank, binary.
 
-    A NUL byte in the first kilobyte means the file is not text. Contents are read
-    only to that depth downstream; uploads are small files, one per role.
+    Names and sizes come from the file listing; contents are never read whole. A NUL
+    within the first ``NUL_DEPTH`` characters means the file is not text: only lines
+    of a file's first split can lie there, and of those the first ``NUL_DEPTH``.
     """
-    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/company_id=*/*")
-    head = F.hex(F.substring("content", 1, 1024))
-    return files.select(
-        F.regexp_extract("path", r"company_id=(\d+)", 1).cast("bigint").alias("company_id"),
-        F.element_at(F.split("path", "/"), -1).alias("role"), F.col("length").alias("bytes"),
-        (F.length(strip(F.regexp_replace(F.col("content").cast("string"), r"^\x{FEFF}", ""))) == 0).alias("blank"),
-        head.rlike("^(..)*00").alias("binary"))
+    path = f"{root.rstrip('/')}/company_id=*/*"
+    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select(
+        "value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"),
+        F.monotonically_increasing_id().alias("uid"))
+    filled = lines.groupBy("file").agg(
+        F.bool_or(strip(F.regexp_replace("value", r"^\x{FEFF}", "")) != "").alias("filled"))
+    head = lines.where("block = 0")
+    first = head.groupBy("file").agg(F.min("uid").alias("first_uid"))
+    head = head.join(first, "file").where(F.col("uid") < F.col("first_uid") + NUL_DEPTH)
+    before = Window.partitionBy("file").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.lit(NUL_DEPTH) - F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))
+    # At most NUL_DEPTH short texts of a file meet in the window.
+    nul = head.select("file", "uid", F.substring("value", 1, NUL_DEPTH).alias("text")) \
+        .withColumn("room", room).where("room > 0") \
+        .groupBy("file").agg(F.bool_or(F.substring(F.col("text"), F.lit(1), F.col("room").cast("int")).contains("\0"))
+                             .alias("binary"))
+    return listed.join(filled, "file", "left").join(nul, "file", "left").select(
+        F.regexp_extract("file", r"company_id=(\d+)", 1).cast("bigint").alias("company_id"),
+        F.element_at(F.split("file", "/"), -1).alias("role"), "bytes",
+        (~F.coalesce("filled", F.lit(False))).alias("blank"), F.coalesce("binary", F.lit(False)).alias("binary"))
 
 
 def intake_problems(files: DataFrame) -> DataFrame:
