@@ -19,6 +19,9 @@ RAW_COLUMNS = ["supplier_name", "abn", "category", "fy_spend_aud"]
 MAX_EDITS = 2
 MIN_FUZZY_LENGTH = 10
 
+# A name segment that more names have or seek is resolved by edit signatures.
+CROWD = 256
+
 # Role and node packed in one BIGINT: a fixed-width aggregate buffer. Nodes are
 # line numbers, far below 2**58.
 _ROLE = 1 << 58
@@ -91,12 +94,11 @@ def edit_signatures(name: Column) -> Column:
     )
 
 
-def near_name_links(names: DataFrame) -> DataFrame:
-    """Links that connect every pair of distinct names within two edits.
+def signature_links(names: DataFrame) -> DataFrame:
+    """Links that connect every pair of distinct names within two edits, by edit signatures.
 
-    ``names``: company_id, name_canonical, node. Only links to one centre per
-    signature group are emitted, so the output grows with the names, never with
-    the square of a group.
+    About 2 n^2 keys for a name of n characters, but a group of any size costs its
+    length only: links to one centre per signature group are emitted.
     """
     long_enough = names.where(F.length("name_canonical") >= MIN_FUZZY_LENGTH)
     # Staged, because making the keys costs more than reading them back.
@@ -117,6 +119,55 @@ def near_name_links(names: DataFrame) -> DataFrame:
         .select("company_id", F.col("node").alias("a"), F.col("centre_node").alias("b")).distinct()
 
 
+def name_segments() -> tuple[Column, Column]:
+    """Segments of a name, and the places where a near name may have them.
+
+    A name of L characters is cut into three segments. Two edits leave one of them
+    whole, moved by at most two places. So a name has three segments of its own,
+    and for each of five lengths and three segments at most five substrings that
+    could be another's: at most 75 keys, whatever its length.
+    """
+    own = F.expr("""transform(array(0, 1, 2), i -> struct(n AS length, i AS part,
+        substring(name_canonical, i * n div 3 + 1, (i + 1) * n div 3 - i * n div 3) AS segment))""")
+    sought = F.expr("""array_distinct(flatten(transform(sequence(n - 2, n + 2), l -> flatten(transform(array(0, 1, 2), i ->
+        transform(filter(sequence(i * l div 3 - 2, i * l div 3 + 2),
+                         at -> at >= 0 AND at + (i + 1) * l div 3 - i * l div 3 <= n),
+                  at -> struct(l AS length, i AS part,
+                               substring(name_canonical, at + 1, (i + 1) * l div 3 - i * l div 3) AS segment)))))))""")
+    return own, sought
+
+
+def near_name_links(names: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Links that connect every pair of distinct names within two edits.
+
+    ``names``: company_id, name_canonical, node. Names meet on segments and are then
+    compared. A segment that more than ``crowd`` names have or seek is not expanded
+    into pairs; all its names are linked by edit signatures instead. A pair whose
+    common segments are all crowded is among those, so no pair is lost.
+    """
+    keys = ["company_id", "length", "part", "segment"]
+    sized = names.where(F.length("name_canonical") >= MIN_FUZZY_LENGTH).withColumn("n", F.length("name_canonical"))
+    own, sought = name_segments()
+    rows = sized.select("company_id", "node", F.lit(0).alias("seeks"), F.explode(own).alias("k")).unionByName(
+        sized.select("company_id", "node", F.lit(1).alias("seeks"), F.explode(sought).alias("k")))
+    rows = materialise(rows.select("company_id", "node", "seeks", "k.*"))
+    groups = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("seeks").alias("seekers"),
+        F.sum(1 - F.col("seeks")).alias("owners")).where("owners > 0 and seekers > 1")
+    met = materialise(attach(rows, groups, keys, "rows", F.col("node")).where("owners is not null"))
+    crowded = (F.col("owners") > crowd) | (F.col("seekers") > crowd)
+    few = met.where(~crowded)
+    pairs = few.where("seeks = 0").select(*keys, F.col("node").alias("a")).join(
+        few.where("seeks = 1").select(*keys, F.col("node").alias("b")), keys) \
+        .where("a < b").select("company_id", "a", "b").distinct()
+    text = sized.select("company_id", "node", "name_canonical")
+    near = pairs.join(text.select("company_id", F.col("node").alias("a"), F.col("name_canonical").alias("x")), ["company_id", "a"]) \
+        .join(text.select("company_id", F.col("node").alias("b"), F.col("name_canonical").alias("y")), ["company_id", "b"]) \
+        .where(F.levenshtein("x", "y", MAX_EDITS) >= 0).select("company_id", "a", "b")
+    many = met.where(crowded).select("company_id", "node").distinct()
+    return near.unionByName(signature_links(names.join(many, ["company_id", "node"], "left_semi")))
+
+
 def supplier_clusters(parsed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(company_id, name_canonical, component)`` for names that belong together.
 
