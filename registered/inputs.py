@@ -136,6 +136,11 @@ def supplier_raw(spark: SparkSession, d: str) -> DataFrame:
         F.col("c_acctbal").cast("decimal(14,2)").cast("string").alias("fy_spend_aud"))
 
 
+def tenants(spark: SparkSession, d: str) -> DataFrame:
+    """All tenants; some of them have no rows in any register."""
+    return table(spark, d, "nation").select((F.col("n_nationkey") % 7).cast("bigint").alias("company_id")).distinct()
+
+
 def finding_raw(spark: SparkSession, d: str) -> DataFrame:
     """Two findings per document: quotes from the middle of its text, some spoilt."""
     docs = table(spark, d, "documents")

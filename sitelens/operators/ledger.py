@@ -90,13 +90,14 @@ def with_issue_counts(facts: DataFrame, issues: DataFrame, source_file: str) ->
         .fillna(0, ["issue_count", "error_count"])
 
 
-def findings_report(issues: DataFrame, min_chars: int = 110) -> DataFrame:
+def findings_report(issues: DataFrame, min_chars: int = 110, tenants: DataFrame | None = None) -> DataFrame:
     """Per tenant and fired rule: count, default action and a one-to-two sentence reason.
 
-    Rules that did not fire come back with a count of 0 and ``fired = false``. A
+    Rules that did not fire come back with a count of 0 and ``fired = false``, and so
+    do all rules of a tenant in ``tenants`` (company_id) without issues. A
     sentence ends at ``.``, ``!`` or ``?`` before white space or the end of text.
     """
-    tenants = issues.groupBy("company_id").agg(F.count(F.lit(1)).alias("total"))
+    tenants = (issues if tenants is None else tenants).select("company_id").distinct()
     catalogue = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(r._fields, r)])
                           for r in RULES.values()])
     hits = issues.groupBy("company_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))

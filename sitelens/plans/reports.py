@@ -261,23 +261,27 @@ def find_issues(issues, rules, company=None, source_file=None, severity=None, ac
         .orderBy("company_id", "position")
 
 
-def find_all_rules(issues, company=None):
-    """Q17: the whole catalogue per tenant; a silent rule counts 0."""
+def find_all_rules(issues, company=None, tenants=None):
+    """Q17: the whole catalogue per tenant; a silent rule counts 0.
+
+    ``tenants`` names them all (company_id); without it, those with issues.
+    """
     rows = for_company(issues, company)
     hits = rows.groupBy("company_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
     catalogue = F.array(*[F.struct(
         F.lit(r.rule_id).alias("rule_id"), F.lit(r.title).alias("title"), F.lit(r.source_file).alias("source_file"),
         F.lit(r.category).alias("category"), F.lit(r.default_severity).alias("severity"),
         F.lit(r.default_action).alias("action"), F.lit(r.rationale).alias("rationale")) for r in CATALOGUE])
-    return hits.select("company_id").distinct().select("company_id", F.explode(catalogue).alias("r")) \
+    named = hits if tenants is None else for_company(tenants, company)
+    return named.select("company_id").distinct().select("company_id", F.explode(catalogue).alias("r")) \
         .select("company_id", "r.*").join(hits, ["company_id", "rule_id"], "left") \
         .withColumn("issue_count", F.coalesce("n", F.lit(0))).drop("n") \
         .orderBy("company_id", F.desc("issue_count"), "rule_id")
 
 
-def rule_activity(issues, company=None):
+def rule_activity(issues, company=None, tenants=None):
     """Q17: how many rules fired and how many stayed silent."""
-    return find_all_rules(issues, company).groupBy("company_id").agg(
+    return find_all_rules(issues, company, tenants).groupBy("company_id").agg(
         F.count_if(F.col("issue_count") > 0).alias("triggered"),
         F.count_if(F.col("issue_count") == 0).alias("silent"))
 
