@@ -169,7 +169,7 @@ def offered_reports(claims: DataFrame, facts: DataFrame) -> DataFrame:
 
 def artefact_claims(claims: DataFrame, tenants: DataFrame, report_id: str) -> DataFrame:
     """Claims of one shared report (a few sentences) as candidates for given tenants."""
-    one = F.broadcast(claims.where(F.col("report_id") == report_id))
+    one = claims.where(F.col("report_id") == report_id)
     return tenants.select("company_id").distinct().withColumn("report_id", F.lit(report_id)) \
         .join(one, "report_id").select(*CLAIM_KEY, "section", "text", "citations")
 

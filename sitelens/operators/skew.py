@@ -22,24 +22,18 @@ def attach(rows: DataFrame, stats: DataFrame, keys: list[str], size: str,
     """Left-join one ``stats`` row per key onto ``rows``.
 
     ``stats`` is an aggregate with unique non-null ``keys`` and ``size``, the
-    number of ``rows`` per key. Keys above ``hot_rows`` come from a broadcast, the
-    rest from a shuffle join in which rows of hot keys travel under 1..SLOTS and
-    match nothing. Both branches use the whole aggregate, so Spark computes it once.
+    number of ``rows`` per key. Rows of a key above ``hot_rows`` travel under one of
+    SLOTS slots, and its stats row is copied to every slot. Only the hot keys
+    themselves are broadcast, fewer than rows / ``hot_rows``, never their values.
+    Both uses of the aggregate are whole, so Spark computes it once.
     """
     values = [c for c in stats.columns if c not in keys]
     packed = stats.select(*keys, F.struct(*values).alias("_v"), F.col(size).alias("_n"))
-    hot = packed.where(F.col("_n") > hot_rows).select(*keys, F.col("_v").alias("_hot"))
-    # Not a literal 0: a foldable slot would be moved out of the join keys.
-    cold = packed.select(*keys, F.col("_v").alias("_cold"),
-                         F.when(F.col("_n") > hot_rows, -1).otherwise(0).alias("_slot"))
-    slot = F.when(F.col("_hot").isNotNull(),
-                  1 + F.pmod(F.xxhash64(spread), F.lit(SLOTS)).cast("int")).otherwise(F.lit(0))
-    joined = (
-        rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_slot", slot)
-        .join(cold, [*keys, "_slot"], "left")
-        .withColumn("_v", F.coalesce("_hot", "_cold"))
-    )
+    hot = packed.where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    slots = F.when(F.col("_n") > hot_rows, F.sequence(F.lit(1), F.lit(SLOTS))).otherwise(F.array(F.lit(0)))
+    dealt = packed.select(*keys, "_v", F.explode(slots).alias("_slot"))
+    slot = F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(spread), F.lit(SLOTS)).cast("int")).otherwise(F.lit(0))
+    joined = rows.join(F.broadcast(hot), keys, "left").withColumn("_slot", slot).join(dealt, [*keys, "_slot"], "left")
     return joined.select(*rows.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
