@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from sitelens.llm.common import as_id
+
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 1 << 20
 
@@ -35,7 +37,7 @@ def blocked(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "tex
     """(block, doc_id, text as bytes, *more). ``size`` is the corpus size in bytes."""
     n = max(1, -(-size // BLOCK_BYTES))
     return docs.select(F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n)).alias("block"),
-                       F.col(doc_id).cast("bigint").alias("doc_id"),
+                       as_id(docs, doc_id),
                        F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"), *more)
 
 

@@ -8,7 +8,7 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sitelens.session import materialise, shared_root  # noqa: F401  (used by the operators)
 
@@ -45,6 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_id(df: DataFrame, column: str) -> Column:
+    """``column`` as a bigint ``doc_id``. Left untouched where it is one already: an alias
+    of a column by its own name would keep Spark from reusing an equal exchange."""
+    if column == "doc_id" and isinstance(df.schema[column].dataType, T.LongType):
+        return F.col(column)
+    return F.col(column).cast("bigint").alias("doc_id")
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -82,18 +90,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-REMEMBERED = 1_000_000
+
+# Entries of one generation of a memo.
+REMEMBERED = 250_000
 
 
-class _Hashes(dict):
-    """Word to unsigned 64-bit hash, remembered per worker up to a bound."""
+class Remembered(dict):
+    """A memo of two generations, each of at most ``REMEMBERED`` entries; what is used stays."""
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+        self[key] = found
+        return found
+
+
+def _word_hash(word: bytes) -> int:
+    import xxhash
+    return xxhash.xxh64_intdigest(word)
 
 
-hashes = _Hashes()
+# Word to unsigned 64-bit hash, per worker.
+hashes = Remembered(_word_hash)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sitelens.llm.common import materialise, partitions
+from sitelens.llm.common import as_id, materialise, partitions
 
 K = 128
 WORDS = 5
@@ -115,14 +115,14 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: in
     """
     # Null ids (before all others) share one bucket below every real one.
     bucket = F.coalesce(F.floor(F.col(doc_id) / SPAN).cast("bigint"), F.lit(-(1 << 62)))
-    rows = with_sketch(docs.select(F.col(doc_id).alias("doc_id"),
+    rows = with_sketch(docs.select(as_id(docs, doc_id),
                                    F.coalesce(F.col(text), F.lit("")).alias("text"), bucket.alias("b")),
                        "text", "sketch", k)
     order = Window.partitionBy("b").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     placed = rows.select(
         "*", F.lead("text").over(order).alias("next_text"), F.lead("sketch").over(order).alias("next_sketch"),
-        F.row_number().over(order).alias("at"))
-    heads = placed.where("at = 1").select(
+        F.lag(F.lit(1)).over(order).alias("before"))
+    heads = placed.where("before is null").select(
         F.col("b").alias("after"), F.col("text").alias("head_text"), F.col("sketch").alias("head_sketch"))
     after = _following(docs.select(bucket.alias("b")).distinct())
     tails = placed.where("next_sketch is null").join(after, "b").join(heads, "after").select(
