@@ -27,51 +27,61 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sitelens.llm.common import materialise
+from sitelens.llm.common import Remembered, materialise
 
 WINDOW = 4096
 STRETCH = 4096 * 512
 END_ID = 2
-REMEMBERED = 400_000
 
-# White space as str.split() sees it, but not as the tokenizer does.
-_SPLIT_ONLY = re.compile("[\x1c-\x1f]")
+# White space as str.split() sees it, but not as the tokenizer does; its special tokens.
+_WHOLE = re.compile("[\x1c-\x1f]|<\\|(?:start|end)oftext\\|>")
+# Characters that normalisation leaves alone but for case, each lower-cased by itself.
+_SIMPLE = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+# Fixed by the vocabulary file: how it splits text, over those characters, in lower case.
+_WORDS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
 _coders: dict[str, "Words"] = {}
 
 
+def _byte_signs() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+
 class Words:
-    """Ids of a text through the tokenizers library, one chunk between blanks at a time.
+    """Ids of a text through the tokenizers library, word by word.
 
     The tokenizer drops white space and never joins what it separates, so a text's
-    ids are those of its chunks; chunks repeat and are remembered.
+    ids are those of its chunks, and a chunk's those of its words; both repeat and
+    are remembered. Chunks of other than common Latin letters, digits and ASCII signs,
+    and texts with special tokens, go to the library whole.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_str(spec)
-        self.known: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.signs = _byte_signs()
+        self.word = Remembered(self._word)
+        self.chunk = Remembered(self._chunk)
+
+    def _word(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.signs))
+        return np.array([t.id for t in tokens], "<u4").tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if _SIMPLE.fullmatch(chunk):
+            return b"".join([self.word[w] for w in _WORDS.findall(chunk.lower())])
+        return self._library(chunk)
 
-    def chunks(self, missing: list[str]) -> None:
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-        for chunk, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False)):
-            self.known[chunk] = np.array(e.ids, "<u4").tobytes()
+    def _library(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if _SPLIT_ONLY.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = text.split()
-        known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            self.chunks(list({p for p in parts if p not in known}))
-            return b"".join([known[p] if p in known else self._one(p) for p in parts])
-
-    def _one(self, part: str) -> bytes:
-        self.chunks([part])
-        return self.known[part]
+        if _WHOLE.search(text):
+            return self._library(text)
+        return b"".join(map(self.chunk.__getitem__, text.split()))
 
 
 def tokenised(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str = "text",
