@@ -7,8 +7,8 @@ Encoding goes through three steps, each written here from the model's own tables
   of the normalised text it records the byte of the source it came from.
 * ``Pieces.word``: merges by score, then position, of one word (nothing merges
   across the start of a word unless the vocabulary has such a piece; then the
-  whole text is one word). Words repeat, so their pieces are remembered, up to
-  ``REMEMBERED`` words a worker.
+  whole text is one word). Words repeat, so their pieces are remembered, up to a
+  bound per worker.
 * spans: piece lengths are summed and mapped through the alignment, which
   projects every piece to the bytes of the source text.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import struct
 import zlib
@@ -28,9 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from sitelens.llm.common import Remembered
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-REMEMBERED = 500_000
+# Longest word that is merged by scanning for the best pair.
+SHORT = 32
 
 
 class Normaliser:
@@ -49,7 +53,6 @@ class Normaliser:
             self.replacements = table[4 + size:]
         self.symbols = re.compile(b"|".join(re.escape(s.encode()) for s in sorted(symbols, key=len, reverse=True))) \
             if symbols else None
-        self.memo: dict[bytes, tuple[bytes, int]] = {}
 
     @property
     def plain(self) -> bool:
@@ -163,10 +166,41 @@ class Pieces:
         inner = any(SPACE in p.lstrip(SPACE) for p in self.merges)
         # Words begin at a run of spaces; a piece with a space inside forbids the cut.
         self.cut = None if inner or self.symbols or self.suffix else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.known: dict[str, tuple[str, int, bytes, bytes]] = {}
+        self.scores = {piece: score for piece, (score, _) in self.merges.items()}
+        self.regular = not self.symbols and UNUSED not in self.kinds
+        self.known = Remembered(self.word)
+
+    def _short(self, word: str) -> list[str]:
+        """Merged symbols of a word, by a scan for the best pair: quicker than an agenda for few symbols."""
+        get = self.scores.get
+        parts = list(word)
+        best = [get(a + b, -math.inf) for a, b in zip(parts, parts[1:])]
+        while best:
+            top = max(best)
+            if top == -math.inf:
+                break
+            i = best.index(top)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del best[i]
+            if i:
+                best[i - 1] = get(parts[i - 1] + parts[i], -math.inf)
+            if i < len(best):
+                best[i] = get(parts[i] + parts[i + 1], -math.inf)
+        return parts
 
     def word_ids(self, word: str) -> list[tuple[int, int]]:
         """(id, bytes of the normalised text) of every piece of a word."""
+        if len(word) <= SHORT and self.regular:
+            out = []
+            for piece in self._short(word):
+                found = self.merges.get(piece)
+                if found is not None:
+                    out.append((found[1], len(piece.encode())))
+                elif self.fallback:
+                    out.extend((self.byte_ids[x], 1) for x in piece.encode())
+                else:
+                    out.append((self.unknown, len(piece.encode())))
+            return out
         frozen: list[bool] = []
         if self.symbol_pattern:
             parts, at = [], 0
@@ -278,16 +312,11 @@ class Pieces:
 
     def word(self, word: str) -> tuple[str, int, bytes, bytes]:
         """(ids joined by commas, how many, piece lengths as 32-bit integers, bytes pieces or not)."""
-        found = self.known.get(word)
-        if found is None:
-            pairs = self.word_ids(word)
-            ids = [i for i, _ in pairs]
-            found = (",".join(map(str, ids)), len(ids), np.array([w for _, w in pairs], "<u4").tobytes(),
-                     b"\x01" if any(self.kinds[i] in (BYTE, UNKNOWN, CONTROL) for i in ids) else b"")
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        pairs = self.word_ids(word)
+        ids = [i for i, _ in pairs]
+        odd = any(self.kinds[i] in (BYTE, UNKNOWN, CONTROL) for i in ids)
+        return (",".join(map(str, ids)), len(ids), struct.pack(f"<{len(pairs)}I", *[w for _, w in pairs]),
+                b"\x01" if odd else b"")
 
     def encode(self, data: bytes) -> tuple[str, int, np.ndarray, np.ndarray, str | None]:
         """Ids joined by commas, their number, begin and end byte of each piece in the
@@ -309,11 +338,7 @@ class Pieces:
             if not norm:
                 return "", 0, np.zeros(0, np.int64), np.zeros(0, np.int64), ""
         words = self.cut.findall(norm) if self.cut else [norm]
-        known = self.known
-        try:
-            found = [known[w] for w in words]
-        except KeyError:
-            found = [self.word(w) for w in words]
+        found = list(map(self.known.__getitem__, words))
         lengths = np.frombuffer(b"".join([f[2] for f in found]), "<u4")
         ends = np.cumsum(lengths, dtype=np.int64)
         if places is None:
