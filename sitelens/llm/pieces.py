@@ -328,10 +328,11 @@ class Pieces:
                 return "", 0, np.zeros(0, np.int64), np.zeros(0, np.int64), ""
             norm = (SPACE if self.dummy and not self.suffix else "") + text.replace(" ", SPACE) \
                 + (SPACE if self.dummy and self.suffix else "")
-            source = np.frombuffer(data, np.uint8)
-            widths = np.where(source == 32, 3, 1)
+            widths = np.where(np.frombuffer(data, np.uint8) == 32, 3, 1)
             shift = 3 if self.dummy and not self.suffix else 0
-            places = None
+            tail = 3 if self.dummy and self.suffix else 0
+            places = np.concatenate([np.zeros(shift, np.int64), np.repeat(np.arange(len(data)), widths),
+                                     np.full(tail + 1, len(data))])
         else:
             flat, places = self.normaliser(data)
             norm = flat.decode("utf-8", "replace")
@@ -341,13 +342,7 @@ class Pieces:
         found = list(map(self.known.__getitem__, words))
         lengths = np.frombuffer(b"".join([f[2] for f in found]), "<u4")
         ends = np.cumsum(lengths, dtype=np.int64)
-        if places is None:
-            begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
-            starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(widths, dtype=np.int64)]) + shift
-            spans = (np.searchsorted(starts, begins, "right") - 1).clip(0), \
-                (np.searchsorted(starts, ends, "left")).clip(0, len(data))
-        else:
-            spans = places[np.concatenate([np.zeros(1, np.int64), ends[:-1]])], places[ends]
+        spans = places[np.concatenate([np.zeros(1, np.int64), ends[:-1]])], places[ends]
         odd = any(f[3] for f in found)
         return (",".join([f[0] for f in found]), sum([f[1] for f in found]), *spans, None if odd else norm)
 
