@@ -9,8 +9,9 @@ documents link when their Jaccard similarity is at least 3/4.
 2. Copies collapse: equal sets are one class, whatever their number.
 3. Grouped prefixes: two linked sets share one of their first n - ceil(3n/4) + 1
    shingles in that order. Classes with the same size and prefix are one group, and
-   only groups are listed under prefix shingles. Group pairs must fit in size.
-4. Stars: each list has a centre, its smallest group, and the lists' other groups are
+   only groups are listed under prefix shingles. Group pairs must fit in size and in
+   the places of their first common shingle.
+4. Stars: each list has a centre, the group with most copies, and its other groups are
    paired with it; pairs are expanded to members, and members verified on whole sets.
 5. The rest: pairs of a list that the star does not settle. Two members linked with
    the centre are connected already; of the others, only pairs of different
@@ -19,7 +20,7 @@ documents link when their Jaccard similarity is at least 3/4.
    different components is lost, while a list of near copies costs its length, not
    its square.
 
-Components follow from the verified links by star contraction.
+Components follow from the verified links, by smallest labels.
 
 Defined cases: a text without words, or null, has the empty set and links with
 nothing, not even its like; with one to four words the whole sequence is the one
@@ -38,7 +39,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from sitelens.llm.blocks import SENT, blocked, buckets, corpus_bytes, places, received, send, totalled
 from sitelens.llm.common import hashes, materialise, mix, raw
-from sitelens.operators.components import connected_components
 
 WORDS = 5
 
@@ -141,8 +141,16 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         run, "a bigint, b bigint, rep_a bigint, rep_b bigint, distance double, links boolean")
 
 
-def _fits(a: str, b: str):
-    return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
+def _fits(n: str, m: str, i: str, j: str):
+    """Whether sets of n and m shingles can link, their first common one at places i and j.
+
+    Linked sets share at least 3/7 of n + m, all of it from their first common
+    shingle on. At a later common one this may fail, but a linked pair meets at its
+    first, too.
+    """
+    total = 3 * (F.col(n) + F.col(m))
+    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * (F.col(n) - F.col(i)) >= total) \
+        & (7 * (F.col(m) - F.col(j)) >= total)
 
 
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,19 +158,29 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     rows = shingle_sets(docs, doc_id, text)
     able = rows.where(F.col("class").isNotNull())
     classes = able.groupBy("class").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("shingles").alias("shingles"),
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("shingles").alias("shingles"),
         F.first("prefix").alias("prefix"), F.first("prefix_key").alias("prefix_key"))
     # Should two classes share a 64-bit name, joins find both and both are verified.
     classes = materialise(classes.withColumn("cid", F.xxhash64("class")))
-    groups = classes.groupBy("n", "prefix_key").agg(F.min("cid").alias("gid"))
-    members = materialise(classes.select("cid", "rep", "n", "prefix_key", "prefix").join(groups, ["n", "prefix_key"])
-                          .select("cid", "rep", "n", "gid", F.when(F.col("cid") == F.col("gid"), F.col("prefix"))
-                                  .alias("prefix")))
-    lists = members.where("prefix is not null").select(F.explode("prefix").alias("shingle"), "gid", "n")
-    centres = lists.groupBy("shingle").agg(F.min(F.struct("gid", "n")).alias("c"), F.count(F.lit(1)).alias("m")) \
-        .where("m > 1").select("shingle", F.col("c.gid").alias("centre"), F.col("c.n").alias("centre_n"))
-    listed = materialise(lists.join(centres, "shingle"))
-    star = listed.where((F.col("gid") != F.col("centre")) & _fits("n", "centre_n")).select("gid", "centre").distinct()
+    # A group goes by its class with the most copies, likely what its near copies come from.
+    groups = classes.groupBy("n", "prefix_key").agg(
+        F.min(F.struct((-F.col("copies")).alias("fewer"), "cid")).alias("g")) \
+        .select("n", "prefix_key", F.col("g.cid").alias("gid"), F.col("g.fewer").alias("fewer"))
+    members = materialise(
+        classes.select("cid", "rep", "n", "prefix_key", "prefix").join(groups, ["n", "prefix_key"]).select(
+            "cid", "rep", "n", "gid", "fewer", F.when(F.col("cid") == F.col("gid"), F.col("prefix")).alias("prefix")))
+    # Places count from the set's rarest shingle; those of one text alone are not listed.
+    lead = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - F.size("prefix")
+    lists = members.where("prefix is not null").select(
+        F.posexplode("prefix").alias("pos", "shingle"), "gid", "n", "fewer", lead.alias("lead")) \
+        .select("shingle", "gid", "n", "fewer", (F.col("lead") + F.col("pos")).cast("int").alias("place"))
+    centres = lists.groupBy("shingle").agg(F.min(F.struct("fewer", "gid", "n", "place")).alias("c"),
+                                           F.count(F.lit(1)).alias("m")) \
+        .where("m > 1").select("shingle", F.col("c.gid").alias("centre"), F.col("c.n").alias("centre_n"),
+                               F.col("c.place").alias("centre_place"))
+    listed = materialise(lists.drop("fewer").join(centres, "shingle"))
+    star = listed.where((F.col("gid") != F.col("centre")) & _fits("n", "centre_n", "place", "centre_place")) \
+        .select("gid", "centre").distinct()
     pairs = star.join(members.select("cid", "gid"), "gid").select(F.col("cid").alias("a"), F.col("centre").alias("b")) \
         .unionByName(members.where("cid <> gid").select(F.col("cid").alias("a"), F.col("gid").alias("b")))
     stars = materialise(verified(pairs, classes))
@@ -179,19 +197,21 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         .select("cid", "n", "gid", F.coalesce("component", "rep").alias("component"))
     near = stars.select(F.col("a").alias("cid"), F.col("b").alias("centre"), "distance", "links")
     # A group of its own centre's lists is at distance 0; its other members were paired with it.
-    placed = listed.select("shingle", "gid", "centre").join(named, "gid").join(near, ["cid", "centre"], "left") \
+    placed = listed.select("shingle", "gid", "centre", "place").join(named, "gid").join(near, ["cid", "centre"], "left") \
         .withColumn("distance", F.when(F.col("cid") == F.col("centre"), 0.0).otherwise(F.col("distance"))) \
         .withColumn("far", ~F.coalesce("links", F.col("cid") == F.col("centre")))
-    placed = placed.select("shingle", "cid", "n", "component", "distance", "far")
+    placed = placed.select("shingle", "cid", "n", "place", "component", "distance", "far")
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .where("lo <> hi").select("shingle")
     open_ = materialise(placed.join(mixed, "shingle"))
     one = open_.where("far").select("shingle", F.col("cid").alias("a"), F.col("n").alias("na"),
-                                    F.col("component").alias("ca"), F.col("distance").alias("da"))
+                                    F.col("component").alias("ca"), F.col("distance").alias("da"),
+                                    F.col("place").alias("pa"))
     two = open_.select("shingle", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"),
-                       F.col("distance").alias("db"), F.col("far").alias("fb"))
+                       F.col("distance").alias("db"), F.col("far").alias("fb"),
+                        F.col("place").alias("pb"))
     rest = one.join(two, "shingle").where(
-        (F.col("ca") != F.col("cb")) & (~F.col("fb") | (F.col("a") < F.col("b"))) & _fits("na", "nb")
+        (F.col("ca") != F.col("cb")) & (~F.col("fb") | (F.col("a") < F.col("b"))) & _fits("na", "nb", "pa", "pb")
         & F.coalesce(F.abs(F.col("da") - F.col("db")) <= 0.25 + 1e-9, F.lit(True))).select("a", "b").distinct()
     more = verified(rest, classes).where("links").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     more = materialise(more)
@@ -203,7 +223,29 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def _components(links: DataFrame) -> DataFrame:
-    return connected_components(links.withColumn("scope", F.lit(0)), scope="scope").select("node", "component")
+    """(node, component) of every node in ``links`` (a, b): the smallest node it reaches.
+
+    Every round gives a node the smallest label of its neighbours, then the label of
+    that label's node, so labels cover a chain in logarithmically many rounds. Links
+    are mostly stars by then, which take two or three. Labels are written each round.
+    """
+    links = links.where("a <> b")
+    edges = materialise(links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+                        .unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    labels = edges.groupBy("u").agg(F.min("v").alias("v")).select(
+        F.col("u").alias("node"), F.least("u", "v").alias("label"))
+    labels = materialise(labels)
+    while True:
+        near = edges.join(labels.select(F.col("node").alias("v"), "label"), "v") \
+            .groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        stepped = labels.join(near, "node").select("node", F.col("label").alias("old"),
+                                                   F.least("label", "near").alias("next"))
+        jumped = stepped.join(labels.select(F.col("node").alias("next"), F.col("label").alias("beyond")), "next") \
+            .select("node", "old", F.least("next", "beyond").alias("label"))
+        jumped = materialise(jumped)
+        labels = jumped.select("node", "label")
+        if jumped.where("label <> old").isEmpty():
+            return labels.withColumnRenamed("label", "component")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
