@@ -49,9 +49,11 @@ def merged(a: Column, b: Column, k: int = K) -> Column:
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Estimated Jaccard similarity: the share of the merged sketch that both have."""
-    union = merged(a, b, k)
-    both = F.filter(F.array_intersect(a, b), lambda x: x <= F.element_at(union, -1))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(F.size(both) / F.size(union))
+    # Both arrays are named first, as a lambda would compute them again for each element.
+    named = F.array(F.struct(merged(a, b, k).alias("all"), F.array_intersect(a, b).alias("both")))
+    share = F.transform(named, lambda s: F.when(F.size(s["all"]) == 0, F.lit(1.0)).otherwise(
+        F.size(F.filter(s["both"], lambda x: x <= F.element_at(s["all"], -1))) / F.size(s["all"])))
+    return F.element_at(share, 1)
 
 
 def distinct_shingles(a: Column, k: int = K) -> Column:
