@@ -72,10 +72,12 @@ SENT = "bucket bigint, block bigint, keys binary, counts binary"
 TOTALS = "block bigint, bucket bigint, totals binary"
 
 
-def totalled(sent: DataFrame, shape: Callable[[np.ndarray], np.ndarray], exact_below: int = 0) -> DataFrame:
+def totalled(sent: DataFrame, shape: Callable[..., np.ndarray], exact_below: int = 0,
+             with_senders: bool = False) -> DataFrame:
     """Sums per key, back to the blocks: ``shape`` turns int64 sums into the array to return.
 
-    Buckets below ``exact_below`` hold whole keys.
+    Buckets below ``exact_below`` hold whole keys. ``with_senders``: ``shape`` is also
+    given the number of blocks that sent each key.
     """
     def run(t: pa.Table) -> pa.Table:
         kind = "<u8" if t.column("bucket")[0].as_py() < exact_below else "<u4"
@@ -84,7 +86,7 @@ def totalled(sent: DataFrame, shape: Callable[[np.ndarray], np.ndarray], exact_b
                   zip(t.column("counts").to_pylist(), keys)]
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
-        out = shape(sums)[inverse]
+        out = (shape(sums, np.bincount(inverse)) if with_senders else shape(sums))[inverse]
         cuts = np.cumsum([0, *map(len, keys)]).tolist()
         return pa.table([t.column("block"), t.column("bucket"),
                          pa.array([out[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],

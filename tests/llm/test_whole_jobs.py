@@ -1,9 +1,11 @@
 """Places where an operator once did less than its whole job."""
-from test_operators_llm import brute_scores, by_id, key
+import random
+from collections import Counter
 
 import numpy as np
+from test_operators_llm import brute_repeats, brute_scores, by_id, key
 
-from sitelens.llm import queries
+from sitelens.llm import blocks, queries, suffixes
 
 
 def test_registered_language_model_uses_trigrams(spark, docs, rows, tmp_path):
@@ -13,3 +15,42 @@ def test_registered_language_model_uses_trigrams(spark, docs, rows, tmp_path):
     want = sorted(brute_scores(by_id(rows), 3), key=key)
     assert [r[:4] for r in got] == [r[:4] for r in want]
     assert np.allclose([r[4:] for r in got], [r[4:] for r in want], rtol=1e-9)
+
+
+def meeting_texts(n):
+    """One passage between different words in every document."""
+    r = random.Random(5)
+
+    def words(k):
+        return "".join(r.choice("abcdefghij ") for _ in range(k))
+
+    passage = words(150)
+    return [(i, words(60) + passage + words(60)) for i in range(n)]
+
+
+def test_suffix_groups_are_bounded(spark, monkeypatch):
+    """Few blocks, many distinct runs of one anchor: no suffix array over all of them."""
+    rows = meeting_texts(300)
+    monkeypatch.setattr(suffixes, "HOT_BLOCKS", 60)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 20_000)
+    real = suffixes.first_owners
+
+    def guarded(group):
+        if len(group) > 60:
+            raise AssertionError(f"{len(group)} runs in one suffix array")
+        return real(group)
+
+    monkeypatch.setattr(suffixes, "first_owners", guarded)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in suffixes.digests(df).collect()) == sorted(brute_repeats(rows))
+
+
+def test_repeated_rows_are_dealt_once(spark, monkeypatch):
+    rows = meeting_texts(20)
+    rows += [rows[3]] * 200 + [(None, "x" * 90)] * 100
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    once, _ = suffixes._counted_once(df, "doc_id", "text", None)
+    assert once.count() == 21
+    got = Counter(tuple(r) for r in suffixes.digests(df).collect())
+    assert got == Counter(brute_repeats(rows))
+    assert Counter(r.doc_id for r in suffixes.deduplicated(df).collect()) == Counter(i for i, _ in rows)
