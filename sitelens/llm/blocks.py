@@ -10,8 +10,8 @@ text itself, so keys travel as sorted arrays:
 * a bucket, about ``BUCKET_KEYS`` keys, adds the counts and sends each block the sums
   of its own keys, in the order in which the block sent them.
 
-Keys of one bucket that agree in the 32 bits are counted as one. The number of
-buckets grows with the corpus, so this stays as rare at any size: about one key in
+Keys of one bucket that agree in the 32 bits are counted as one, unless whole keys
+are sent (see ``send``). The number of buckets grows with the corpus, so this stays as rare at any size: about one key in
 2**32 / BUCKET_KEYS.
 """
 

@@ -54,3 +54,19 @@ def test_repeated_rows_are_dealt_once(spark, monkeypatch):
     got = Counter(tuple(r) for r in suffixes.digests(df).collect())
     assert got == Counter(brute_repeats(rows))
     assert Counter(r.doc_id for r in suffixes.deduplicated(df).collect()) == Counter(i for i, _ in rows)
+
+
+def test_ngrams_that_agree_in_32_bits_are_told_apart(spark, rows, docs, monkeypatch):
+    """Hashes of which only the high bits differ keep their own counts at every order."""
+    from sitelens.llm import lm
+
+    class Narrow(lm.Grams):
+        def __init__(self, *args, **more):
+            lm.Grams.__init__(self, *args, **more)
+            self.hash = [h & np.uint64(0xFFFFFFFF00000001) for h in self.hash]
+
+    monkeypatch.setattr(lm, "Grams", Narrow)
+    from sitelens.llm.common import fold
+    got = sorted((tuple(r) for r in lm.scored(docs, fold("doc_id", 10) != 0).collect()), key=key)
+    want = sorted(brute_scores(by_id(rows), 3), key=key)
+    assert np.allclose([r[4:] for r in got], [r[4:] for r in want], rtol=1e-9)
