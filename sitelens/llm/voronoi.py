@@ -19,8 +19,8 @@ Scores are exact integers; bounds carry a margin for rounding. Pivots are a boun
 sample (``PIVOTS`` rows with the smallest hash); every row is in a group, so recall is 1.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no
-part, nor those with a component of 2**28 or more after scaling (scores could leave
-64 bits); shorter vectors are continued with zeros; rows that share the query's id
+part; a scaled component or a score that leaves 64 bits ends the query with an error,
+as it does in SQL, and drops nothing; shorter vectors are continued with zeros; rows that share the query's id
 are not its candidates; a repeated row is a candidate as often as it occurs, but
 one query; null ids take no part. Ties go to the smaller id.
 """
@@ -36,15 +36,16 @@ from sitelens.llm.common import materialise
 PIVOTS = 64
 BLOCK = 8192
 SCALE = 256
-LIMIT = 1 << 28
+LIMIT = 2.0 ** 63
 
 
 def integer_vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """(vec_id, x): floor(256 * component) of every vector that takes part."""
-    finite = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) * SCALE < LIMIT))
+    finite = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
     return df.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & finite).select(
         F.col(vec_id).cast("bigint").alias("vec_id"),
-        F.transform(vector, lambda c: F.floor(c.cast("double") * SCALE).cast("int")).alias("x"))
+        F.transform(vector, lambda c: F.when(F.abs(c.cast("double")) * SCALE < LIMIT, F.floor(c.cast("double") * SCALE))
+                    .otherwise(F.raise_error(F.lit("a vector's component leaves 64 bits")).cast("bigint"))).alias("x"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -95,7 +96,7 @@ def top_products(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
                 [batch.column(0), batch.column(1), pa.array(near, pa.int32()),
                  pa.array(d[np.arange(len(x)), near], pa.float64())], ["vec_id", "x", "cell", "distance"])
 
-    members = rows.mapInArrow(to_groups, "vec_id bigint, x array<int>, cell int, distance double")
+    members = rows.mapInArrow(to_groups, "vec_id bigint, x array<bigint>, cell int, distance double")
     members = materialise(members)
     # Summaries: at most k + 1 rows a pivot (one more, as the query itself is no candidate).
     sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).toArrow()
@@ -136,7 +137,7 @@ def top_products(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
                 ["block", "vec_id", "x"])
 
     copies = queries.join(repeats, "vec_id").select("vec_id", "x", "own") \
-        .mapInArrow(to_copies, "block bigint, vec_id bigint, x array<int>")
+        .mapInArrow(to_copies, "block bigint, vec_id bigint, x array<bigint>")
     starts = F.array(*[F.lit(int(b)) for b in first_block[:-1]])
     counts = F.array(*[F.lit(int(b)) for b in blocks])
     dealt = members.select(
@@ -172,7 +173,7 @@ def top_products(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
                 for at in range(0, len(x), 512):
                     yield _best(x[at:at + 512], part_ids[at:at + 512], matrix, members_ids, k)
 
-    local = both.mapInArrow(solve, "query_id bigint, q array<int>, vec_id bigint, score bigint")
+    local = both.mapInArrow(solve, "query_id bigint, q array<bigint>, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")
@@ -185,7 +186,13 @@ def _best(x: np.ndarray, query_ids: np.ndarray, matrix: np.ndarray, ids: np.ndar
     if largest < 2 ** 53:
         scores = (x @ matrix.T).astype(np.int64)
     else:
+        # Sums wrap, so they are right wherever the result itself fits.
         scores = x.astype(np.int64) @ matrix.T.astype(np.int64)
+        near = x @ matrix.T
+        unsure = np.abs(near) + 1e-12 * (np.abs(x) @ np.abs(matrix).T) >= 2.0 ** 62
+        for i, j in zip(*np.nonzero(unsure & (query_ids[:, None] != ids[None, :]))):
+            if abs(sum(int(a) * int(b) for a, b in zip(x[i], matrix[j]))) >= 2 ** 63:
+                raise OverflowError(f"the score of {query_ids[i]} and {ids[j]} leaves 64 bits")
     lowest = np.iinfo(np.int64).min
     scores[query_ids[:, None] == ids[None, :]] = lowest
     out_q, out_m = [], []
@@ -201,7 +208,7 @@ def _best(x: np.ndarray, query_ids: np.ndarray, matrix: np.ndarray, ids: np.ndar
         out_q.append(np.full(len(pick), i))
         out_m.append(pick)
     q, m = np.concatenate(out_q).astype(np.int64), np.concatenate(out_m).astype(np.int64)
-    vectors = pa.array(list(x.astype(np.int32)), pa.list_(pa.int32()))
+    vectors = pa.array(list(x.astype(np.int64)), pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays(
         [pa.array(query_ids[q], pa.int64()), vectors.take(pa.array(q)), pa.array(ids[m], pa.int64()),
          pa.array(scores[q, m], pa.int64())], ["query_id", "q", "vec_id", "score"])

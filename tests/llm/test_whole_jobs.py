@@ -3,9 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from test_operators_llm import brute_repeats, brute_scores, by_id, key
 
-from sitelens.llm import blocks, queries, suffixes
+from sitelens.llm import blocks, queries, suffixes, voronoi
 
 
 def test_registered_language_model_uses_trigrams(spark, docs, rows, tmp_path):
@@ -70,3 +72,24 @@ def test_ngrams_that_agree_in_32_bits_are_told_apart(spark, rows, docs, monkeypa
     got = sorted((tuple(r) for r in lm.scored(docs, fold("doc_id", 10) != 0).collect()), key=key)
     want = sorted(brute_scores(by_id(rows), 3), key=key)
     assert np.allclose([r[4:] for r in got], [r[4:] for r in want], rtol=1e-9)
+
+
+def test_large_vectors_take_part(spark):
+    r = np.random.default_rng(8)
+    vectors = [(i, [float(x) for x in r.normal(size=4)]) for i in range(150)]
+    vectors += [(200, [2.0 ** 21, 1.0, -3.5, 2.0 ** 20]), (201, [-2.0 ** 22, 0.25, 2.0 ** 21 + 1, 7.0]),
+                (202, [2.0 ** 24, 0.0, 0.0, 1.0]), (203, [float("inf"), 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    got = sorted(tuple(x) for x in voronoi.top_products(df, F.col("vec_id") % 50 == 0, pivots=9, block=32).collect())
+    whole = {i: [int(np.floor(256 * c)) for c in v] for i, v in vectors if i != 203}
+    want = []
+    for q in range(0, 201, 50):
+        if q in whole:
+            best = sorted((-sum(a * b for a, b in zip(whole[q], x)), j) for j, x in whole.items() if j != q)[:5]
+            want += [(q, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+    assert {201, 202} & {r[2] for r in got}
+    for big in (2.0 ** 50, 1e30):
+        with pytest.raises(Exception, match="64 bits"):
+            wide = df.unionByName(spark.createDataFrame([(50, [big, 0.0, 0.0, 0.0]), (300, [big, 0.0, 0.0, 0.0])], df.schema))
+            voronoi.top_products(wide, F.col("vec_id") % 50 == 0, pivots=9, block=32).collect()
