@@ -21,8 +21,6 @@ RAW_COLUMNS = ["meter_id", "meter_description", "period", "consumption", "unit"]
 # the range around the meter's median that a repaired reading must land in.
 MAGNITUDE_GAP = 2.5
 MWH_TO_KWH = 1000
-# Below this a reading and its repaired value fit the tables' DECIMAL(14,2).
-LARGEST_READING = 10 ** 9
 PLAUSIBLE_RANGE = (0.2, 5.0)
 
 
@@ -45,7 +43,13 @@ def parse_readings(raw: DataFrame) -> DataFrame:
         "company_id", "source_row_number", "meter_id", "meter_description", "unit",
         F.col("period").alias("raw_period"), F.col("consumption").alias("raw_consumption"),
         F.col("d.value").alias("period"), parse_decimal(F.col("consumption")).alias("value"),
-    ).withColumn("value", F.when(F.abs("value") < LARGEST_READING, F.col("value"))).withColumn("reject", F.col("period").isNull() | F.col("value").isNull())
+    ).withColumn("value", F.when(_stored(F.col("value")), F.col("value"))) \
+        .withColumn("reject", F.col("period").isNull() | F.col("value").isNull())
+
+
+def _stored(value):
+    """Whether the tables' DECIMAL(14,2) hold a reading, as written and rounded."""
+    return value.try_cast("decimal(14,2)").isNotNull() & money_half_up(value.cast("decimal(26,6)")).isNotNull()
 
 
 def repair_units(parsed: DataFrame, hot_rows: int = HOT_ROWS,
@@ -54,8 +58,8 @@ def repair_units(parsed: DataFrame, hot_rows: int = HOT_ROWS,
 
     A positive reading is suspect at 10^2.5 or more below the meter's maximum. The
     reference is the median of the meter's other readings. x1000 is accepted only
-    near the reference; otherwise the reading is kept and flagged. A meter without
-    a positive reading keeps its rows. The marked rows are staged once, because the
+    near the reference; otherwise the reading is kept and flagged. A reading whose
+    repaired value no table could hold is rejected. A meter without a positive reading keeps its rows. The marked rows are staged once, because the
     median, the suspects and the rest all read them.
     """
     keys = ["company_id", "meter_id"]
@@ -82,8 +86,11 @@ def repair_units(parsed: DataFrame, hot_rows: int = HOT_ROWS,
         "repair", F.when(judgeable & fits, "fixed").when(judgeable, "flagged"))
     rest = marked.where("not suspect").withColumn("reference", F.lit(None).cast("double")) \
         .withColumn("repair", F.lit(None).cast("string"))
+    both = rest.unionByName(judged).drop("top", "key_rows")
+    lost = F.coalesce((F.col("repair") == "fixed") & ~_stored(raised), F.lit(False))
+    both = both.withColumn("reject", F.col("reject") | lost).withColumn("repair", F.when(~lost, F.col("repair")))
     factor = F.when(F.col("repair") == "fixed", F.lit(MWH_TO_KWH)).otherwise(F.lit(1))
-    return rest.unionByName(judged).drop("top", "key_rows").select(
+    return both.select(
         "*", factor.cast("decimal(10,4)").alias("unit_correction_factor"),
         money_half_up((F.col("value") * factor).cast("decimal(26,6)")).alias("consumption_kwh"))
 
