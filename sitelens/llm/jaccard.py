@@ -164,21 +164,22 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     classes = materialise(classes.withColumn("cid", F.xxhash64("class")))
     # A group goes by its class with the most copies, likely what its near copies come from.
     groups = classes.groupBy("n", "prefix_key").agg(
-        F.min(F.struct((-F.col("copies")).alias("fewer"), "cid")).alias("g")) \
-        .select("n", "prefix_key", F.col("g.cid").alias("gid"), F.col("g.fewer").alias("fewer"))
+        F.min(F.struct((-F.col("copies")).alias("fewer"), "cid")).alias("g"), F.count(F.lit(1)).alias("members")) \
+        .select("n", "prefix_key", F.col("g.cid").alias("gid"), F.col("g.fewer").alias("fewer"), "members")
     members = materialise(
         classes.select("cid", "rep", "n", "prefix_key", "prefix").join(groups, ["n", "prefix_key"]).select(
-            "cid", "rep", "n", "gid", "fewer", F.when(F.col("cid") == F.col("gid"), F.col("prefix")).alias("prefix")))
+            "cid", "rep", "n", "gid", "fewer", "members", F.when(F.col("cid") == F.col("gid"), F.col("prefix")).alias("prefix")))
     # Places count from the set's rarest shingle; those of one text alone are not listed.
     lead = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - F.size("prefix")
     lists = members.where("prefix is not null").select(
-        F.posexplode("prefix").alias("pos", "shingle"), "gid", "n", "fewer", lead.alias("lead")) \
-        .select("shingle", "gid", "n", "fewer", (F.col("lead") + F.col("pos")).cast("int").alias("place"))
+        F.posexplode("prefix").alias("pos", "shingle"), "gid", "n", "fewer", "members", lead.alias("lead")) \
+        .select("shingle", "gid", "n", "fewer", "members", (F.col("lead") + F.col("pos")).cast("int").alias("place"))
+    # A list of one group settles pairs too, if the group has several classes.
     centres = lists.groupBy("shingle").agg(F.min(F.struct("fewer", "gid", "n", "place")).alias("c"),
-                                           F.count(F.lit(1)).alias("m")) \
+                                           F.sum("members").alias("m")) \
         .where("m > 1").select("shingle", F.col("c.gid").alias("centre"), F.col("c.n").alias("centre_n"),
                                F.col("c.place").alias("centre_place"))
-    listed = materialise(lists.drop("fewer").join(centres, "shingle"))
+    listed = materialise(lists.drop("fewer", "members").join(centres, "shingle"))
     star = listed.where((F.col("gid") != F.col("centre")) & _fits("n", "centre_n", "place", "centre_place")) \
         .select("gid", "centre").distinct()
     pairs = star.join(members.select("cid", "gid"), "gid").select(F.col("cid").alias("a"), F.col("centre").alias("b")) \

@@ -5,9 +5,9 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_operators_llm import brute_repeats, brute_scores, by_id, key
+from test_operators_llm import brute_components, brute_repeats, brute_scores, by_id, key
 
-from sitelens.llm import blocks, queries, suffixes, voronoi
+from sitelens.llm import blocks, jaccard, queries, suffixes, voronoi
 
 
 def test_registered_language_model_uses_trigrams(spark, docs, rows, tmp_path):
@@ -93,3 +93,14 @@ def test_large_vectors_take_part(spark):
         with pytest.raises(Exception, match="64 bits"):
             wide = df.unionByName(spark.createDataFrame([(50, [big, 0.0, 0.0, 0.0]), (300, [big, 0.0, 0.0, 0.0])], df.schema))
             voronoi.top_products(wide, F.col("vec_id") % 50 == 0, pivots=9, block=32).collect()
+
+
+def test_one_group_of_three_classes_links_two(spark):
+    """The same size and prefix, and only the two that are not the centre link."""
+    p, x, y = ([f"{c}{i}" for i in range(n)] for c, n in (("p", 30), ("x", 53), ("y", 53)))
+    texts = [p + y + ["g"]] * 2 + [p + x + ["a"], p + x + ["b"]]
+    texts += [p[-4:] + z + [f"u{k}{z[0]}{i}" for i in range(40)] for z in (x, y) for k in range(8)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = [tuple(r) for r in jaccard.linked(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(got) == sorted(brute_components(rows))
+    assert {i: c for i, _, c in got}[3] == 2
