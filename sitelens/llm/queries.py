@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitelens.llm import fingerprints, jaccard, lm, packing, pieces, quality, suffixes, toxicity, voronoi, warc
+from sitelens.llm import codes, fingerprints, jaccard, lm, oracles, packing, pieces, quality, suffixes, toxicity, tries, voronoi, warc
 from sitelens.llm.common import fold, table
 
 
@@ -60,6 +60,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json").decode())
 
 
+def op11_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.shared_prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_voronoi_join": op2_voronoi_join,
@@ -71,8 +79,12 @@ QUERIES = {
     "op8_backoff_automaton": op8_backoff_automaton,
     "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
+    "op11_burst_trie": op11_burst_trie,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLES: dict[str, str] = {
+    "op11_burst_trie": oracles.PREFIX_TRIE,
+    "op13_vector_codes": oracles.vector_codes(),
     "op2_voronoi_join": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
