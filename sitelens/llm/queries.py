@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitelens.llm import codes, fingerprints, jaccard, lm, oracles, packing, pieces, quality, suffixes, toxicity, tries, voronoi, warc
+from sitelens.llm import (chunks, codes, fingerprints, jaccard, lm, oracles, packing, pieces, quality, suffixes, toxicity,
+                          tries, voronoi, warc)
 from sitelens.llm.common import fold, table
 
 
@@ -64,6 +65,10 @@ def op11_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.shared_prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json").decode())
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compressed(table(spark, sf_dir, "embeddings"))
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
     "op11_burst_trie": op11_burst_trie,
+    "op12_chunk_reuse": op12_chunk_reuse,
     "op13_vector_codes": op13_vector_codes,
 }
 ORACLES: dict[str, str] = {
