@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import datetime as dt
-from typing import NamedTuple
+from typing import Callable, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,6 +18,7 @@ from sitelens.operators.rules import (
 from sitelens.operators.suppliers import clean_suppliers
 from sitelens.session import materialise
 from sitelens.sinks import audit, tables
+from sitelens.sinks.store import Load, Store
 from sitelens.sources.artefacts import read_findings
 from sitelens.sources.csv_export import intake, intake_problems, no_export, read_export
 from sitelens.sources.reference import site_areas
@@ -86,57 +86,83 @@ def clean_export(spark: SparkSession, root: str, findings_path: str | None = Non
 
 
 def run_load(spark: SparkSession, root: str, out: str, source: str = "cli",
-             findings_path: str | None = None) -> None:
-    """Clean, check, replace the loaded tenants' tables, upsert the global ones, audit.
+             findings_path: str | None = None) -> int:
+    """Clean, check and publish every complete batch under ``root``; the version's number.
 
-    Tables are staged and checked before the first one is replaced, so a broken
-    contract leaves the published data as it was; the attempt is audited either way.
+    All tables, the global ones and the audit become visible with one pointer, or none does
+    (see ``sinks.store``). Whatever is thrown on the way is audited for every tenant of the
+    batch, and thrown on.
     """
-    started = dt.datetime.now(dt.timezone.utc)
-    out = out.rstrip("/")
-    files = materialise(intake(spark, root))
-    clean = clean_export(spark, root, findings_path, files)
+    return attempt_load(Store(spark, out), lambda: materialise(intake(spark, root)),
+                        lambda files: clean_export(spark, root, findings_path, files), source)
+
+
+def attempt_load(store: Store, list_files: Callable[[], DataFrame], clean: Callable[[DataFrame], Clean],
+                 source: str = "cli") -> int:
+    """One audited attempt: list the files, clean them, publish; see ``run_load``."""
+    load = store.begin()
+    files = None
+    try:
+        files = list_files()
+        return publish_clean(store, load, files, clean(files), source)
+    except Exception as error:
+        audit.record_failure(store, load, files, f"{type(error).__name__}: {error}", source)
+        raise
+
+
+def publish_clean(store: Store, load: Load, files: DataFrame, clean: Clean, source: str = "cli") -> int:
+    """Write cleaned tables as a load, check them, and publish them with their audit.
+
+    A tenant whose rows break a contract keeps its former rows and is audited as failed.
+    """
+    spark = store.spark
     loaded = files.select("company_id").distinct().join(clean.refused, "company_id", "left_anti")
-    staged = {name: materialise(df) for name, df in clean.tables.items()}
-    if "ai_incident_findings" not in staged:
-        # Findings speak about incidents that this load replaces, so the tenant's old ones go.
-        old = tables.read_current(spark, f"{out}/ai_incident_findings")
-        if old is not None:
-            staged["ai_incident_findings"] = old.limit(0)
-    if not unresolved_fixes(staged["data_quality_issues"]).isEmpty():
-        reason = "a ledger row claims a fix without a resolved value"
-        audit.append_loads(audit.failed(files, loaded.withColumn("reason", F.lit(reason)), source, started),
-                           f"{out}/data_loads")
-        raise ValueError(reason)
+    severe = {"errors": F.count_if(F.col("severity") == "error")}
+    stored = {name: load.write(name, df, **(severe if name == "data_quality_issues" else {}))
+              for name, df in clean.tables.items()}
+    if not unresolved_fixes(stored["data_quality_issues"]).isEmpty():
+        raise ValueError("a ledger row claims a fix without a resolved value")
     # Keys that an earlier load stored count as well.
-    known_factors = tables.upserted(tables.read_current(spark, f"{out}/emission_factors"), clean.factors, ["factor_key"])
+    known_factors = load.write("emission_factors", tables.upserted(
+        store.read("emission_factors", load.base), clean.factors, ["factor_key"]), per_tenant=False)
+    load.write("data_quality_rules", tables.upserted(
+        store.read("data_quality_rules", load.base), rule_catalogue(spark), ["rule_id"]), per_tenant=False)
     broken = contracts.validate([
-        *contracts.fuel_checks(staged["fuel_deliveries"], known_factors,
-                               _areas(spark, staged)), *contracts.supplier_checks(staged["suppliers"]),
-        contracts.unique(staged["incidents"], "incident-unique", ["company_id", "id"]),
-        *contracts.reading_checks(staged["electricity_readings"], staged["meters"])])
+        *contracts.fuel_checks(stored["fuel_deliveries"], known_factors,
+                               _areas(spark, stored)), *contracts.supplier_checks(stored["suppliers"]),
+        contracts.unique(stored["incidents"], "incident-unique", ["company_id", "id"]),
+        *contracts.reading_checks(stored["electricity_readings"], stored["meters"])])
     violated = materialise(broken.groupBy("company_id").agg(
         F.min(F.concat_ws(" ", "check_id", "key")).alias("reason")).where("company_id is not null"))
-    clean_tenants = loaded.join(violated, "company_id", "left_anti")
-    for name, df in staged.items():
-        tables.replace_tenants(df.join(violated.select("company_id"), "company_id", "left_anti"),
-                               f"{out}/{name}", clean_tenants)
-    tables.upsert_table(spark, f"{out}/emission_factors", clean.factors, ["factor_key"])
-    tables.upsert_table(spark, f"{out}/data_quality_rules", rule_catalogue(spark), ["rule_id"])
-    counts = audit.row_counts({name: df for name, df in staged.items()})
-    done = audit.succeeded(files.join(clean_tenants, "company_id", "left_semi"), counts,
-                           staged["data_quality_issues"], source, started)
-    lost = audit.failed(files, clean.refused.select("company_id", "reason").unionByName(violated), source, started)
-    audit.append_loads(done.unionByName(lost), f"{out}/data_loads")
-
-
-def _areas(spark: SparkSession, staged: dict[str, DataFrame]) -> DataFrame:
-    known = site_areas(spark).unionByName(staged["site_areas"])
-    places = staged["fuel_deliveries"].select("company_id", "site_area").unionByName(
-        staged["incidents"].select("company_id", "site_area"))
+    passed = materialise(loaded.join(violated, "company_id", "left_anti").select("company_id"))
+    lost = clean.refused.select("company_id", "reason").unionByName(violated)
+    audit.record(load, files, passed, lost, stored["data_quality_issues"], list(clean.tables), source)
+    # Findings speak about incidents that this load replaces, so the tenants' old ones go with them.
+    return load.publish(passed, TENANT_TABLES, ["emission_factors", "data_quality_rules"], audit.TABLES)
+
+
+def _areas(spark: SparkSession, stored: dict[str, DataFrame]) -> DataFrame:
+    known = site_areas(spark).unionByName(stored["site_areas"])
+    places = stored["fuel_deliveries"].select("company_id", "site_area").unionByName(
+        stored["incidents"].select("company_id", "site_area"))
     return tables.known_site_areas(known, places)[0]
 
 
+def save_reports(spark: SparkSession, out: str, reports: DataFrame) -> int:
+    """Upsert reports by tenant, model, prompt version and fact digest; the newest of a key stays.
+
+    Only the tenants that have new reports are written; the others' rows are not read.
+    """
+    store = Store(spark, out)
+    load = store.begin()
+    touched = materialise(reports.select("company_id").distinct())
+    current = store.read("reports", load.base)
+    if current is not None:
+        current = current.join(touched, "company_id", "left_semi")
+    load.write("reports", tables.upserted(current, reports, ["company_id", "model", "prompt_version", "fact_digest"], "created_at"))
+    return load.publish(touched, ["reports"])
+
+
 def remove_company(spark: SparkSession, out: str, company_id: int) -> None:
-    """Cascade delete of one tenant from every table it owns."""
-    tables.remove_tenant(spark, [f"{out.rstrip('/')}/{name}" for name in TENANT_TABLES], company_id)
+    """Cascade delete of one tenant: every table it has rows in, reports and load audit included."""
+    Store(spark, out).remove_tenant(company_id)

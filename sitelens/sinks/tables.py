@@ -1,44 +1,8 @@
-"""Writes: replace per tenant, keyed upsert, insert-if-absent, tenant removal."""
+"""What writes compute: keyed upsert, insert-if-absent, site areas. Publication itself: see ``store``."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-
-
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, target = _filesystem(spark, path)
-    return fs.exists(target)
-
-
-def replace_tenants(df: DataFrame, path: str, loaded: DataFrame) -> None:
-    """Replace the partitions of the tenants in ``loaded`` and leave the others alone.
-
-    Rebalancing by tenant gives a large tenant several files and keeps small ones
-    in one. A loaded tenant without rows loses its old partition.
-    """
-    balanced = df.hint("rebalance", "company_id")
-    balanced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("company_id").parquet(path)
-    emptied = loaded.select("company_id").distinct().join(
-        df.select("company_id").distinct(), "company_id", "left_anti")
-    for row in emptied.toLocalIterator():
-        remove_tenant(df.sparkSession, [path], row.company_id)
-
-
-def remove_tenant(spark: SparkSession, paths: list[str], company_id: int) -> None:
-    """Drop one tenant's partition from every given table."""
-    for path in paths:
-        fs, part = _filesystem(spark, f"{path.rstrip('/')}/company_id={int(company_id)}")
-        if fs.exists(part):
-            fs.delete(part, True)
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def upserted(current: DataFrame | None, incoming: DataFrame, keys: list[str],
@@ -58,37 +22,6 @@ def absent(current: DataFrame | None, incoming: DataFrame, keys: list[str]) -> D
     return fresh if current is None else fresh.join(current, keys, "left_anti")
 
 
-def read_current(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if path_exists(spark, path) else None
-
-
-def publish(df: DataFrame, path: str) -> None:
-    """Write beside ``path`` and switch by rename, so the table read may be its own source."""
-    spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    retired = f"{path.rstrip('/')}.retired-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(staged)
-    fs, target = _filesystem(spark, path)
-    as_path = spark._jvm.org.apache.hadoop.fs.Path
-    if fs.exists(target):
-        fs.rename(target, as_path(retired))
-    fs.rename(as_path(staged), target)
-    if fs.exists(as_path(retired)):
-        fs.delete(as_path(retired), True)
-
-
-def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str],
-                 newest: str | None = None) -> None:
-    """Keyed upsert: factors by ``factor_key``, rules by ``rule_id``, reports by
-    ``(company_id, model, prompt_version, fact_digest)`` with a refreshed timestamp."""
-    publish(upserted(read_current(spark, path), incoming, keys, newest), path)
-
-
-def insert_absent(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str]) -> None:
-    """Append rows with new keys only, as for findings of one model and prompt run."""
-    absent(read_current(spark, path), incoming, keys).write.mode("append").parquet(path)
-
-
 def known_site_areas(areas: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two-tier area resolution.
 

@@ -21,6 +21,7 @@ from sitelens.plans.factpack import build_fact_pack
 from sitelens.plans.load import clean_export, run_load
 from sitelens.plans.outage import explain
 from sitelens.session import materialise
+from sitelens.sinks.store import Store
 from sitelens.sinks.tables import known_site_areas
 from sitelens.sources.artefacts import read_findings
 from sitelens.sources.reference import incident_types, site_areas
@@ -204,9 +205,9 @@ def test_run_load(spark, export_root, tmp_path):
     out = str(tmp_path / "out")
     run_load(spark, export_root, out)
     run_load(spark, export_root, out)
-    assert spark.read.parquet(f"{out}/fuel_deliveries").count() == 286
-    loads = spark.read.schema("company_id bigint, status string, issue_count bigint, failure_reason string") \
-        .parquet(f"{out}/data_loads")
+    store = Store(spark, out)
+    assert store.read("fuel_deliveries").count() == 286
+    loads = store.read("data_loads")
     assert sorted((r.company_id, r.status, r.issue_count) for r in loads.collect()) == [
         (1, "succeeded", 99)] * 2 + [(2, "succeeded", 99)] * 2 + [(3, "failed", 0)] * 2
-    assert spark.read.parquet(f"{out}/emission_factors").count() == 3
+    assert store.read("emission_factors").count() == 3

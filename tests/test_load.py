@@ -1,7 +1,11 @@
 """The whole load over a small export: refusals, empty and oversized values, reload."""
 import os
 
-from sitelens.plans.load import run_load
+import pytest
+
+from sitelens.plans import load
+from sitelens.plans.load import remove_company, run_load
+from sitelens.sinks.store import Store
 from sitelens.sources.artefacts import FINDINGS_FILE
 
 FUEL = "Invoice No,Delivery Date,Fuel Type,Quantity,Unit,Cost (AUD),Site Area\n"
@@ -47,20 +51,53 @@ def test_whole_load(spark, tmp_path):
     write(root, 3, **{k: v for k, v in batch().items() if k != supplier.replace(".", "__")})
     for _ in range(2):
         run_load(spark, root, out)
-    loads = spark.read.parquet(f"{out}/data_loads").collect()
+    store = Store(spark, out)
+    loads = store.read("data_loads").collect()
     assert sorted((r.company_id, r.status) for r in loads) == [
         (1, "succeeded"), (1, "succeeded"), (2, "succeeded"), (2, "succeeded"), (3, "failed"), (3, "failed")]
     assert "missing-or-blank" in [r for r in loads if r.company_id == 3][0].failure_reason
     for table, n in (("fuel_deliveries", 2), ("electricity_readings", 6), ("suppliers", 2)):
-        rows = spark.read.parquet(f"{out}/{table}")
+        rows = store.read(table)
         assert {r.company_id: r["count"] for r in rows.groupBy("company_id").count().collect()} == {1: n, 2: n}
-    issues = spark.read.parquet(f"{out}/data_quality_issues")
+    issues = store.read("data_quality_issues")
     gaps = issues.where("rule_id = 'ELEC-METER-GAP-01'").collect()
     assert {r.record_key for r in gaps} == {"MTR-02 ... MTR-1999"}
-    members = spark.read.parquet(f"{out}/issue_members").where("rule_id = 'ELEC-METER-GAP-01'").collect()
+    members = store.read("issue_members").where("rule_id = 'ELEC-METER-GAP-01'").collect()
     assert [(r.company_id, r.member_id) for r in sorted(members, key=lambda r: r.company_id)] == [
         (1, "MTR-02 ... MTR-1999"), (2, "MTR-02 ... MTR-1999")]
     assert issues.where("rule_id = 'ELEC-UNIT-SCALE-01' and action = 'rejected'").count() == 2
+    runs = store.read("load_runs").orderBy("started_at").collect()
+    assert [(r.status, r.tenants_loaded, r.tenants_failed) for r in runs] == [("succeeded", 2, 1)] * 2
+    counted = {r.company_id: r for r in loads if r.status == "succeeded"}
+    for table in ("fuel_deliveries", "suppliers", "data_quality_issues"):
+        assert runs[1].rows_written[table] == sum(r.row_counts[table] for r in counted.values()) == store.read(table).count()
+    assert counted[1].issue_count == issues.where("company_id = 1").count() and store.current().version == 2
+
+    # A load that throws halfway changes no table and is audited for every tenant of the batch.
+    before = {t: sorted(map(str, store.read(t).collect())) for t in ("suppliers", "fuel_deliveries", "emission_factors")}
+    write(root, 1, **batch(spend="7.00"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(load, "rule_catalogue", lambda spark: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run_load(spark, root, out)
+    assert {t: sorted(map(str, store.read(t).collect())) for t in before} == before
+    last = [r for r in store.read("data_loads").collect() if "ZeroDivisionError" in (r.failure_reason or "")]
+    assert sorted((r.company_id, r.status, len(r.row_counts)) for r in last) == [(1, "failed", 0), (2, "failed", 0), (3, "failed", 0)]
+    run = store.read("load_runs").where("status = 'failed'").collect()
+    assert [(r.tenants_loaded, r.tenants_failed) for r in run] == [(0, 3)] and run[0].rows_written["suppliers"] == 4
+    assert {r.load_id for r in last} == {run[0].load_id}
+    # Without even a file listing the run alone is recorded.
+    with pytest.raises(Exception):
+        run_load(spark, str(tmp_path / "nowhere"), out)
+    assert store.read("load_runs").count() == 4 and store.read("data_loads").count() == len(loads) + 3
+
+    # Removing a tenant takes it out of every table and deletes its files.
+    remove_company(spark, out, 1)
+    for table in store.current().schemas:
+        rows = store.read(table)
+        assert "company_id" not in rows.columns or rows.where("company_id = 1").isEmpty(), table
+    assert store.read("suppliers").count() == 2
+    assert not [d for d, _, _ in os.walk(out) if "company_id=1" in d]
 
 
 def test_consolidated_spend_with_an_unknown_primary(spark):
