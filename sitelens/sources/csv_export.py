@@ -12,8 +12,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sitelens.functions.numbers import strip
-from sitelens.operators.skew import attach
 from sitelens.operators.rules import EXPORT_FILES, FACTOR_FILE, FUEL_FILE, INCIDENT_FILE, POWER_FILE, SUPPLIER_FILE
+from sitelens.session import materialise
 
 # Header name of every column the operators read (fixed values).
 HEADERS = {
@@ -26,9 +26,11 @@ HEADERS = {
     FACTOR_FILE: {c: c for c in ["activity", "scope", "unit", "kg_co2e_per_unit", "source"]},
 }
 
-# Blocks of an input are counted in one aggregate. Their table is broadcast only
-# while it is this small; beyond that it is shuffled.
-BROADCAST_BLOCKS = 200_000
+# How Spark's own CSV parser reads one record of an export.
+CSV = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "", "emptyValue": "", "maxCharsPerColumn": "-1",
+       "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "unescapedQuoteHandling": "STOP_AT_DELIMITER"}
+# A last field of its own behind every record: its place tells how many fields the record has.
+_END = "\x1e"
 
 
 class Export(NamedTuple):
@@ -40,56 +42,46 @@ class Export(NamedTuple):
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, source_row_number, value`` of every physical line, blank ones included.
 
-    Inside a file block line ids are consecutive, so a line is its distance from
-    the block's first id plus the lines of earlier blocks. No global sort.
+    The text is scanned once and staged with its line ids. Inside a file block these are
+    consecutive, so a line is its distance from the block's first id plus the lines of
+    earlier blocks. No global sort, and a key of the join has one file split's lines.
     """
     meta = F.col("_metadata")
-    lines = spark.read.text(path).select(
+    lines = materialise(spark.read.text(path).select(
         "value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"),
-        F.monotonically_increasing_id().alias("uid"))
+        F.monotonically_increasing_id().alias("uid")))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        lines.groupBy("file", "block").agg(F.min("uid").alias("first_uid"), F.count(F.lit(1)).alias("n"))
+    blocks = lines.groupBy("file", "block").agg(F.min("uid").alias("first_uid"), F.count(F.lit(1)).alias("n")) \
         .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    )
-    n_blocks = blocks.count()
-    if n_blocks <= BROADCAST_BLOCKS:
-        blocks = F.broadcast(blocks)
     return lines.join(blocks, ["file", "block"]).select(
         "file", (F.col("uid") - F.col("first_uid") + F.col("before") + 1).alias("source_row_number"),
         "value")
 
 
-# Stands for a field-separating comma while a record is taken apart.
-_SEPARATOR = "\x1f"
-
+def record_fields(line: Column, most: int) -> Column:
+    """Array of the first ``most`` + 1 fields of one CSV record, ``_END`` behind its last one."""
+    names = [f"c{i}" for i in range(most + 1)]
+    record = F.from_csv(F.concat(line, F.lit("," + _END)), ", ".join(f"{n} string" for n in names), CSV)
+    # One evaluation: reading fields off the parser's own struct would parse once for each.
+    return F.get(F.transform(F.array(record), lambda r: F.array(*[F.coalesce(r[n], F.lit("")) for n in names])), F.lit(0))
 
-def field_parts(line: Column) -> Column:
-    """Fields of one CSV record as written.
-
-    Between quote characters, every second stretch lies outside quotes; only there
-    is a comma a separator. No regular expression walks the (possibly long) fields.
-    """
-    stretches = F.transform(F.split(line, '"', -1), lambda s, i: F.when(
-        i % 2 == 0, F.replace(s, F.lit(","), F.lit(_SEPARATOR))).otherwise(s))
-    return F.split(F.array_join(stretches, '"'), _SEPARATOR, -1)
 
+def _quotes(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
 
-def _inner(part: Column) -> Column:
-    return F.substring(part, F.lit(2), F.length(part) - 2)
 
+def _misquoted(line: Column, fields: Column) -> Column:
+    """Whether ``line`` is not its fields, each bare or quoted whole with inner quotes doubled.
 
-def unquoted(parts: Column) -> Column:
-    """Field values: quotes removed, doubled quotes undone."""
-    return F.transform(parts, lambda p: F.when(
-        p.startswith('"'), F.replace(_inner(p), F.lit('""'), F.lit('"'))).otherwise(p))
-
-
-def _misquoted(part: Column) -> Column:
-    """A quote anywhere but around the whole field or doubled inside it."""
-    whole = part.startswith('"') & part.endswith('"') & (F.length(part) > 1)
-    stray = F.replace(_inner(part), F.lit('""'), F.lit("")).contains('"')
-    return part.contains('"') & (~whole | stray)
+    With s quotes inside the fields and k quoted fields a record has 2k + 2s quotes and
+    2k + s characters more than its fields and commas, and k is at least the number of
+    fields that hold a quote.
+    """
+    inner = F.aggregate(fields, F.lit(0), lambda n, f: n + _quotes(f))
+    wrapping = _quotes(line) - 2 * inner
+    least = 2 * F.size(F.filter(fields, lambda f: f.contains('"')))
+    written = F.aggregate(fields, F.lit(0), lambda n, f: n + F.length(f) + 1) - 1 + wrapping + inner
+    return (wrapping % 2 != 0) | (wrapping < least) | (wrapping > 2 * F.size(fields)) | (F.length(line) != written)
 
 
 def no_export(spark: SparkSession, file_name: str) -> Export:
@@ -101,47 +93,39 @@ def no_export(spark: SparkSession, file_name: str) -> Export:
                   spark.createDataFrame([], f"{key}, source_row_number bigint, problem string"))
 
 
-def read_export(spark: SparkSession, root: str, file_name: str) -> Export:
+def read_export(spark: SparkSession, root: str, file_name: str, pattern: str | None = None) -> Export:
     """Read one role of all tenants. Blank lines are skipped but keep their number.
 
-    ``broken`` lists ragged rows, and rows with an unbalanced or misplaced quote
-    (a field would run over the line end, which would falsify line numbers).
+    The text is scanned once, and every record parsed once by Spark's CSV parser; the
+    result is staged and split into rows and ``broken``: ragged rows, and rows with an
+    unbalanced or misplaced quote (a field would run over the line end, which would
+    falsify line numbers). ``pattern``: which files of a tenant's folder hold the role,
+    each with its own header; by default the one with the role's name.
     """
-    path = f"{root.rstrip('/')}/company_id=*/{file_name}"
+    path = f"{root.rstrip('/')}/company_id=*/{pattern or file_name}"
     lines = numbered_lines(spark, path).select(
-        F.regexp_extract("file", r"company_id=(\d+)", 1).cast("bigint").alias("company_id"),
-        "source_row_number",
-        F.when(F.col("source_row_number") == 1, F.regexp_replace("value", r"^\x{FEFF}", ""))
+        "file", F.regexp_extract("file", r"company_id=(\d+)", 1).cast("bigint").alias("company_id"),
+        "source_row_number", F.when(F.col("source_row_number") == 1, F.regexp_replace("value", r"^\x{FEFF}", ""))
         .otherwise(F.col("value")).alias("value"))
-    names = unquoted(field_parts(F.col("value")))
-    headers = lines.where("source_row_number = 1").select(
-        "company_id", names.alias("raw_headers"), F.transform(names, strip).alias("headers"))
-    records = _with_headers(
-        lines.where("source_row_number > 1").where(strip(F.col("value")) != ""), headers)
-    records = records.withColumn("parts", field_parts(F.col("value")))
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    problem = F.when(quotes % 2 == 1, "unbalanced-quote") \
-        .when(F.exists("parts", _misquoted), "misplaced-quote") \
-        .when(F.col("value").contains(_SEPARATOR), "control-character") \
-        .when(F.size("parts") != F.size("headers"), "ragged-row")
-    records = records.withColumn("problem", problem).withColumn("fields", unquoted(F.col("parts")))
+    titles = materialise(lines.where("source_row_number = 1"))  # one row a file
+    # Headers decide how many fields a record is read with; a longer one is ragged anyway.
+    most = titles.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(","), F.lit(""))))).first()[0] or 0
+    fields = record_fields(F.col("value"), most + 1)
+    width = F.array_position("fields", _END).cast("int") - 1
+    headers = titles.withColumn("fields", fields).withColumn("raw_headers", F.slice("fields", F.lit(1), F.greatest(width, F.lit(0)))) \
+        .select("file", "company_id", "raw_headers", F.transform("raw_headers", strip).alias("headers"))
+    records = lines.where("source_row_number > 1").where(strip(F.col("value")) != "").withColumn("fields", fields) \
+        .withColumn("width", width).join(headers.select("file", "headers"), "file")
+    problem = F.when(_quotes(F.col("value")) % 2 == 1, "unbalanced-quote") \
+        .when(F.col("value").contains(_END), "control-character") \
+        .when((F.col("width") >= 0) & _misquoted(F.col("value"), F.slice("fields", F.lit(1), F.greatest("width", F.lit(0)))), "misplaced-quote") \
+        .when(F.coalesce(F.col("width") != F.size("headers"), F.lit(True)) | (F.col("width") < 0), "ragged-row")
     cell = {name: F.coalesce(F.get("fields", F.array_position("headers", header).cast("int") - 1), F.lit(""))
             for name, header in HEADERS[file_name].items()}
-    return Export(
-        records.where("problem is null").select(
-            "company_id", "source_row_number", *[c.alias(n) for n, c in cell.items()]),
-        headers,
-        records.where("problem is not null").select("company_id", "source_row_number", "problem"))
-
-
-def _with_headers(lines: DataFrame, headers: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Header names beside each line: broadcast up to ``limit`` files, else skew-safe."""
-    names = headers.select("company_id", "headers")
-    if names.limit(limit + 1).count() <= limit:
-        return lines.join(F.broadcast(names), "company_id")
-    sizes = lines.groupBy("company_id").agg(F.count(F.lit(1)).alias("key_rows"))
-    return attach(lines, sizes.join(names, "company_id"), ["company_id"], "key_rows",
-                  F.col("source_row_number")).drop("key_rows")
+    parsed = materialise(records.select("company_id", "source_row_number", problem.alias("problem"),
+                                        *[c.alias(n) for n, c in cell.items()]))
+    return Export(parsed.where("problem is null").drop("problem"), headers.drop("file").distinct(),
+                  parsed.where("problem is not null").select("company_id", "source_row_number", "problem"))
 
 
 def require_whole(export: Export, file_name: str) -> None:
