@@ -19,13 +19,10 @@ RAW_COLUMNS = ["supplier_name", "abn", "category", "fy_spend_aud"]
 MAX_EDITS = 2
 MIN_FUZZY_LENGTH = 10
 
-# A name segment that more names have or seek is resolved by edit signatures.
+# Names of one key that are compared with each other. Where more meet, their names
+# meet again on longer keys.
 CROWD = 256
 
-# Role and node packed in one BIGINT: a fixed-width aggregate buffer. Nodes are
-# line numbers, far below 2**58.
-_ROLE = 1 << 58
-
 
 class SupplierResult(NamedTuple):
     facts: DataFrame
@@ -46,126 +43,78 @@ def parse_suppliers(raw: DataFrame) -> DataFrame:
         parse_decimal(F.col("fy_spend_aud")).try_cast("decimal(14,2)").alias("fy_spend_aud"))
 
 
-def _cut(name: Column, at: Column) -> Column:
-    """``name`` without its character at the 1-based position."""
-    return F.concat(F.substring(name, F.lit(1), at - 1), F.substring(name, at + 1, F.length(name)))
-
-
-def _mask(name: Column, at: Column) -> Column:
-    """``name`` with a ``?`` (never part of a canonical name) at the position."""
-    return F.concat(F.substring(name, F.lit(1), at - 1), F.lit("?"),
-                    F.substring(name, at + 1, F.length(name)))
-
+def name_keys(segments: int) -> tuple[Column, Column]:
+    """Keys on which names within two edits meet, as arrays of BIGINT: own ones and sought ones.
 
-def edit_signatures(name: Column) -> Column:
-    """Keys of a name such that two names share one iff they are within two edits.
+    A name of l characters is cut into s segments (at most l). Two edits lie in at most
+    two of them, so for some two segments a < b the near name has the same text before a,
+    between a and b (moved by at most two places) and after b (moved by the difference of
+    the lengths). A key is the hash of l, a, b and those three texts.
 
-    Each key has a role. In a group of names with one key, a name of the lowest
-    role is within two edits of every name the group may link to it:
-
-    * ``d`` keys (characters deleted): role 0 = the name, 1 = one deleted, 2 = two.
-      Role 0 links to roles 0-2; role 1 to role 1; two of role 2 prove nothing.
-    * ``s`` keys: two characters masked. Equal keys differ in at most those two.
-    * ``m`` keys: one character masked (role 1), or one masked and another deleted
-      (role 2). Role 1 links to roles 1-2; two of role 2 prove nothing.
-
-    ``highest`` says up to which role a lowest-role member links.
+    Own keys leave out every two segments of the name itself. Sought keys are those that a
+    name as long or shorter by one or two may have: a longer name seeks a shorter one, and
+    of two equally long ones the one whose middle lies one place further on. So with three
+    segments a name has 3 + 10 keys, with s segments at most 7 s (s - 1) / 2.
     """
-    def key(kind: str, text: Column, role: int) -> Column:
-        return F.struct(F.concat(F.lit(kind), text).alias("key"), F.lit(role).alias("role"))
-
-    every = F.sequence(F.lit(1), F.length(name))
-    def after(p: Column) -> Column:
-        # Positions right of p; empty at the end.
-        return F.when(p < F.length(name), F.sequence(p + 1, F.length(name))).otherwise(
-            F.array().cast("array<int>"))
-
-    def pairs(fn) -> Column:
-        return F.flatten(F.transform(every, lambda p: F.transform(after(p), lambda q: fn(p, q))))
+    parts = """concat(substring(name_canonical, 1, a * l div s), '|',
+        substring(name_canonical, (a + 1) * l div s + d + 1, b * l div s - (a + 1) * l div s), '|',
+        substring(name_canonical, (b + 1) * l div s + n - l + 1))"""
+    key = f"xxhash64(company_id, l, a, b, {parts})"
 
-    return F.concat(
-        F.array(key("d", name, 0)),
-        F.transform(every, lambda p: key("d", _cut(name, p), 1)),
-        pairs(lambda p, q: key("d", _cut(_cut(name, q), p), 2)),
-        pairs(lambda p, q: key("s", _mask(_mask(name, q), p), 1)),
-        F.transform(every, lambda p: key("m", _mask(name, p), 1)),
-        pairs(lambda p, q: key("m", _cut(_mask(name, p), q), 2)),
-        pairs(lambda p, q: key("m", _cut(_mask(name, q), p), 2)),
-    )
+    def every(shifts: str, lengths: str) -> Column:
+        return F.expr(f"""flatten(transform({lengths}, l -> flatten(transform(array(least({segments}, l)), s ->
+            flatten(transform(sequence(0, s - 2), a -> flatten(transform(sequence(a + 1, s - 1), b ->
+                transform({shifts}, d -> {key})))))))))""")
 
-
-def signature_links(names: DataFrame) -> DataFrame:
-    """Links that connect every pair of distinct names within two edits, by edit signatures.
-
-    About 2 n^2 keys for a name of n characters, but a group of any size costs its
-    length only: links to one centre per signature group are emitted.
-    """
-    long_enough = names.where(F.length("name_canonical") >= MIN_FUZZY_LENGTH)
-    # Staged, because making the keys costs more than reading them back.
-    keys = materialise(long_enough.select(
-        "company_id", "node", F.explode(edit_signatures(F.col("name_canonical"))).alias("k"))
-        .select("company_id", "node", F.col("k.key").alias("key"), F.col("k.role").alias("role")))
-    centres = keys.groupBy("company_id", "key").agg(
-        F.min(F.col("role") * F.lit(_ROLE) + F.col("node")).alias("centre"),
-        F.count(F.lit(1)).alias("members")).where("members > 1")
-    found = attach(keys, centres, ["company_id", "key"], "members", F.col("node")) \
-        .where("centre is not null") \
-        .withColumn("centre_role", F.shiftright("centre", 58)) \
-        .withColumn("centre_node", F.col("centre").bitwiseAND(F.lit(_ROLE - 1)))
-    reach = F.when(F.col("centre_role") == 0, 2) \
-        .when(F.col("key").startswith("m") & (F.col("centre_role") == 1), 2) \
-        .when(F.col("centre_role") == 1, 1).otherwise(-1)
-    return found.where((F.col("role") <= reach) & (F.col("node") != F.col("centre_node"))) \
-        .select("company_id", F.col("node").alias("a"), F.col("centre_node").alias("b")).distinct()
-
-
-def name_segments() -> tuple[Column, Column]:
-    """Segments of a name, and the places where a near name may have them.
-
-    A name of L characters is cut into three segments. Two edits leave one of them
-    whole, moved by at most two places. So a name has three segments of its own,
-    and for each of five lengths and three segments at most five substrings that
-    could be another's: at most 75 keys, whatever its length.
-    """
-    own = F.expr("""transform(array(0, 1, 2), i -> struct(n AS length, i AS part,
-        substring(name_canonical, i * n div 3 + 1, (i + 1) * n div 3 - i * n div 3) AS segment))""")
-    sought = F.expr("""array_distinct(flatten(transform(sequence(n - 2, n + 2), l -> flatten(transform(array(0, 1, 2), i ->
-        transform(filter(sequence(i * l div 3 - 2, i * l div 3 + 2),
-                         at -> at >= 0 AND at + (i + 1) * l div 3 - i * l div 3 <= n),
-                  at -> struct(l AS length, i AS part,
-                               substring(name_canonical, at + 1, (i + 1) * l div 3 - i * l div 3) AS segment)))))))""")
-    return own, sought
+    # Two neighbours leave nothing between them, so nothing is moved.
+    sought = """CASE WHEN b = a + 1 THEN CASE WHEN n > l THEN array(0) ELSE slice(array(0), 1, 0) END
+        WHEN n > l THEN sequence(0, n - l) ELSE array(1) END"""
+    lengths = f"filter(sequence(n - 2, n), l -> l >= {MIN_FUZZY_LENGTH})"
+    return every("array(0)", "array(n)"), every(sought, lengths)
 
 
 def near_name_links(names: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Links that connect every pair of distinct names within two edits.
 
-    ``names``: company_id, name_canonical, node. Names meet on segments and are then
-    compared. A segment that more than ``crowd`` names have or seek is not expanded
-    into pairs; all its names are linked by edit signatures instead. A pair whose
-    common segments are all crowded is among those, so no pair is lost.
+    ``names``: company_id, name_canonical, node. Names are cut into three segments and
+    meet on keys (see ``name_keys``); names that meet are compared. Where more than
+    ``crowd`` names have or seek a key, nothing is compared, and all its names go on to
+    keys of more segments, which hold more of the name: 4, 6, 10, 18 and so on. A pair
+    that meets only on crowded keys is among those, so no pair is lost. At last segments
+    are single characters. Then names that own a key differ in two places at most, and
+    are linked to one of them; there are no more than the square of the alphabet.
     """
-    keys = ["company_id", "length", "part", "segment"]
-    sized = names.where(F.length("name_canonical") >= MIN_FUZZY_LENGTH).withColumn("n", F.length("name_canonical"))
-    own, sought = name_segments()
-    rows = sized.select("company_id", "node", F.lit(0).alias("seeks"), F.explode(own).alias("k")).unionByName(
-        sized.select("company_id", "node", F.lit(1).alias("seeks"), F.explode(sought).alias("k")))
-    rows = materialise(rows.select("company_id", "node", "seeks", "k.*"))
-    groups = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("seeks").alias("seekers"),
-        F.sum(1 - F.col("seeks")).alias("owners")).where("owners > 0 and seekers > 1")
-    met = materialise(attach(rows, groups, keys, "rows", F.col("node")).where("owners is not null"))
-    crowded = (F.col("owners") > crowd) | (F.col("seekers") > crowd)
-    few = met.where(~crowded)
-    pairs = few.where("seeks = 0").select(*keys, F.col("node").alias("a")).join(
-        few.where("seeks = 1").select(*keys, F.col("node").alias("b")), keys) \
-        .where("a < b").select("company_id", "a", "b").distinct()
-    text = sized.select("company_id", "node", "name_canonical")
-    near = pairs.join(text.select("company_id", F.col("node").alias("a"), F.col("name_canonical").alias("x")), ["company_id", "a"]) \
-        .join(text.select("company_id", F.col("node").alias("b"), F.col("name_canonical").alias("y")), ["company_id", "b"]) \
-        .where(F.levenshtein("x", "y", MAX_EDITS) >= 0).select("company_id", "a", "b")
-    many = met.where(crowded).select("company_id", "node").distinct()
-    return near.unionByName(signature_links(names.join(many, ["company_id", "node"], "left_semi")))
+    pending = names.where(F.length("name_canonical") >= MIN_FUZZY_LENGTH) \
+        .select("company_id", "node", "name_canonical", F.length("name_canonical").alias("n"))
+    longest = pending.agg(F.max("n")).first()[0]
+    links = names.select("company_id", F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    kept = 1
+    while longest is not None:
+        segments, last = min(kept + 2, longest), kept + 2 >= longest
+        own, sought = name_keys(segments)
+        rows = pending.select("company_id", "node", "name_canonical", F.explode(own).alias("key"), F.lit(0).alias("seeks")).unionByName(
+            pending.select("company_id", "node", "name_canonical", F.explode(sought).alias("key"), F.lit(1).alias("seeks")))
+        groups = rows.groupBy("company_id", "key").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("seeks").alias("seekers"), F.min(F.when(F.col("seeks") == 0, F.col("node"))).alias("centre"),
+            F.min("node").alias("low"), F.max("node").alias("high")).where("centre is not null and low < high") \
+            .withColumn("owners", F.col("rows") - F.col("seekers")).drop("low", "high")
+        met = materialise(attach(rows, groups, ["company_id", "key"], "rows", F.col("node")).where("centre is not null"))
+        crowded = F.lit(False) if last else (F.col("owners") > crowd) | (F.col("seekers") > crowd)
+        few = met.where(~crowded).select("company_id", "key", "seeks", "node", "name_canonical", "centre")
+        have = few.where("seeks = 0").select("company_id", "key", F.col("node").alias("b"), F.col("name_canonical").alias("y"), "centre")
+        # Owners of a key of single characters are all near each other: one of them is enough.
+        partners = (have.where("b = centre") if last else have).select("company_id", "key", F.col("b"), F.col("y"))
+        equal = have.select("company_id", "key", F.col("b").alias("a"), F.col("y").alias("x")).join(partners, ["company_id", "key"]) \
+            .where("a > b")
+        moved = few.where("seeks = 1").select("company_id", "key", F.col("node").alias("a"), F.col("name_canonical").alias("x")) \
+            .join(have.drop("centre"), ["company_id", "key"]).where("a <> b")
+        links = links.unionByName(equal.unionByName(moved).where(F.levenshtein("x", "y", MAX_EDITS) >= 0).select("company_id", "a", "b"))
+        if last:
+            break
+        pending = materialise(met.where(crowded).groupBy("company_id", "node").agg(F.first("name_canonical").alias("name_canonical"))
+                              .withColumn("n", F.length("name_canonical")))
+        longest, kept = pending.agg(F.max("n")).first()[0], kept * 2
+    return links.distinct()
 
 
 def supplier_clusters(parsed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Normalisers, skew-safe operators against brute force, gates."""
 
 import itertools
+import os
 import random
 import statistics
 
@@ -15,7 +16,8 @@ from sitelens.operators.grounding import verify_findings
 from sitelens.operators.incidents import clean_incidents
 from sitelens.operators.skew import exact_median, number_in_order, number_within
 from sitelens.operators.suppliers import near_name_links
-from sitelens.sources.csv_export import field_parts, read_export, unquoted
+from sitelens.session import materialise
+from sitelens.sources.csv_export import read_export
 
 
 def apply(spark, fn, texts):
@@ -73,7 +75,7 @@ def test_near_names_against_brute_force(spark):
         for i, j in itertools.combinations(range(len(names)), 2):
             if min(len(names[i]), len(names[j])) >= 10 and edits(names[i], names[j]) <= 2:
                 label[i] = label[j] = min(label[i], label[j])
-    # As segments meet, with a few segments crowded, and by edit signatures alone.
+    # As names meet on three segments, with a few keys crowded, and with all of them, down to single characters.
     for crowd in (256, 3, 0):
         links = near_name_links(df, crowd)
         for r in links.collect():
@@ -82,6 +84,29 @@ def test_near_names_against_brute_force(spark):
         assert [got.get(i, i) for i in range(len(names))] == label
 
 
+def test_many_names_share_a_segment(spark):
+    """One long common beginning, random ends, planted neighbours; and numbered names, nearly all of them near."""
+    n = int(os.environ.get("SITELENS_CROWD_NAMES", "4000"))
+    rng = random.Random(9)
+    names, want = [], set()
+    for i in range(n):
+        code = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14))
+        names.append("mining services " + code)
+        if i % 50 == 0:
+            at, other = rng.randrange(14), rng.randrange(14)
+            near = rng.choice([code[:at] + code[at + 1:], code[:at] + "0" + code[at:],
+                               code[:at] + "0" + code[at + 1:other] + "1" + code[other + 1:] if at < other else "00" + code])
+            want.add((len(names) - 1, len(names)))
+            names.append("mining services " + near)
+    numbered = [f"pit supplier {k:04d}" for k in range(600)]
+    df = spark.createDataFrame([(1, x, i) for i, x in enumerate(names)] + [(2, x, i) for i, x in enumerate(numbered)],
+                               "company_id long, name_canonical string, node long").repartition(8)
+    links = materialise(near_name_links(df))
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in links.where("company_id = 1").collect()} == want
+    two = connected_components(links.where("company_id = 2"))
+    assert two.where("component = 0").count() == len(numbered)
+
+
 def test_exact_median_and_numbering(spark):
     rng = random.Random(3)
     data = [(k, round(rng.choice([1, 1e3, 1e9]) * rng.uniform(-1, 1), 2)) for k in range(4) for _ in range(3 + 7 * k)]
@@ -151,15 +176,71 @@ def test_citations(spark):
         assert got[i] == want, text
 
 
+def strict_fields(line):
+    """Fields of a record whose quotes wrap whole fields, else None."""
+    out, at = [], 0
+    while True:
+        if line[at:at + 1] == '"':
+            text, at = "", at + 1
+            while True:
+                end = line.find('"', at)
+                if end < 0:
+                    return None
+                text += line[at:end]
+                at = end + 1
+                if line[at:at + 1] != '"':
+                    break
+                text, at = text + '"', at + 1
+        else:
+            end = line.find(",", at)
+            text = line[at:end if end >= 0 else len(line)]
+            if '"' in text:
+                return None
+            at += len(text)
+        out.append(text)
+        if at == len(line):
+            return out
+        if line[at] != ",":
+            return None
+        at += 1
+
+
 def test_csv(spark, tmp_path):
-    line = 'a,"b ""q"", c",,d'
-    assert apply(spark, lambda c: unquoted(field_parts(c)), [line]) == [["a", 'b "q", c', "", "d"]]
     folder = tmp_path / "company_id=7"
     folder.mkdir()
     (folder / "suppliers.csv").write_text(
-        'abn, supplier_name,fy_spend_aud\n1,"A, B",5\n\n2,C,6\n3,D\n4,"E,7\n5,x"y",8\n')
+        'abn, supplier_name,fy_spend_aud\n1,"A, B",5\n\n2,C,6\n3,D\n4,"E,7\n5,x"y",8\n6,"x" ,8\n7,F,8,9\n"8","","a ""q"", c"\n')
     export = read_export(spark, str(tmp_path), "suppliers.csv")
-    assert sorted((r.source_row_number, r.supplier_name, r.category) for r in export.rows.collect()) == [
-        (2, "A, B", ""), (4, "C", "")]
+    assert sorted((r.source_row_number, r.supplier_name, r.category, r.fy_spend_aud) for r in export.rows.collect()) == [
+        (2, "A, B", "", "5"), (4, "C", "", "6"), (10, "", "", 'a "q", c')]
     assert sorted((r.source_row_number, r.problem) for r in export.broken.collect()) == [
-        (5, "ragged-row"), (6, "unbalanced-quote"), (7, "misplaced-quote")]
+        (5, "ragged-row"), (6, "unbalanced-quote"), (7, "misplaced-quote"), (8, "misplaced-quote"), (9, "ragged-row")]
+    assert export.headers.first().raw_headers == ["abn", " supplier_name", "fy_spend_aud"]
+
+
+def test_csv_against_a_strict_reader(spark, tmp_path):
+    """Random records of two tenants with different columns; which parse, which do not, and to what."""
+    r = random.Random(6)
+    want = {}
+    for tenant, header in ((1, ["supplier_name", "abn", "category"]), (2, ["category", "more", "abn", "fy_spend_aud", "supplier_name"])):
+        folder = tmp_path / f"company_id={tenant}"
+        folder.mkdir()
+        lines = ["\ufeff" + ",".join(header)]
+        for n in range(600):
+            line = "".join(r.choice(['"', '""', ",", ",", "a", " ", "é", "b c", '"x"', '"y,z"', "'", "\\", "#"]) for _ in range(r.randint(1, 9)))
+            if n % 3:  # nearer to well-formed
+                line = ",".join(r.choice(["", "v", '"q"', '"a ""b"""', '"c,d"', " s ", '""']) for _ in header)
+            lines.append(line)
+            fields = strict_fields(line)
+            if line.strip():
+                want[tenant, n + 2] = tuple(fields[header.index(c)] if c in header else "" for c in ("supplier_name", "abn", "category")) \
+                    if fields and len(fields) == len(header) else None
+        (folder / "suppliers.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    export = read_export(spark, str(tmp_path), "suppliers.csv")
+    got = {(x.company_id, x.source_row_number): (x.supplier_name, x.abn, x.category) for x in export.rows.collect()}
+    got |= {(x.company_id, x.source_row_number): None for x in export.broken.collect()}
+    assert got == want
+    assert sum(v is not None for v in want.values()) > 300
+    # The parsed records are staged: the rows scan no text, and parse nothing again.
+    plan = export.rows._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan.lower().split("parquet")[0] and "from_csv" not in plan.lower()
