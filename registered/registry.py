@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from registered import inputs
 from registered.ctes import pct, query
@@ -13,11 +14,12 @@ from sitelens.functions.numbers import strip
 from sitelens.functions.robust import robust_outliers
 from sitelens.operators import citations, contracts, electricity, fuel, grounding, incidents, suppliers
 from sitelens.operators.ledger import findings_report, findings_totals
-from sitelens.operators.rules import EXPORT_FILES, rule_catalogue
-from sitelens.plans import marts, outage, reports
+from sitelens.operators.rules import EXPORT_FILES, INCIDENT_FILE, rule_catalogue
+from sitelens.plans import load, marts, outage, reports
 from sitelens.plans.factpack import build_fact_pack
-from sitelens.session import materialise
+from sitelens.session import materialise, shared_root
 from sitelens.sinks import tables
+from sitelens.sinks.store import Store
 from sitelens.sources import csv_export
 from sitelens.sources.reference import incident_types, site_areas
 
@@ -663,11 +665,22 @@ def _(spark, d):
       WHERE source_file = 'fuel_deliveries.csv' AND severity = 'error' AND action = 'rejected' AND record_key ILIKE '%inv-1%')
       WHERE position <= 500""", "ledger"))
 def _(spark, d):
-    return reports.find_issues(_ledger(spark, d).withColumn("description", F.lit("")), rule_catalogue(spark),
+    return reports.find_issues(_ledger(spark, d), rule_catalogue(spark),
                                source_file="fuel_deliveries.csv", severity="error", action="rejected", search="inv-1", limit=500) \
         .select("company_id", "position", "rule_id", "source_row_number", "record_key", "severity")
 
 
+@register("dq_description_search", query(
+    """SELECT l.company_id, row_number() OVER (PARTITION BY l.company_id ORDER BY l.source_row_number, l.record_key NULLS FIRST) AS position,
+      l.rule_id, l.source_row_number, l.record_key, 'Business number has ' || length(s.abn) || ' digits, not 11.' AS description
+      FROM ledger l JOIN supplier_facts s USING (company_id, source_row_number)
+      WHERE l.rule_id = 'SUP-ABN-FORM-01' AND s.abn IS NOT NULL QUALIFY position <= 500""", "ledger", "supplier_facts"))
+def _(spark, d):
+    """A search that only descriptions can answer."""
+    return reports.find_issues(_ledger(spark, d), rule_catalogue(spark), search="DIGITS, not", limit=500).select(
+        "company_id", "position", "rule_id", "source_row_number", "record_key", "description")
+
+
 @register("dq_findings_report", query(
     """SELECT t.company_id, r.source_file, r.rule_id, r.title, count(q.rule_id) AS issue_count, r.default_action AS action,
       count(q.rule_id) > 0 AS fired FROM (SELECT DISTINCT n_nationkey % 7 AS company_id FROM nation) t JOIN rules r ON true
@@ -985,13 +998,13 @@ def _(spark, d):
     return citations.recheck_reports(stored, claims, facts, citations.fact_digest(facts))
 
 
-@register("text_numbers", r"""SELECT conv_id, turn, len(t) AS numbers, CAST(list_sum(list_transform(t, lambda x: CAST(replace(x, ',', '') AS DOUBLE))) AS DOUBLE) AS total
-  FROM (SELECT conv_id, turn, regexp_extract_all(translate(text, chr(8722) || chr(8211), '--'), '-?\d[\d,]*(?:\.\d+)?') AS t FROM conversations) WHERE len(t) > 0""")
+@register("text_numbers", r"""SELECT doc_id, len(t) AS numbers, CAST(list_sum(list_transform(t, lambda x: CAST(replace(x, ',', '') AS DOUBLE))) AS DOUBLE) AS total
+  FROM (SELECT doc_id, regexp_extract_all(translate(text, chr(8722) || chr(8211), '--'), '-?\d[\d,]*(?:\.\d+)?') AS t FROM documents) WHERE len(t) > 0""")
 def _(spark, d):
     tokens = citations.number_tokens(F.col("text"))
     value = F.aggregate("t", F.lit(0.0), lambda s, x: s + F.replace(x, F.lit(","), F.lit("")).cast("double"))
-    return inputs.table(spark, d, "conversations").withColumn("t", tokens).where(F.size("t") > 0) \
-        .select("conv_id", "turn", F.size("t").alias("numbers"), value.alias("total"))
+    return inputs.table(spark, d, "documents").withColumn("t", tokens).where(F.size("t") > 0) \
+        .select("doc_id", F.size("t").alias("numbers"), value.alias("total"))
 
 
 @register("distinct_claims", """SELECT company_id, report_id, min(turn) AS seq FROM (SELECT conv_id % 4 AS company_id, 'R' || (conv_id % 3) AS report_id,
@@ -1135,14 +1148,126 @@ def _(spark, d):
     return csv_export.intake_problems(files)
 
 
-@register("csv_fields", r"""SELECT doc_id, len(f) AS fields, list_sum(list_transform(f, lambda x: length(x))) AS chars, md5(array_to_string(f, '|')) AS fields_md5
-  FROM (SELECT doc_id, [CAST(doc_id AS VARCHAR), text, lang, '', source] AS f FROM documents)""")
-def _(spark, d):
-    """Documents written as CSV records (quotes doubled, text quoted) and split again."""
-    docs = inputs.table(spark, d, "documents")
-    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
-    line = F.concat_ws(",", F.col("doc_id").cast("string"), quoted, "lang", F.lit(""), "source")
-    fields = csv_export.unquoted(csv_export.field_parts(F.col("line")))
-    return docs.withColumn("line", line).withColumn("f", fields).select(
-        "doc_id", F.size("f").alias("fields"), F.aggregate("f", F.lit(0), lambda n, x: n + F.length(x)).alias("chars"),
-        F.md5(F.concat_ws("|", "f")).alias("fields_md5"))
+_LOADED_TABLES = ["data_quality_issues", "electricity_readings", "fuel_deliveries", "incidents", "meters", "site_areas", "suppliers"]
+
+
+def published(spark, d):
+    """Four attempts on one store: readings that break a contract, a good load, one that throws, a reload.
+
+    Tenants 5 and 6 have sent nothing and are refused each time.
+    """
+    def make(spark, d):
+        facts, (readings, meters, _) = _fuel_facts(spark, d), power_tables(spark, d)
+        _, fresh = tables.known_site_areas(site_areas(spark), facts.select("company_id", "site_area"))
+        once = readings.dropDuplicates(["company_id", "meter_id", "period"])
+        files = inputs.tenants(spark, d).select("company_id", F.explode(F.array(*[F.lit(f) for f in EXPORT_FILES])).alias("role")) \
+            .withColumn("bytes", F.col("company_id") * 1000 + F.length("role"))
+        refused = inputs.tenants(spark, d).where("company_id >= 5").withColumn("reason", F.lit("no export"))
+
+        def clean(readings):
+            return load.Clean({
+                "data_quality_issues": _ledger(spark, d), "electricity_readings": readings, "fuel_deliveries": facts,
+                "incidents": _incident_facts(spark, d), "meters": meters, "site_areas": fresh,
+                "suppliers": supplier_tables(spark, d)[0]}, inputs.factors(spark), refused, None)
+
+        def unreadable(files):
+            raise ValueError("unreadable export")
+
+        store = Store(spark, f"{shared_root(spark)}/published-{uuid.uuid4().hex}")
+        load.attempt_load(store, lambda: files, lambda _: clean(readings))
+        load.attempt_load(store, lambda: files, lambda _: clean(once))
+        try:
+            load.attempt_load(store, lambda: files, unreadable)
+        except ValueError:
+            pass
+        load.attempt_load(store, lambda: files, lambda _: clean(once))
+        return store
+    return _load(spark, d, "published", make)
+
+
+_AUDIT = {
+    "tenants": "SELECT DISTINCT n_nationkey % 7 AS company_id FROM nation",
+    "once": "SELECT DISTINCT company_id, meter_id, period FROM power_facts",
+    "fresh": """SELECT DISTINCT f.company_id, f.site_area FROM fuel_facts f LEFT JOIN areas a ON a.name = f.site_area
+      WHERE f.site_area <> '' AND a.name IS NULL""",
+    "kept": " UNION ALL ".join(f"SELECT company_id, '{name}' AS t, count(*) AS n FROM {source} GROUP BY 1" for name, source in zip(
+        _LOADED_TABLES, ["ledger", "once", "fuel_facts", "incident_facts", "meters", "fresh", "supplier_facts"])),
+    "all_rows": """SELECT company_id, t, n FROM kept WHERE t <> 'electricity_readings'
+      UNION ALL SELECT company_id, 'electricity_readings', count(*) FROM power_facts GROUP BY 1""",
+    "broken": """SELECT company_id, min('reading-unique ' || meter_id || '|' || period) AS reason FROM (
+      SELECT company_id, meter_id, period FROM power_facts GROUP BY ALL HAVING count(*) > 1) GROUP BY 1""",
+    "tally": "SELECT company_id, count(*) AS issue_count, count(*) FILTER (WHERE severity = 'error') AS error_count FROM ledger GROUP BY 1",
+    "attempts": """SELECT a.attempt, t.company_id, CASE WHEN a.attempt = 3 THEN 'ValueError: unreadable export'
+        WHEN t.company_id >= 5 THEN 'no export' WHEN a.attempt = 1 THEN b.reason END AS failure_reason
+      FROM tenants t JOIN (SELECT unnest([1, 2, 3, 4]) AS attempt) a ON true LEFT JOIN broken b USING (company_id)""",
+    "counts": "SELECT company_id, string_agg(t || '=' || n, ',' ORDER BY t) AS kept_counts FROM kept GROUP BY 1",
+    "all_counts": "SELECT company_id, string_agg(t || '=' || n, ',' ORDER BY t) AS all_counts FROM all_rows GROUP BY 1",
+}
+_AUDIT_NEEDS = ["power_facts", "fuel_facts", "areas", "ledger", "incident_facts", "meters", "supplier_facts"]
+
+
+def _listed(counts):
+    """A map of counts as text, by name."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string"))), ",")
+
+
+def _numbered(rows):
+    """Rows of attempts, numbered in the order in which they started (a handful of attempts)."""
+    by = ["company_id"] if "company_id" in rows.columns else []
+    return rows.withColumn("attempt", F.dense_rank().over(Window.partitionBy(*by).orderBy("started_at")))
+
+
+@register("load_audit", query(
+    """SELECT attempt, company_id, CASE WHEN failure_reason IS NULL THEN 'succeeded' ELSE 'failed' END AS status, failure_reason,
+      CASE WHEN failure_reason IS NULL THEN CASE WHEN attempt = 1 THEN all_counts ELSE kept_counts END ELSE '' END AS row_counts,
+      CASE WHEN failure_reason IS NULL THEN coalesce(issue_count, 0) ELSE 0 END AS issue_count,
+      CASE WHEN failure_reason IS NULL THEN coalesce(error_count, 0) ELSE 0 END AS error_count, 5 AS files
+      FROM attempts LEFT JOIN counts USING (company_id) LEFT JOIN all_counts USING (company_id) LEFT JOIN tally USING (company_id)""",
+    *_AUDIT_NEEDS, extra=_AUDIT))
+def _(spark, d):
+    return _numbered(published(spark, d).read("data_loads")).select(
+        "attempt", "company_id", "status", "failure_reason", _listed(F.col("row_counts")).alias("row_counts"), "issue_count",
+        "error_count", F.size("files").alias("files"))
+
+
+@register("load_runs", query(
+    """SELECT attempt, CASE WHEN attempt = 3 THEN 'failed' ELSE 'succeeded' END AS status,
+      count(*) FILTER (WHERE failure_reason IS NULL) AS tenants_loaded, count(failure_reason) AS tenants_failed,
+      CASE WHEN attempt = 3 THEN 0 ELSE (SELECT count(*) FROM ledger WHERE severity = 'error') END AS error_issues,
+      CASE attempt WHEN 1 THEN (SELECT string_agg(t || '=' || n, ',' ORDER BY t) FROM (SELECT t, sum(n) AS n FROM all_rows GROUP BY t))
+        WHEN 3 THEN '' ELSE (SELECT string_agg(t || '=' || n, ',' ORDER BY t) FROM (SELECT t, sum(n) AS n FROM kept GROUP BY t)) END
+        AS rows_written FROM attempts GROUP BY attempt""", *_AUDIT_NEEDS, extra=_AUDIT))
+def _(spark, d):
+    """Rows as observed on the writes themselves, of the tenants' tables."""
+    own = F.map_filter("rows_written", lambda name, _: name.isin(_LOADED_TABLES))
+    return _numbered(published(spark, d).read("load_runs")).select(
+        "attempt", "status", "tenants_loaded", "tenants_failed", "error_issues", _listed(own).alias("rows_written"))
+
+
+@register("published_rows", query("SELECT company_id, t AS table_name, n AS rows FROM kept WHERE company_id < 5", *_AUDIT_NEEDS, extra=_AUDIT))
+def _(spark, d):
+    """What readers see after all attempts, resolved through the newest manifest."""
+    store, counts = published(spark, d), None
+    for name in _LOADED_TABLES:
+        part = store.read(name).groupBy("company_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(name))
+        counts = part if counts is None else counts.unionByName(part)
+    return counts.select("company_id", "table_name", "rows")
+
+
+_ONE_LINE = "regexp_replace(text, '[\\r\\n]', ' ', 'g')"
+
+
+@register("csv_fields", f"""SELECT doc_id % 4 AS company_id, CAST(doc_id AS VARCHAR) AS incident_id, lang AS type_code, source AS location,
+    length({_ONE_LINE}) AS chars, md5({_ONE_LINE}) AS text_md5 FROM documents""")
+def _(spark, d):
+    """Documents written as CSV exports of four tenants and read back, line by line, by the export reader."""
+    root = f"{shared_root(spark)}/export-{uuid.uuid4().hex}"
+    inputs.table(spark, d, "documents").select(
+        (F.col("doc_id") % 4).alias("company_id"), "lang", F.col("doc_id").alias("incident_id"),
+        F.regexp_replace("text", r"[\r\n]", " ").alias("description"), F.col("lang").alias("type_code"),
+        F.col("source").alias("location")) \
+        .write.partitionBy("company_id").option("header", True).option("escape", '"') \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(root)
+    export = csv_export.read_export(spark, root, INCIDENT_FILE, pattern="*.csv")
+    return export.rows.select("company_id", "incident_id", "type_code", "location", F.length("description").alias("chars"),
+                              F.md5(F.col("description").cast("binary")).alias("text_md5"))
