@@ -1,10 +1,10 @@
 """Byte-level BPE ids through content-defined chunks that documents share.
 
-A rolling hash over ``WINDOW`` bytes cuts every text wherever its low bits are zero, so a
+A rolling hash over ``WINDOW`` bytes cuts every text wherever its top bits are zero, so a
 passage is cut alike wherever it occurs. Then
 
-1. every distinct text sends the digests of its chunks; a chunk that two texts have is
-   shared, and the smallest text that has it owns it (one aggregation with map-side sums,
+1. every text sends the digests (128 bits) of its chunks; a chunk that two texts have is
+   shared, and the text with the smallest key owns it (one aggregation with map-side sums,
    so a chunk of a third of all texts is one row per task);
 2. owners encode their shared chunks, once in the whole corpus, and the ids go to the
    other texts that have them;
@@ -14,8 +14,9 @@ passage is cut alike wherever it occurs. Then
    whose window does not begin and end on token bounds on both sides grows over the next
    chunks, in the end over the whole text, so ids are exactly those of the whole text.
 
-Texts are keyed by digest and exchanged once, for steps 2 and 3 alike; equal texts meet
-and are encoded once per task. A text is one row, so a task holds one batch of texts.
+Texts are keyed by a 64-bit hash and exchanged once, for steps 2 and 3 alike; equal texts
+meet, are told by comparing them, and are encoded once per task. Two texts of one key lose
+nothing: a chunk that only they have is encoded in both, and loans are looked up by digest. A text is one row, so a task holds one batch of texts.
 
 A place that every context splits: one ASCII white-space character between two characters
 that are visible for sure. Whatever stands before and after, a pre-token begins at it, and
@@ -42,30 +43,27 @@ from sitelens.llm.common import raw
 
 WINDOW = 32
 # Chunks have this many bytes on average, and no two cuts are nearer than LEAST (not less than WINDOW).
-CHUNK = 512
+CHUNK = 768
 LEAST = 64
 # Bytes hashed at a time.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 # Bytes of memory a worker may use to remember words, by estimate.
-MEMO_BYTES = 24 << 20
+MEMO_BYTES = 96 << 20
 DIGEST = 16
 
 _GEAR = np.random.Generator(np.random.PCG64(20)).integers(0, 2 ** 32, 256, dtype=np.uint32)
 
 
-def _turned(h: np.ndarray, by: int) -> np.ndarray:
-    by %= 32
-    return h if not by else (h << np.uint32(by)) | (h >> np.uint32(32 - by))
-
-
 def _rolled(data: np.ndarray) -> np.ndarray:
-    """The hash of the WINDOW bytes up to each place, built in five doublings."""
+    """The gear hash of the WINDOW bytes up to each place, built in five doublings.
+
+    A byte's value is shifted once for every byte after it, so the top bits depend on all 32.
+    """
     h = _GEAR[data]
     width = 1
     while width < WINDOW:
-        before = np.zeros_like(h)
-        before[width:] = h[:-width]
-        h = h ^ _turned(before, width)
+        before = h[:-width] << np.uint32(width)
+        h[width:] += before
         width *= 2
     return h
 
@@ -76,7 +74,7 @@ def cuts(data: np.ndarray, chunk: int = CHUNK) -> list[int]:
 
 
 def _cut_texts(data: np.ndarray, offsets: np.ndarray, chunk: int):
-    """``cuts`` of each text of a batch, hashed about a megabyte at a time.
+    """``cuts`` of each text of a batch, hashed ``STRETCH`` bytes at a time.
 
     Hashes of neighbouring texts may run into each other: only the first WINDOW - 1 bytes
     of a text are touched, where no cut can be.
@@ -85,7 +83,7 @@ def _cut_texts(data: np.ndarray, offsets: np.ndarray, chunk: int):
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + STRETCH)) - 1)
         part = data[offsets[first]:offsets[last]]
-        places = np.flatnonzero((_rolled(part) & np.uint32(chunk - 1)) == 0) + 1 + offsets[first]
+        places = np.flatnonzero(_rolled(part) < np.uint32(2 ** 32 // chunk)) + 1 + offsets[first]
         for a, b in zip(offsets[first:last].tolist(), offsets[first + 1:last + 1].tolist()):
             yield _greedy(places[np.searchsorted(places, a + LEAST):np.searchsorted(places, b)], data, a, b)
         first = last
@@ -217,10 +215,48 @@ def coder(spec: str) -> Coder:
     return _coders[spec]
 
 
+# A safe place (see ``splits``) stands after this, before a visible character.
+_BEFORE_SAFE = re.compile(rb"(?:[!-~]|[\xc3-\xdf][\x80-\xbf])(?=[ \n\t](?:[!-~]|[\xc3-\xdf][\x80-\xbf]))")
+# Bytes on either side of a join that are searched first.
+NEAR = 160
+
+
+def _windows(data: bytes, ends: list[int]) -> list[int] | None:
+    """Begin and end of the window around every join, if each has safe places nearby in its two chunks."""
+    out, low = [], 0
+    for k, end in enumerate(ends[:-1]):
+        last = None
+        for last in _BEFORE_SAFE.finditer(data, max(low, end - NEAR), end):
+            pass
+        after = _BEFORE_SAFE.search(data, end, min(ends[k + 1], end + NEAR))
+        if last is None or after is None or out and last.end() <= out[-1]:
+            return None
+        out += [last.end(), after.end()]
+        low = end
+    return out
+
+
 def joined(code: Coder, data: bytes, ends: list[int], parts: list[np.ndarray]) -> np.ndarray:
     """Ids of the whole text from the ids of its chunks, with every join repaired."""
     if len(parts) == 1:
         return parts[0]
+    windows = _windows(data, ends)
+    if windows is not None:
+        ids = np.concatenate(parts)
+        bounds = np.concatenate([[0], np.cumsum(code.lengths[ids])])
+        wanted = np.array([*windows, *ends])
+        places = np.searchsorted(bounds, wanted).clip(max=len(ids))
+        if (bounds[places] == wanted).all():
+            out, done, places = [], 0, places.tolist()
+            for k in range(0, len(windows), 2):
+                out += [ids[done:places[k]], code.ids(data[windows[k]:windows[k + 1]].decode())]
+                done = places[k + 1]
+            return np.concatenate([*out, ids[done:]])
+    return _joined_widely(code, data, ends, parts)
+
+
+def _joined_widely(code: Coder, data: bytes, ends: list[int], parts: list[np.ndarray]) -> np.ndarray:
+    """``joined`` with windows that grow as far as they must."""
     safe = splits(np.frombuffer(data, np.uint8))
     bounds, start = [], 0  # bytes of the text at which the tokens of each chunk begin
     for end, ids in zip(ends, parts):
@@ -297,7 +333,8 @@ def digests(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str = "tex
 def _run(docs: DataFrame, spec: str, doc_id: str, text: str, chunk: int, describe, schema: str) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole.cast("binary").alias("text"),
-                        F.substring(F.unhex(F.sha2(whole, 256)), 1, DIGEST).alias("key"))
+                        # Never null, so that no join filters it and both joins read one exchange of the texts.
+                        F.xxhash64(whole).alias("key"))
 
     def cut(batches):
         for batch in batches:
@@ -306,9 +343,9 @@ def _run(docs: DataFrame, spec: str, doc_id: str, text: str, chunk: int, describ
                 own = set(_named(text_, ends))
                 keys += [key] * len(own)
                 found += own
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(keys, pa.binary())], ["chunk", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(keys, pa.int64())], ["chunk", "key"])
 
-    places = texts.select("text", "key").mapInArrow(cut, "chunk binary, key binary")
+    places = texts.select("text", "key").mapInArrow(cut, "chunk binary, key bigint")
     # A chunk is shared if two different texts have it; copies of one text share everything as a whole.
     shared = places.groupBy("chunk").agg(F.min("key").alias("owner"), F.max("key").alias("other")).where("owner <> other") \
         .select("chunk", "owner")
@@ -319,11 +356,10 @@ def _run(docs: DataFrame, spec: str, doc_id: str, text: str, chunk: int, describ
         for batch in batches:
             names, ids = [], []
             last = None
-            for key, (text_, ends), given in zip(batch.column(0).to_pylist(), _cut_up(batch.column(1), chunk),
-                                                 batch.column(2).to_pylist()):
-                if key == last:  # copies of a text lie together
+            for (text_, ends), given in zip(_cut_up(batch.column(1), chunk), batch.column(2).to_pylist()):
+                if text_ == last:  # copies of a text lie together
                     continue
-                last, wanted, begin = key, set(given), 0
+                last, wanted, begin = text_, set(given), 0
                 for name, end in zip(_named(text_, ends), ends):
                     if name in wanted:
                         wanted.discard(name)
@@ -343,9 +379,8 @@ def _run(docs: DataFrame, spec: str, doc_id: str, text: str, chunk: int, describ
         last, done = None, None
         for batch in batches:
             out = []
-            for key, (text_, ends), lent_ in zip(batch.column(0).to_pylist(), _cut_up(batch.column(1), chunk),
-                                                 batch.column(3).to_pylist()):
-                if key != last:
+            for (text_, ends), lent_ in zip(_cut_up(batch.column(1), chunk), batch.column(3).to_pylist()):
+                if text_ != last:
                     have = {x["chunk"]: np.frombuffer(x["ids"], code.kind) for x in lent_ or ()}
                     parts, begin = [], 0
                     for name, end in zip(_named(text_, ends) if have else [None] * len(ends), ends):
@@ -354,7 +389,7 @@ def _run(docs: DataFrame, spec: str, doc_id: str, text: str, chunk: int, describ
                         begin = end
                     ids = (joined(code, text_, ends, parts) if code.known else code.ids(text_.decode())) if parts \
                         else np.zeros(0, code.kind)
-                    last, done = key, describe(code, ids)
+                    last, done = text_, describe(code, ids)
                 out.append(done)
             columns = list(zip(*out)) if out else [()] * len(schema.split(","))
             kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}

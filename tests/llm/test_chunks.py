@@ -59,6 +59,9 @@ def test_every_cut_is_repaired(spec, library):
         ends = sorted({*r.sample(bounds, min(len(bounds), r.randint(0, 6))), len(data)})
         parts = [code.ids(data[a:b].decode()) for a, b in zip([0, *ends], ends)]
         ids = chunks.joined(code, data, ends, parts)
+        assert len(parts) == 1 or chunks._joined_widely(code, data, ends, parts).tolist() == ids.tolist()
+        found = chunks._windows(data, ends)
+        assert not found or set(found) <= set(chunks.splits(np.frombuffer(data, np.uint8)).tolist())
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
         assert code.decoded(ids) == library.decode(ids.tolist(), skip_special_tokens=False)
 
@@ -94,7 +97,7 @@ def test_cuts_depend_on_content_only():
     found = []
     for before in (b"", b"x" * 777, bytes(r.choice(b"abc ") for _ in range(1234))):
         data = before + passage + b"end" * 50
-        ends = chunks.cuts(np.frombuffer(data, np.uint8))
+        ends = chunks.cuts(np.frombuffer(data, np.uint8), 256)
         assert ends[-1] == len(data) and min(np.diff([0, *ends])[:-1]) >= chunks.LEAST
         found.append({e - len(before) for e in ends if 1000 < e - len(before) < 6000})
     assert len(found[0] & found[1] & found[2]) >= 0.7 * len(found[0]) > 3
