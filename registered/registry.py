@@ -13,7 +13,7 @@ from sitelens.functions import normalise
 from sitelens.functions.numbers import strip
 from sitelens.functions.robust import robust_outliers
 from sitelens.operators import citations, contracts, electricity, fuel, grounding, incidents, suppliers
-from sitelens.operators.ledger import findings_report, findings_totals
+from sitelens.operators.ledger import findings_report, findings_totals, mark
 from sitelens.operators.rules import EXPORT_FILES, INCIDENT_FILE, rule_catalogue
 from sitelens.plans import load, marts, outage, reports
 from sitelens.plans.factpack import build_fact_pack
@@ -248,7 +248,7 @@ def _(spark, d):
         count(*) FILTER (WHERE severity = 'error') AS errors FROM fuel_issues GROUP BY 1, 2) USING (company_id, source_row_number)""",
     "fuel_facts", "fuel_issues"))
 def _(spark, d):
-    return fuel.fuel_facts(fuel.row_issues(fuel.classify_rows(inputs.fuel_raw(spark, d)))).drop("source_file")
+    return fuel.fuel_facts(mark(fuel.classify_rows(inputs.fuel_raw(spark, d)), fuel.row_checks())).drop("source_file")
 
 
 @register("fuel_issues", query(_issues_sql + "fuel_issues", "fuel_issues"))
@@ -299,8 +299,8 @@ def _(spark, d):
     f"""SELECT company_id, source_row_number, meter_id, {_date('period')}, {_num('consumption_kwh')}, {_num('original_consumption')},
       original_unit, {_num('unit_correction_factor')} FROM power_facts""", "power_facts"))
 def _(spark, d):
-    return electricity.reading_facts(electricity.row_issues(electricity.repair_units(electricity.parse_readings(
-        inputs.power_raw(spark, d))))).drop("source_file", "issue_count", "error_count")
+    return electricity.reading_facts(mark(electricity.repair_units(electricity.parse_readings(
+        inputs.power_raw(spark, d))), electricity.row_checks())).drop("source_file", "issue_count", "error_count")
 
 
 @register("electricity_issues", query(_issues_sql + "power_issues", "power_issues"))
@@ -1089,6 +1089,86 @@ def _(spark, d):
         *contracts.load_checks(inputs.loads(spark, d))])
 
 
+_STORED = {
+    "companies": """SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'Nation ' || n_nationkey WHEN n_nationkey % 5 = 1 THEN 'nation-1'
+      ELSE 'nation-' || n_nationkey END AS slug, CASE WHEN n_nationkey % 3 = 0 THEN '12345' ELSE lpad(CAST(n_nationkey AS VARCHAR), 11, '1') END AS abn FROM nation""",
+    "users": """SELECT c_custkey % 5 AS company_id, CASE WHEN c_custkey % 10 = 0 THEN 'Bad@x.org' WHEN c_custkey % 10 = 1 THEN 'none'
+      ELSE 'u' || c_custkey || '@x.org' END AS email FROM customer""",
+    "stored_areas": """SELECT CASE WHEN p_partkey % 2 = 1 THEN p_partkey % 3 END AS company_id, p_name AS name,
+      CASE WHEN p_size < 10 THEN 'pit' WHEN p_size < 45 THEN 'fleet' ELSE 'tent' END AS category FROM part""",
+    "stored_factors": "SELECT p_type AS factor_key, p_retailprice - 950 AS rate, p_size % 3 AS scope FROM part",
+    "stored_issues": """SELECT company_id, CASE WHEN source_row_number % 17 = 0 THEN 'NO-RULE' ELSE rule_id END AS rule_id,
+      CASE WHEN source_row_number % 11 = 0 THEN 'fatal' ELSE severity END AS severity,
+      CASE WHEN source_row_number % 13 = 0 THEN 'ignored' ELSE action END AS action, source_row_number % 7 = 0 AS emptied FROM ledger""",
+    "stored_incidents": "SELECT company_id, id, severity * 2 AS severity, type_code, site_area FROM incident_facts",
+    "stored_reports": """SELECT c_custkey % 5 AS company_id, c_custkey AS k, c_mktsegment AS model, CAST(c_nationkey AS VARCHAR) AS fact_digest,
+      '2025-' || c_custkey % 12 AS period_from, CASE WHEN c_custkey % 4 > 0 THEN 'F' || c_custkey % 30 END AS cited FROM customer""",
+}
+
+
+def _broken(check, source, where, tenant="company_id"):
+    return f"SELECT '{check}' AS check_id, CAST({tenant} AS BIGINT) AS company_id, '' AS key, count(*) AS rows FROM {source} WHERE {where} GROUP BY 2"
+
+
+def _shared(check, source, keys, tenant="NULL", where="true"):
+    return f"SELECT '{check}', CAST({tenant} AS BIGINT), {keys}, count(*) FROM {source} WHERE {where} GROUP BY 2, 3 HAVING count(*) > 1"
+
+
+def _lost(check, source, key, where):
+    return f"SELECT '{check}', company_id, CAST({key} AS VARCHAR), count(*) FROM {source} WHERE {where} GROUP BY 2, 3"
+
+
+@register("stored_contracts", query(" UNION ALL ".join([
+    _broken("company-slug", "companies", "slug LIKE 'Nation %'", "NULL"), _shared("company-slug-unique", "companies", "slug"),
+    _broken("company-abn", "companies", "abn = '12345'", "NULL"), _broken("email-format", "users", "email IN ('Bad@x.org', 'none')"),
+    _broken("area-category", "stored_areas", "category = 'tent'"), _shared("area-global-unique", "stored_areas", "name", where="company_id IS NULL"),
+    _shared("area-tenant-unique", "stored_areas", "name", "company_id", "company_id IS NOT NULL"),
+    _shared("factor-unique", "stored_factors", "factor_key"), _broken("factor-positive", "stored_factors", "rate <= 0", "NULL"),
+    _broken("factor-scope", "stored_factors", "scope = 0", "NULL"),
+    _broken("issue-fixed-has-value", "stored_issues", "action = 'fixed' AND emptied"), _broken("issue-severity", "stored_issues", "severity = 'fatal'"),
+    _broken("issue-action", "stored_issues", "action = 'ignored'"), _lost("issue-rule", "stored_issues", "rule_id", "rule_id = 'NO-RULE'"),
+    _broken("incident-severity", "stored_incidents", "severity > 3"), _lost("incident-type", "stored_incidents", "type_code", "type_code = 'XX'"),
+    _lost("incident-site-area", "stored_incidents", "site_area", "site_area = 'Haul Fleet'"),
+    _shared("report-run-unique", "stored_reports", "model || '|v1|' || fact_digest", "company_id"),
+    _broken("report-period", "stored_reports", "length(period_from) < 7"), _broken("claim-cited", "stored_reports", "cited IS NULL"),
+    _lost("claim-citation-known", "stored_reports", "cited", "cited IS NOT NULL AND (company_id = 4 OR CAST(substr(cited, 2) AS BIGINT) >= 25)"),
+    _lost("report-has-facts", "stored_reports", "''", "company_id = 4"),
+]), "ledger", "incident_facts", extra=_STORED))
+def _(spark, d):
+    """Contracts of the stored dimension, ledger, incident and report tables, on rows that break each of them."""
+    nation, customer, part = (inputs.table(spark, d, t) for t in ("nation", "customer", "part"))
+    n, c, p, line = F.col("n_nationkey"), F.col("c_custkey"), F.col("p_partkey"), F.col("source_row_number")
+    companies = nation.select(
+        F.when(n % 5 == 0, F.concat(F.lit("Nation "), n.cast("string"))).when(n % 5 == 1, "nation-1")
+        .otherwise(F.concat(F.lit("nation-"), n.cast("string"))).alias("slug"),
+        F.when(n % 3 == 0, "12345").otherwise(F.lpad(n.cast("string"), 11, "1")).alias("abn"))
+    users = customer.select((c % 5).alias("company_id"), F.when(c % 10 == 0, "Bad@x.org").when(c % 10 == 1, "none")
+                            .otherwise(F.concat(F.lit("u"), c.cast("string"), F.lit("@x.org"))).alias("email"))
+    areas = part.select(F.when(p % 2 == 1, p % 3).alias("company_id"), F.col("p_name").alias("name"),
+                        F.when(F.col("p_size") < 10, "pit").when(F.col("p_size") < 45, "fleet").otherwise("tent").alias("category"))
+    factors = part.select(F.col("p_type").alias("factor_key"), (F.col("p_retailprice") - 950).alias("kg_co2e_per_unit"),
+                          (F.col("p_size") % 3).alias("scope"))
+    issues = _ledger(spark, d).withColumns({
+        "rule_id": F.when(line % 17 == 0, "NO-RULE").otherwise(F.col("rule_id")),
+        "severity": F.when(line % 11 == 0, "fatal").otherwise(F.col("severity")),
+        "action": F.when(line % 13 == 0, "ignored").otherwise(F.col("action")),
+        "resolved_value": F.when(line % 7 == 0, F.lit(None)).otherwise(F.col("resolved_value"))})
+    found = _incident_facts(spark, d).withColumn("severity", F.col("severity") * 2)
+    places = found.select("company_id", "site_area").where("site_area <> 'Haul Fleet'").distinct()
+    reports_ = customer.select(
+        (c % 5).alias("company_id"), c.cast("string").alias("report_id"), F.col("c_mktsegment").alias("model"), F.lit("v1").alias("prompt_version"),
+        F.col("c_nationkey").cast("string").alias("fact_digest"), F.concat(F.lit("2025-"), (c % 12).cast("string")).alias("period_from"),
+        F.lit("2025-12").alias("period_to"))
+    cited = F.when(c % 4 > 0, F.array(F.concat(F.lit("F"), (c % 30).cast("string"))))
+    claims = customer.select((c % 5).alias("company_id"), c.cast("string").alias("report_id"), F.lit(1).alias("seq"), cited.alias("citations"))
+    facts = customer.where(c < 25).select(c.alias("k")).select(F.concat(F.lit("F"), F.col("k").cast("string")).alias("id"),
+                                                               F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))).alias("company_id"))
+    return contracts.validate([
+        *contracts.dimension_checks(factors, areas, companies), contracts.email_check(users),
+        *contracts.ledger_checks(issues, rule_catalogue(spark)), *contracts.incident_checks(found, incident_types(spark), places),
+        *contracts.report_checks(reports_, claims, facts)])
+
+
 @register("finding_contracts", query(
     """SELECT 'finding-assessment' AS check_id, company_id, '' AS key, count(*) AS rows FROM finding_raw WHERE severity_assessment NOT BETWEEN 1 AND 3 GROUP BY 2
       UNION ALL SELECT 'finding-confidence', company_id, '', count(*) FROM finding_raw WHERE confidence > 1 GROUP BY 2

@@ -1,65 +1,107 @@
 """Table contracts as validation jobs: keys, ranges, vocabularies, references.
 
-Every check yields violations ``(check_id, company_id, key, rows)`` in aggregated
-form, so a rule broken by a third of a table still gives one row per key.
+A contract is declared, not run. ``validate`` compiles all contracts of one table into a
+single scan and a single aggregate: every row offers the keys it must not share, the
+references it makes and the ranges it breaks, and these are counted together, map-side
+first, so a rule broken by a third of a table still gives one row per key. Violations are
+``(check_id, company_id, key, rows)``.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitelens.operators.citations import CLAIM_KEY
 from sitelens.operators.grounding import CATEGORIES, verify_findings
 
 
-def _tenant(df: DataFrame) -> Column:
-    return F.col("company_id") if "company_id" in df.columns else F.lit(None).cast("bigint")
+class Contract(NamedTuple):
+    table: DataFrame
+    check_id: str
+    kind: str                          # unique, holds or refers
+    keys: list[str]                    # columns that make the key
+    applies: Column | None             # rows that are looked at; for a range, those that break it
+    target: DataFrame | None = None    # where references must be found
+    target_keys: list[str] | None = None
 
 
-def unique(df: DataFrame, check_id: str, keys: list[str]) -> DataFrame:
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    return counted.select(
-        F.lit(check_id).alias("check_id"), _tenant(counted).alias("company_id"),
-        F.concat_ws("|", *[F.col(k).cast("string") for k in keys if k != "company_id"]).alias("key"), "rows")
+def unique(df: DataFrame, check_id: str, keys: list[str], where: Column | str | None = None) -> Contract:
+    """No two rows have equal keys (nulls are equal)."""
+    return Contract(df, check_id, "unique", keys, F.expr(where) if isinstance(where, str) else where)
 
 
-def holds(df: DataFrame, check_id: str, condition: Column | str) -> DataFrame:
-    """Rows for which the condition is false (null passes, as in a SQL check), per tenant."""
+def holds(df: DataFrame, check_id: str, condition: Column | str) -> Contract:
+    """No row for which the condition is false (null passes, as in a SQL check), counted per tenant."""
     cond = F.expr(condition) if isinstance(condition, str) else condition
-    bad = df.where(~F.coalesce(cond, F.lit(True)))
-    return bad.groupBy(_tenant(bad).alias("company_id")).agg(F.count(F.lit(1)).alias("rows")) \
-        .select(F.lit(check_id).alias("check_id"), "company_id", F.lit("").alias("key"), "rows")
-
-
-def refers(df: DataFrame, check_id: str, on: dict[str, str], target: DataFrame) -> DataFrame:
-    """Non-null references without a target. Distinct values are compared, not rows."""
-    used = df.where(" and ".join(f"{c} is not null" for c in on)) \
-        .groupBy(_tenant(df).alias("_tenant"), *on).agg(F.count(F.lit(1)).alias("rows"))
-    names = target.select(*[F.col(t).alias(c) for c, t in on.items()]).distinct()
-    lost = used.join(names, list(on), "left_anti")
-    return lost.select(F.lit(check_id).alias("check_id"), F.col("_tenant").cast("bigint").alias("company_id"),
-                       F.concat_ws("|", *[F.col(c).cast("string") for c in on if c != "company_id"]).alias("key"), "rows")
-
-
-def validate(violations: list[DataFrame]) -> DataFrame:
-    out = violations[0]
-    for v in violations[1:]:
-        out = out.unionByName(v)
+    return Contract(df, check_id, "holds", [], ~F.coalesce(cond, F.lit(True)))
+
+
+def refers(df: DataFrame, check_id: str, on: dict[str, str], target: DataFrame, where: Column | str | None = None) -> Contract:
+    """Non-null references have a target. Distinct values are compared, not rows."""
+    given = F.lit(True) if where is None else F.expr(where) if isinstance(where, str) else where
+    for c in on:
+        given = given & F.col(c).isNotNull()
+    return Contract(df, check_id, "refers", list(on), given, target, list(on.values()))
+
+
+def _values(columns: list[str]) -> Column:
+    return F.array(*[F.col(c).cast("string") for c in columns]) if columns else F.array().cast("array<string>")
+
+
+def _compiled(table: DataFrame, contracts: list[Contract]) -> DataFrame:
+    """All contracts of one table: one scan, one aggregate, and one anti-join if any refer."""
+    offers = []
+    for c in contracts:
+        # A key without the tenant in it is unique over all tenants.
+        owned = "company_id" in table.columns and (c.kind != "unique" or "company_id" in c.keys)
+        offer = F.struct(F.lit(c.check_id).alias("check_id"),
+                         (F.col("company_id").cast("bigint") if owned else F.lit(None).cast("bigint")).alias("company_id"),
+                         _values(c.keys).alias("values"))
+        offers.append(offer if c.applies is None else F.when(c.applies, offer))
+    counted = table.select(F.explode(F.filter(F.array(*offers), lambda o: o.isNotNull())).alias("o")) \
+        .groupBy("o.check_id", "o.company_id", "o.values").agg(F.count(F.lit(1)).alias("rows"))
+    keyed = [c.check_id for c in contracts if c.kind == "unique"]
+    found = counted.where((F.col("rows") > 1) | ~F.col("check_id").isin(keyed)) if keyed else counted
+    targets = None
+    for c in contracts:
+        if c.kind == "refers":
+            part = c.target.select(F.lit(c.check_id).alias("check_id"), _values(c.target_keys).alias("values")).distinct()
+            targets = part if targets is None else targets.unionByName(part)
+    if targets is not None:
+        found = found.join(targets, ["check_id", "values"], "left_anti")
+    with_tenant = [c.check_id for c in contracts if "company_id" in c.keys]
+    shown = F.when(F.col("check_id").isin(with_tenant), F.slice("values", F.lit(2), F.greatest(F.size("values") - 1, F.lit(0)))) \
+        .otherwise(F.col("values")) if with_tenant else F.col("values")
+    return found.select("check_id", "company_id", F.concat_ws("|", shown).alias("key"), "rows")
+
+
+def validate(contracts: list[Contract]) -> DataFrame:
+    """Violations of all contracts; tables are told apart as DataFrame objects."""
+    tables: dict[int, list[Contract]] = {}
+    for c in contracts:
+        if "company_id" in c.keys[1:]:
+            raise ValueError(f"{c.check_id}: the tenant comes first in a key")
+        tables.setdefault(id(c.table), []).append(c)
+    out = None
+    for group in tables.values():
+        part = _compiled(group[0].table, group)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def fuel_checks(fuel, factors, areas) -> list[DataFrame]:
+def fuel_checks(fuel, factors, areas) -> list[Contract]:
     return [
         unique(fuel, "fuel-invoice-unique", ["company_id", "invoice_no"]),
         holds(fuel, "fuel-credit-sign", "is_credit_note = (quantity_l < 0)"),
         holds(fuel, "fuel-precision", F.col("date_precision").isin("day", "month")),
         refers(fuel, "fuel-factor", {"factor_key": "factor_key"}, factors),
-        refers(fuel.where("site_area <> ''"), "fuel-site-area",
-               {"company_id": "company_id", "site_area": "site_area"}, areas),
+        refers(fuel, "fuel-site-area", {"company_id": "company_id", "site_area": "site_area"}, areas, "site_area <> ''"),
     ]
 
 
-def reading_checks(readings, meters) -> list[DataFrame]:
+def reading_checks(readings, meters) -> list[Contract]:
     return [
         unique(readings, "reading-unique", ["company_id", "meter_id", "period"]),
         unique(meters, "meter-unique", ["company_id", "meter_id"]),
@@ -69,7 +111,7 @@ def reading_checks(readings, meters) -> list[DataFrame]:
     ]
 
 
-def incident_checks(incidents, types, areas) -> list[DataFrame]:
+def incident_checks(incidents, types, areas) -> list[Contract]:
     return [
         unique(incidents, "incident-unique", ["company_id", "id"]),
         holds(incidents, "incident-severity", "severity between 1 and 3"),
@@ -78,7 +120,7 @@ def incident_checks(incidents, types, areas) -> list[DataFrame]:
     ]
 
 
-def supplier_checks(suppliers) -> list[DataFrame]:
+def supplier_checks(suppliers) -> list[Contract]:
     return [
         holds(suppliers, "supplier-not-own-duplicate", "duplicate_of_row <> source_row_number"),
         refers(suppliers, "supplier-primary", {"company_id": "company_id", "duplicate_of_row": "source_row_number"},
@@ -86,15 +128,15 @@ def supplier_checks(suppliers) -> list[DataFrame]:
     ]
 
 
-def dimension_checks(factors, areas, companies=None) -> list[DataFrame]:
+def dimension_checks(factors, areas, companies=None) -> list[Contract]:
     """``areas``: name, category, company_id as stored (null company = global)."""
     out = [
         unique(factors, "factor-unique", ["factor_key"]),
         holds(factors, "factor-positive", "kg_co2e_per_unit > 0"),
         holds(factors, "factor-scope", "scope in (1, 2)"),
         holds(areas, "area-category", F.col("category").isin("pit", "fixed_plant", "fleet", "services", "unknown")),
-        unique(areas.where("company_id is null").drop("company_id"), "area-global-unique", ["name"]),
-        unique(areas.where("company_id is not null"), "area-tenant-unique", ["company_id", "name"]),
+        unique(areas, "area-global-unique", ["name"], "company_id is null"),
+        unique(areas, "area-tenant-unique", ["company_id", "name"], "company_id is not null"),
     ]
     if companies is not None:
         out += [holds(companies, "company-slug", F.col("slug").rlike("^[a-z0-9]+(-[a-z0-9]+)*$")),
@@ -103,11 +145,11 @@ def dimension_checks(factors, areas, companies=None) -> list[DataFrame]:
     return out
 
 
-def email_check(users: DataFrame) -> DataFrame:
+def email_check(users: DataFrame) -> Contract:
     return holds(users, "email-format", "email = lower(email) and email like '%@%'")
 
 
-def ledger_checks(issues, rules) -> list[DataFrame]:
+def ledger_checks(issues, rules) -> list[Contract]:
     return [
         holds(issues, "issue-fixed-has-value", "action <> 'fixed' or resolved_value is not null"),
         holds(issues, "issue-severity", F.col("severity").isin("error", "warning", "info")),
@@ -119,7 +161,7 @@ def ledger_checks(issues, rules) -> list[DataFrame]:
     ]
 
 
-def load_checks(loads) -> list[DataFrame]:
+def load_checks(loads) -> list[Contract]:
     return [
         holds(loads, "load-failed-has-reason", "status <> 'failed' or failure_reason is not null"),
         holds(loads, "load-status", F.col("status").isin("succeeded", "failed")),
@@ -127,7 +169,7 @@ def load_checks(loads) -> list[DataFrame]:
     ]
 
 
-def finding_checks(findings, incidents) -> list[DataFrame]:
+def finding_checks(findings, incidents) -> list[Contract]:
     """Among them the grounding contract: every stored quote is verbatim in its incident."""
     run = ["company_id", "incident_id", "model", "prompt_version"]
     bad = verify_findings(findings.drop("severity_mismatch", "recorded_severity"), incidents,
@@ -142,7 +184,7 @@ def finding_checks(findings, incidents) -> list[DataFrame]:
     ]
 
 
-def report_checks(reports, claims, facts) -> list[DataFrame]:
+def report_checks(reports, claims, facts) -> list[Contract]:
     """Every claim cited, every citation stored as a fact, no report without facts."""
     cited = claims.select(*CLAIM_KEY, F.explode_outer("citations").alias("id"))
     out = [

@@ -10,7 +10,7 @@ from sitelens.functions.normalise import meter_number, normalise_date
 from sitelens.functions.numbers import money_half_up, parse_decimal, plain, strip
 from sitelens.functions.robust import robust_outliers
 from sitelens.operators.ledger import (
-    collect_row_issues, explode_issues, file_issue, issue, span_key)
+    Check, check, explode_issues, file_issue, issue, mark, span_key)
 from sitelens.operators.rules import POWER_FILE
 from sitelens.operators.skew import HOT_ROWS, attach, exact_median
 from sitelens.session import materialise
@@ -95,28 +95,29 @@ def repair_units(parsed: DataFrame, hot_rows: int = HOT_ROWS,
         money_half_up((F.col("value") * factor).cast("decimal(26,6)")).alias("consumption_kwh"))
 
 
-def row_issues(rows: DataFrame) -> DataFrame:
+def row_checks() -> list[Check]:
+    """The rules on single rows, in checking order."""
     line = F.col("source_row_number")
     key = F.concat_ws(" ", F.col("meter_id"), F.date_format("period", "yyyy-MM"))
     written = F.concat_ws(" ", plain(F.col("value")), F.col("unit"))
     norm = F.format_number("reference", 0)
-    return rows.withColumn("row_issues", collect_row_issues([
-        (F.col("reject"), issue(
-            "ELEC-UNIT-SCALE-01", F.lit("Period or consumption cannot be read; the row is left out."),
+    return [
+        check(
+            F.col("reject"), "ELEC-UNIT-SCALE-01", F.lit("Period or consumption cannot be read; the row is left out."),
             line, F.col("meter_id"), None, F.concat_ws(" ", "raw_period", "raw_consumption"),
-            severity="error", action="rejected")),
-        (F.col("repair") == "fixed", issue(
-            "ELEC-UNIT-SCALE-01",
+            severity="error", action="rejected"),
+        check(
+            F.col("repair") == "fixed", "ELEC-UNIT-SCALE-01",
             F.concat(written, F.lit(" is about a thousandth of the meter's median of "), norm,
                      F.lit(" kWh; taken as MWh and multiplied by 1000.")),
             line, key, "consumption", written,
-            F.concat(plain(F.col("value") * F.lit(MWH_TO_KWH)), F.lit(" kWh")))),
-        (F.col("repair") == "flagged", issue(
-            "ELEC-UNIT-SCALE-01",
+            F.concat(plain(F.col("value") * F.lit(MWH_TO_KWH)), F.lit(" kWh"))),
+        check(
+            F.col("repair") == "flagged", "ELEC-UNIT-SCALE-01",
             F.concat(written, F.lit(" is far below the meter's median of "), norm,
                      F.lit(" kWh, and 1000 times as much does not fit either; kept as written.")),
-            line, key, "consumption", written, action="flagged")),
-    ]))
+            line, key, "consumption", written, action="flagged"),
+    ]
 
 
 def reading_facts(rows: DataFrame) -> DataFrame:
@@ -125,8 +126,7 @@ def reading_facts(rows: DataFrame) -> DataFrame:
         F.col("value").try_cast("decimal(14,2)").alias("original_consumption"),
         F.col("unit").alias("original_unit"), "unit_correction_factor",
         F.lit(POWER_FILE).alias("source_file"), "source_row_number",
-        F.size("row_issues").alias("issue_count"),
-        F.size(F.filter("row_issues", lambda i: i["severity"] == "error")).alias("error_count"))
+        "issue_count", "error_count")
 
 
 def meter_table(rows: DataFrame) -> DataFrame:
@@ -203,6 +203,6 @@ def drop_issues(rows: DataFrame) -> DataFrame:
 
 def clean_electricity(raw: DataFrame, hot_rows: int = HOT_ROWS,
                       stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> ElectricityResult:
-    rows = stage(row_issues(repair_units(parse_readings(raw), hot_rows)))
-    issues = explode_issues(rows).unionByName(meter_gap_issues(rows)).unionByName(drop_issues(rows))
+    rows = stage(mark(repair_units(parse_readings(raw), hot_rows), row_checks()))
+    issues = explode_issues(rows, row_checks()).unionByName(meter_gap_issues(rows)).unionByName(drop_issues(rows))
     return ElectricityResult(rows, meter_table(rows), reading_facts(rows), issues)

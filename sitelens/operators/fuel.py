@@ -11,9 +11,10 @@ from sitelens.functions.normalise import (
     price_is_plausible)
 from sitelens.functions.numbers import plain, strip
 from sitelens.functions.robust import robust_outliers
-from sitelens.operators.ledger import collect_row_issues, explode_issues, file_issue, issue
+from sitelens.operators.ledger import Check, check, explode_issues, file_issue, issue, mark
 from sitelens.operators.rules import FUEL_FILE
 from sitelens.operators.skew import HOT_ROWS, attach
+from sitelens.session import materialise
 from sitelens.sources.reference import FACTOR_KEY_BY_FUEL, SITE_AREAS, lookup
 
 RAW_COLUMNS = ["invoice_no", "delivery_date", "fuel_type", "quantity", "unit", "cost", "site_area"]
@@ -26,12 +27,14 @@ class FuelResult(NamedTuple):
     issues: DataFrame    # row-level and file-level issues
 
 
-def classify_rows(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def classify_rows(raw: DataFrame, hot_rows: int = HOT_ROWS,
+                  stage: Callable[[DataFrame], DataFrame] = materialise) -> DataFrame:
     """Parse every row and decide its fate: ``reject`` is null for loaded rows.
 
     ``raw`` has ``company_id``, ``source_row_number`` (unique per tenant) and the
     text columns of ``RAW_COLUMNS``. The first failing step in the order date,
-    quantity, fuel type, duplicate wins, and hides the issues of later steps.
+    quantity, fuel type, duplicate wins, and hides the issues of later steps. Parsed rows
+    are staged once, because the owners of invoice numbers and the rows both read them.
     """
     text = raw.select("company_id", F.col("source_row_number").cast("bigint").alias("source_row_number"),
                       *[strip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in RAW_COLUMNS])
@@ -49,8 +52,7 @@ def classify_rows(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     # Which line claims each invoice number. Signatures travel as two hashes so the
     # aggregate keeps fixed-width buffers.
     signature = F.concat_ws("|", "delivery_date", "fuel_type", "quantity", "unit", "cost", "site_area")
-    signed = parsed.withColumn("s1", F.xxhash64(signature)) \
-        .withColumn("s2", F.xxhash64(F.lit(1), signature))
+    signed = stage(parsed.withColumn("s1", F.xxhash64(signature)).withColumn("s2", F.xxhash64(F.lit(1), signature)))
     candidate = F.when(F.col("early").isNull(), F.col("source_row_number"))
     owners = signed.groupBy("company_id", "invoice_no").agg(
         F.min(candidate).alias("first_line"),
@@ -78,8 +80,8 @@ def classify_rows(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
-def row_issues(rows: DataFrame) -> DataFrame:
-    """Add ``row_issues``, the issues of every row in checking order."""
+def row_checks() -> list[Check]:
+    """The rules on single rows, in checking order."""
     line, key = F.col("source_row_number"), F.col("invoice_no")
     reject = F.col("reject")
     dated = F.coalesce(reject != "date", F.lit(True))
@@ -90,56 +92,55 @@ def row_issues(rows: DataFrame) -> DataFrame:
     price = implied_price(F.col("cost_aud"), F.col("litres"))
     known = [name for name, _ in SITE_AREAS]
 
-    def rejected(field, description, original):
-        return issue("FUEL-FORMAT-01", description, line, key, field, original,
-                     severity="error", action="rejected")
-
-    return rows.withColumn("row_issues", collect_row_issues([
-        (reject == "date", rejected(
-            "Delivery Date", F.concat(F.lit("No usable delivery date ("), "date_error",
-                                      F.lit("); the row belongs to no month and is left out.")),
-            F.col("delivery_date"))),
-        (dated & (F.col("date_precision") == "month"), issue(
-            "FUEL-DATE-PRECISION-01",
+    def rejected(when, field, description, original):
+        return check(when, "FUEL-FORMAT-01", description, line, key, field, original, severity="error", action="rejected")
+
+    return [
+        rejected(
+            reject == "date", "Delivery Date",
+            F.concat(F.lit("No usable delivery date ("), "date_error", F.lit("); the row belongs to no month and is left out.")),
+            F.col("delivery_date")),
+        check(
+            dated & (F.col("date_precision") == "month"), "FUEL-DATE-PRECISION-01",
             F.concat(F.lit("Only the month is given; placed on "), F.col("date").cast("string"), F.lit(".")),
-            line, key, "Delivery Date", F.col("delivery_date"))),
-        (reject == "quantity", rejected(
-            "Quantity", F.concat(F.lit("No usable quantity ("), "quantity_error",
-                                 F.lit("); the row is left out.")), written)),
-        (measured & (F.col("factor") != 1), issue(
-            "FUEL-UNIT-KL-01",
+            line, key, "Delivery Date", F.col("delivery_date")),
+        rejected(
+            reject == "quantity", "Quantity",
+            F.concat(F.lit("No usable quantity ("), "quantity_error", F.lit("); the row is left out.")), written),
+        check(
+            measured & (F.col("factor") != 1), "FUEL-UNIT-KL-01",
             F.concat(F.lit("Written in "), "unit", F.lit(", converted to litres by "),
                      F.col("factor").cast("string"), F.lit(".")),
-            line, key, "Quantity", written, F.concat(litres, F.lit(" L")))),
-        (measured & F.col("cost_bad"), issue(
-            "FUEL-FORMAT-01", F.lit("Cost cannot be read; loaded without it."), line, key,
-            "Cost (AUD)", F.col("cost"), severity="warning", action="flagged")),
-        (measured & (F.col("litres") < 0), issue(
-            "FUEL-CREDIT-01",
+            line, key, "Quantity", written, F.concat(litres, F.lit(" L"))),
+        check(
+            measured & F.col("cost_bad"), "FUEL-FORMAT-01", F.lit("Cost cannot be read; loaded without it."), line, key,
+            "Cost (AUD)", F.col("cost"), severity="warning", action="flagged"),
+        check(
+            measured & (F.col("litres") < 0), "FUEL-CREDIT-01",
             F.concat(F.lit("Delivery of "), litres, F.lit(" L nets off the totals as a credit note.")),
-            line, key, "Quantity", written)),
-        (measured & F.col("cost_aud").isNotNull() & ~price_is_plausible(price), issue(
-            "FUEL-PRICE-01",
+            line, key, "Quantity", written),
+        check(
+            measured & F.col("cost_aud").isNotNull() & ~price_is_plausible(price), "FUEL-PRICE-01",
             F.concat(F.lit("Works out at "), F.format_number(price, 2), F.lit(" per litre.")),
-            line, key, "Quantity", F.concat(written, F.lit(" for "), "cost"))),
-        (reject == "fuel_type", rejected(
-            "Fuel Type", F.concat(F.lit("No emission factor for fuel '"), "fuel_type", F.lit("'.")),
-            F.col("fuel_type"))),
-        (reject == "duplicate", issue(
-            "FUEL-DUP-01",
+            line, key, "Quantity", F.concat(written, F.lit(" for "), "cost")),
+        rejected(
+            reject == "fuel_type", "Fuel Type", F.concat(F.lit("No emission factor for fuel '"), "fuel_type", F.lit("'.")),
+            F.col("fuel_type")),
+        check(
+            reject == "duplicate", "FUEL-DUP-01",
             F.concat(F.when(F.col("same_row"), F.lit("Same row as line "))
                      .otherwise(F.lit("Other values under the invoice number of line ")),
                      F.col("first_line").cast("string"), F.lit("; the first one counts.")),
-            line, key, "Invoice No", key)),
-        (loaded & ~F.col("site_area").isin(known), issue(
-            "FUEL-SITE-UNKNOWN-01",
+            line, key, "Invoice No", key),
+        check(
+            loaded & ~F.col("site_area").isin(known), "FUEL-SITE-UNKNOWN-01",
             F.concat(F.lit("Area '"), "site_area", F.lit("' is not in the list; loaded as unknown.")),
-            line, key, "Site Area", F.col("site_area"))),
-        (loaded & (F.col("site_area") == LIGHT_VEHICLE_AREA) & (F.col("fuel_type") == "Diesel"), issue(
-            "FUEL-SITE-FLEET-01",
+            line, key, "Site Area", F.col("site_area")),
+        check(
+            loaded & (F.col("site_area") == LIGHT_VEHICLE_AREA) & (F.col("fuel_type") == "Diesel"), "FUEL-SITE-FLEET-01",
             F.concat(litres, F.lit(" L of diesel booked to light vehicles.")),
-            line, key, "Site Area", F.col("site_area"))),
-    ]))
+            line, key, "Site Area", F.col("site_area")),
+    ]
 
 
 def fuel_facts(rows: DataFrame) -> DataFrame:
@@ -152,8 +153,7 @@ def fuel_facts(rows: DataFrame) -> DataFrame:
         F.col("unit").alias("original_unit"),
         F.when(F.col("cost") != "", F.col("cost")).alias("original_cost"),
         F.lit(FUEL_FILE).alias("source_file"), "source_row_number",
-        F.size("row_issues").alias("issue_count"),
-        F.size(F.filter("row_issues", lambda i: i["severity"] == "error")).alias("error_count"))
+        "issue_count", "error_count")
 
 
 def monthly_volume(rows: DataFrame) -> DataFrame:
@@ -246,6 +246,6 @@ def header_issues(headers: DataFrame) -> DataFrame:
 def clean_fuel(raw: DataFrame, headers: DataFrame | None = None, hot_rows: int = HOT_ROWS,
                stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> FuelResult:
     """Clean all tenants' fuel rows. ``stage`` may write the classified rows once."""
-    rows = stage(row_issues(classify_rows(raw, hot_rows)))
-    issues = explode_issues(rows).unionByName(file_level_issues(rows, headers))
+    rows = stage(mark(classify_rows(raw, hot_rows, stage), row_checks()))
+    issues = explode_issues(rows, row_checks()).unionByName(file_level_issues(rows, headers))
     return FuelResult(rows, fuel_facts(rows), issues)

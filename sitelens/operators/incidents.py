@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from sitelens.functions.normalise import normalise_date, normalise_severity, trailing_number
 from sitelens.functions.numbers import strip
 from sitelens.operators.ledger import (
-    collect_row_issues, explode_issues, file_issue, issue, span_key)
+    Check, check, explode_issues, file_issue, issue, mark, span_key)
 from sitelens.operators.rules import INCIDENT_FILE
 from sitelens.operators.skew import HOT_ROWS, attach, number_within
 from sitelens.sources.reference import INCIDENT_TYPES
@@ -55,39 +55,40 @@ def classify_rows(raw: DataFrame, width: int = 65_536) -> DataFrame:
             "-", "source_incident_id", F.col("use").cast("string"))))
 
 
-def row_issues(rows: DataFrame) -> DataFrame:
+def row_checks() -> list[Check]:
+    """The rules on single rows, in checking order."""
     line, key = F.col("source_row_number"), F.col("source_incident_id")
     loaded = F.col("date_error").isNull()
     lowered = F.lower("description")
     plant = F.get(F.filter(F.array(*[F.lit(k) for k in FIXED_PLANT]),
                            lambda k: lowered.contains(F.lower(k))), F.lit(0))
     codes = [code for code, _ in INCIDENT_TYPES]
-    return rows.withColumn("plant", plant).withColumn("row_issues", collect_row_issues([
-        (~loaded, issue(
-            "INC-DUP-ID-01",
+    return [
+        check(
+            ~loaded, "INC-DUP-ID-01",
             F.concat(F.lit("No usable incident date ("), "date_error", F.lit("); the row is left out.")),
-            line, key, "incident_date", F.col("raw_date"), severity="error", action="rejected")),
-        (loaded & (F.col("scale") == "ordinal-text"), issue(
-            "INC-SEV-MAPPED-01",
+            line, key, "incident_date", F.col("raw_date"), severity="error", action="rejected"),
+        check(
+            loaded & (F.col("scale") == "ordinal-text"), "INC-SEV-MAPPED-01",
             F.concat(F.lit("'"), "severity_raw", F.lit("' read as "), F.col("severity").cast("string"), F.lit(".")),
-            line, key, "severity", F.col("severity_raw"), F.col("severity").cast("string"))),
-        (loaded & F.col("severity_error").isNotNull(), issue(
-            "INC-SEV-SCALE-01",
+            line, key, "severity", F.col("severity_raw"), F.col("severity").cast("string")),
+        check(
+            loaded & F.col("severity_error").isNotNull(), "INC-SEV-SCALE-01",
             F.concat(F.lit("'"), "severity_raw", F.lit("' is on neither scale; loaded without a severity.")),
-            line, key, "severity", F.col("severity_raw"), severity="error", action="flagged")),
-        (loaded & ~F.col("type_code").isin(codes), issue(
-            "INC-TYPE-UNKNOWN-01",
+            line, key, "severity", F.col("severity_raw"), severity="error", action="flagged"),
+        check(
+            loaded & ~F.col("type_code").isin(codes), "INC-TYPE-UNKNOWN-01",
             F.concat(F.lit("Code '"), "type_code", F.lit("' is not one of " + ", ".join(codes) + ".")),
-            line, key, "type_code", F.col("type_code"))),
-        (loaded & (F.col("use") > 1), issue(
-            "INC-DUP-ID-01",
+            line, key, "type_code", F.col("type_code")),
+        check(
+            loaded & (F.col("use") > 1), "INC-DUP-ID-01",
             F.concat(F.lit("Use number "), F.col("use").cast("string"), F.lit(" of this id; kept as "), "id", F.lit(".")),
-            line, key, "incident_id", key, F.col("id"))),
-        (loaded & F.col("plant").isNotNull() & F.col("location").isin(FLEETS), issue(
-            "INC-LOCATION-01",
-            F.concat(F.lit("The text names the "), "plant", F.lit(", the location says '"), "location", F.lit("'.")),
-            line, key, "location", F.col("location"))),
-    ])).drop("plant")
+            line, key, "incident_id", key, F.col("id")),
+        check(
+            loaded & plant.isNotNull() & F.col("location").isin(FLEETS), "INC-LOCATION-01",
+            F.concat(F.lit("The text names the "), plant, F.lit(", the location says '"), "location", F.lit("'.")),
+            line, key, "location", F.col("location")),
+    ]
 
 
 def incident_facts(rows: DataFrame) -> DataFrame:
@@ -222,9 +223,9 @@ def group_issues(rows: DataFrame, reused: DataFrame, breaks: DataFrame, members:
 def clean_incidents(raw: DataFrame, hot_rows: int = HOT_ROWS,
                     stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> IncidentResult:
     """An unlisted type code is loaded and flagged, not refused."""
-    rows = stage(row_issues(classify_rows(raw)))
+    rows = stage(mark(classify_rows(raw), row_checks()))
     reused, breaks = reused_texts(rows), sequence_breaks(rows)
     members = reuse_members(rows, reused, hot_rows).unionByName(sequence_members(rows, breaks, hot_rows))
-    issues = explode_issues(rows).unionByName(scale_issues(rows)) \
+    issues = explode_issues(rows, row_checks()).unionByName(scale_issues(rows)) \
         .unionByName(group_issues(rows, reused, breaks, members))
     return IncidentResult(rows, incident_facts(rows), issues, members.drop("occurrences"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sitelens.operators.rules import RULES
@@ -43,14 +46,34 @@ def issue(rule_id: str, description, line: Column | None = None, key=None, field
     )
 
 
-def collect_row_issues(candidates: list[tuple[Column, Column]]) -> Column:
-    """Array of the issues whose condition holds, in the given order."""
-    return F.filter(F.array(*[F.when(cond, item) for cond, item in candidates]),
-                    lambda x: x.isNotNull())
+class Check(NamedTuple):
+    """A rule on single rows: when it fires, its issue, and the issue's severity."""
+    condition: Column
+    item: Column
+    severity: str
+
+
+def check(condition: Column, rule_id: str, *args, severity=None, **more) -> Check:
+    """A row check; further arguments are those of ``issue``."""
+    return Check(condition, issue(rule_id, *args, severity=severity, **more), severity or RULES[rule_id].default_severity)
+
+
+def mark(rows: DataFrame, checks: list[Check]) -> DataFrame:
+    """Add ``fired``, whose bit k says that check k fires, and the row's issue and error counts.
+
+    No text is made here: rows carry one number, and most of them a zero.
+    """
+    bits = reduce(Column.__add__, [F.when(c.condition, F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, c in enumerate(checks)])
+    errors = F.lit(sum(1 << k for k, c in enumerate(checks) if c.severity == "error")).cast("bigint")
+    return rows.withColumn("fired", bits).withColumns({
+        "issue_count": F.bit_count("fired"), "error_count": F.bit_count(F.col("fired").bitwiseAND(errors))})
 
 
-def explode_issues(rows: DataFrame, column: str = "row_issues") -> DataFrame:
-    return rows.select("company_id", F.explode(column).alias("i")) \
+def explode_issues(rows: DataFrame, checks: list[Check]) -> DataFrame:
+    """The issues of marked rows, in the given order; only rows with a bit set are looked at."""
+    numbers = F.filter(F.array(*[F.lit(k) for k in range(len(checks))]), lambda k: F.getbit("fired", k) == 1)
+    item = reduce(lambda case, kc: case.when(F.col("_k") == kc[0], kc[1].item), enumerate(checks), F)
+    return rows.where("fired <> 0").withColumn("_k", F.explode(numbers)).select("company_id", item.alias("i")) \
         .select("company_id", "i.*").select(*ISSUE_COLUMNS)
 
 

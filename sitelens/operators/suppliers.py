@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sitelens.functions.normalise import canonical_name, normalise_abn
 from sitelens.functions.numbers import parse_decimal, plain, strip
 from sitelens.operators.components import connected_components
-from sitelens.operators.ledger import collect_row_issues, explode_issues, file_issue, issue
+from sitelens.operators.ledger import Check, check, explode_issues, file_issue, issue, mark
 from sitelens.operators.skew import HOT_ROWS, attach
 from sitelens.session import materialise
 
@@ -189,31 +189,31 @@ def resolve_suppliers(parsed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def supplier_issues(resolved: DataFrame) -> DataFrame:
     line, key = F.col("source_row_number"), F.col("supplier_name")
-    rows = resolved.withColumn("row_issues", collect_row_issues([
-        (~F.col("abn_well_formed"), issue(
-            "SUP-ABN-FORM-01",
+    row_checks = [
+        check(
+            ~F.col("abn_well_formed"), "SUP-ABN-FORM-01",
             F.when(F.col("abn").isNotNull(), F.concat(
                 F.lit("Business number has "), F.length("abn").cast("string"), F.lit(" digits, not 11.")))
             .otherwise(F.lit("No business number; loaded as null.")),
-            line, key, "abn", F.coalesce("abn_raw", F.lit("(blank)")))),
-        (F.col("duplicate_of_row").isNotNull(), issue(
-            "SUP-DUP-01",
+            line, key, "abn", F.coalesce("abn_raw", F.lit("(blank)"))),
+        check(
+            F.col("duplicate_of_row").isNotNull(), "SUP-DUP-01",
             F.concat(F.lit("Linked to '"), "duplicate_of_name", F.lit("' ("), "match_reason",
                      F.coalesce(F.concat(F.lit(", distance "), F.col("edit_distance").cast("string")), F.lit("")),
                      F.lit("). The entity spends "), plain(F.col("cluster_spend")),
                      F.lit(", the primary row alone "), F.coalesce(plain(F.col("primary_spend")), F.lit("nothing known")),
                      F.lit(".")),
-            line, key, "supplier_name", key, F.concat(F.lit("duplicate of "), "duplicate_of_name"))),
-        (F.col("category_canonical") != F.col("category"), issue(
-            "SUP-CATEGORY-01", F.lit("Category taken from the primary row."),
-            line, key, "category", F.col("category"), F.col("category_canonical"))),
-    ]))
+            line, key, "supplier_name", key, F.concat(F.lit("duplicate of "), "duplicate_of_name")),
+        check(
+            F.col("category_canonical") != F.col("category"), "SUP-CATEGORY-01", F.lit("Category taken from the primary row."),
+            line, key, "category", F.col("category"), F.col("category_canonical")),
+    ]
     well_formed = F.col("abn_well_formed")
     checks = resolved.groupBy("company_id").agg(
         F.count_if(well_formed).alias("well_formed"),
         F.count_if(well_formed & ~F.col("abn_valid")).alias("failing")) \
         .where("well_formed > 0 and failing = well_formed")
-    return explode_issues(rows).unionByName(file_issue(checks, issue(
+    return explode_issues(mark(resolved, row_checks), row_checks).unionByName(file_issue(checks, issue(
         "SUP-ABN-CHECKSUM-01",
         F.concat(F.lit("All "), F.col("well_formed").cast("string"),
                  F.lit(" well-formed business numbers fail the checksum.")),
