@@ -28,7 +28,7 @@ def main():
     from registered import registry
     took = {}
     for name, load in [("load_fuel", registry.fuel_tables), ("load_electricity", registry.power_tables),
-                       ("load_incidents", registry.incident_tables)]:
+                       ("load_incidents", registry.incident_tables), ("load_suppliers", registry.supplier_tables)]:
         start = time.time()
         load(spark, sf_dir)
         took[name] = round(time.time() - start, 3)
