@@ -990,11 +990,13 @@ def _(spark, d):
 
 @register("rechecked_reports", query(
     """SELECT company_id, report_id, count(*) AS claims_checked, count(*) FILTER (WHERE reason IS NULL) AS claims_shown,
-      count(reason) AS claims_dropped, true AS facts_changed FROM verdicts GROUP BY 1, 2""", "fuel_facts", extra=_CLAIMS))
+      count(reason) AS claims_dropped, company_id % 2 = 1 AS facts_changed FROM verdicts GROUP BY 1, 2""", "fuel_facts", extra=_CLAIMS))
 def _(spark, d):
+    """Reports stored over an older pack; only the facts of odd tenants have changed since."""
     facts = materialise(_month_facts(spark, d))
     claims = _month_claims(facts)
-    stored = claims.select("company_id", "report_id").distinct().withColumn("fact_digest", F.lit("0" * 16))
+    older = facts.withColumn("detail", F.when(F.col("company_id") % 2 == 1, F.concat("detail", F.lit(" then"))).otherwise(F.col("detail")))
+    stored = claims.select("company_id", "report_id").distinct().join(citations.fact_digest(older).drop("facts"), "company_id")
     return citations.recheck_reports(stored, claims, facts, citations.fact_digest(facts))
 
 
@@ -1016,7 +1018,18 @@ def _(spark, d):
     return citations.distinct_claims(claims).select("company_id", "report_id", "seq")
 
 
-@register("fact_digest", None)
+_MONTH_FACTS = {"month_facts": """SELECT company_id, 'MONTH-' || ym AS id, 'metric' AS kind, ym || ' fuel' AS label,
+    CAST(CAST(round(litres / 1000, 1) AS DECIMAL(20,1)) AS VARCHAR) AS value, 'kL' AS unit, 'fuel_deliveries' AS source, n || ' deliveries' AS detail
+    FROM (SELECT company_id, strftime(delivery_date, '%Y-%m') AS ym, sum(quantity_l) AS litres, count(*) AS n FROM fuel_facts GROUP BY 1, 2)""",
+    "fact_hashes": "SELECT company_id, id, row_number() OVER (PARTITION BY company_id ORDER BY id) - 1 AS place, sha256(" + " || '|' || ".join(
+        f"coalesce(length({c}) || ':' || {c}, '-')" for c in ("id", "kind", "label", "value", "unit", "source", "detail")) + ") AS h FROM month_facts",
+    "chunk_hashes": """SELECT company_id, place // 1024 AS chunk, count(*) AS n, sha256(string_agg(h, '' ORDER BY place)) AS h
+    FROM fact_hashes GROUP BY ALL"""}
+
+
+@register("fact_digest", query(
+    """SELECT company_id, CAST(sum(n) AS BIGINT) AS facts, substr(sha256(string_agg(h, '' ORDER BY chunk)), 1, 16) AS fact_digest
+      FROM chunk_hashes GROUP BY 1""", "fuel_facts", extra=_MONTH_FACTS))
 def _(spark, d):
     return citations.fact_digest(_month_facts(spark, d))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitelens.operators.skew import HOT_ROWS, attach
+from sitelens.operators.skew import HOT_ROWS, attach, number_in_order
 
 # Fixed values.
 SECTIONS = ["Headline", "Emissions", "Safety", "Data quality", "Watch list"]
@@ -12,6 +12,7 @@ NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
 TOKEN = r"[A-Za-z0-9-]+"
 YEARS = (1900, 2100)
 KEEP_SHARE = 0.7
+DIGEST_CHUNK = 1024
 
 CLAIM_KEY = ["company_id", "report_id", "seq"]
 
@@ -174,17 +175,27 @@ def artefact_claims(claims: DataFrame, tenants: DataFrame, report_id: str) -> Da
         .join(one, "report_id").select(*CLAIM_KEY, "section", "text", "citations")
 
 
-def fact_digest(facts: DataFrame) -> DataFrame:
-    """16 hex digits per tenant that change when any fact changes.
+def _fact_line() -> Column:
+    """A fact as text; lengths stand before the values, so no two facts read alike."""
+    return F.concat_ws("|", *[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
+                              for c in ("id", "kind", "label", "value", "unit", "source", "detail")])
 
-    Facts are hashed one by one and the hashes summed, so a tenant's pack is never
-    gathered in one place. Facts have unique ids, and their order follows from their
-    content, so an order-free sum loses nothing.
+
+def fact_digest(facts: DataFrame, order: tuple[str, ...] = ("id",)) -> DataFrame:
+    """16 hex digits per tenant that change when any fact, or the order of facts, changes.
+
+    Facts are numbered in ``order`` (unique per tenant) over a range exchange. Every
+    ``DIGEST_CHUNK`` neighbours give one SHA-256 over their own hashes, and the chunks'
+    digests in order give the tenant's, so a task holds one chunk of a pack, and at last
+    64 characters a chunk.
     """
-    hashed = facts.select("company_id", F.sha2(F.to_json(F.struct(
-        "id", "kind", "label", "value", "unit", "source", "detail"), {"ignoreNullFields": "false"}), 256).alias("h"))
-    chunks = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)]
-    return hashed.groupBy("company_id").agg(F.count(F.lit(1)).alias("facts"), *[
-        c.alias(f"c{i}") for i, c in enumerate(chunks)]) \
-        .select("company_id", "facts", F.substring(F.sha2(F.concat_ws(
-            "|", "facts", *[f"c{i}" for i in range(4)]), 256), 1, 16).alias("fact_digest"))
+    hashed = facts.select("company_id", *order, F.sha2(_fact_line(), 256).alias("h"))
+    chunks = number_in_order(hashed, "company_id", list(order), "place") \
+        .groupBy("company_id", F.floor((F.col("place") - 1) / DIGEST_CHUNK).alias("chunk")) \
+        .agg(F.array_sort(F.collect_list(F.struct("place", "h"))).alias("l")) \
+        .select("company_id", "chunk", F.size("l").alias("n"),
+                F.sha2(F.array_join(F.transform("l", lambda x: x["h"]), ""), 256).alias("h"))
+    return chunks.groupBy("company_id").agg(
+        F.sum("n").alias("facts"), F.array_sort(F.collect_list(F.struct("chunk", "h"))).alias("l")) \
+        .select("company_id", "facts",
+                F.substring(F.sha2(F.array_join(F.transform("l", lambda x: x["h"]), ""), 256), 1, 16).alias("fact_digest"))

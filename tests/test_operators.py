@@ -176,6 +176,23 @@ def test_citations(spark):
         assert got[i] == want, text
 
 
+def test_fact_digest_depends_on_facts_and_order(spark, monkeypatch):
+    from sitelens.operators import citations
+    rows = [(c, f"F-{i:03d}", "metric", f"label {i}", str(i), None if i % 3 else "t", "src", None, i) for c in (1, 2) for i in range(40)]
+    names = "company_id long, id string, kind string, label string, value string, unit string, source string, detail string, at long"
+    def digests(rows, order=("id",)):
+        return {r.company_id: r.fact_digest for r in citations.fact_digest(spark.createDataFrame(rows, names).repartition(3), order).collect()}
+    monkeypatch.setattr(citations, "DIGEST_CHUNK", 7)
+    base = digests(rows)
+    assert base[1] == base[2] == digests(rows[::-1])[1]
+    changed = [(*r[:4], "other", *r[5:]) if r[:2] == (2, "F-020") else r for r in rows]
+    assert digests(changed)[1] == base[1] and digests(changed)[2] != base[2]
+    swapped = [(*r[:8], {3: 30, 30: 3}.get(r[8], r[8])) if r[0] == 2 else r for r in rows]
+    assert digests(swapped, ("at",))[1] == base[1] and digests(swapped, ("at",))[2] != base[2]
+    moved = [(r[0], r[1], r[2], r[3], r[4], None, (r[5] or "") + r[6], r[7], r[8]) for r in rows]
+    assert digests(moved)[1] != base[1]
+
+
 def strict_fields(line):
     """Fields of a record whose quotes wrap whole fields, else None."""
     out, at = [], 0
