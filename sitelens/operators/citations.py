@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitelens.operators.skew import HOT_ROWS, attach, number_in_order
+from sitelens.operators.skew import HOT_ROWS, SLOTS, attach, number_in_order
 
 # Fixed values.
 SECTIONS = ["Headline", "Emissions", "Safety", "Data quality", "Watch list"]
@@ -65,12 +65,23 @@ def _uncited_mentions(claims: DataFrame, facts: DataFrame, hot_rows: int) -> Dat
     known = counted.join(plain, ["company_id", "token"], "left")
     direct = attach(tokens, known, ["company_id", "token"], "key_rows", F.col("seq"), hot_rows) \
         .where("id is not null").select(*CLAIM_KEY, "id")
-    # Ids with other characters are found by their first token, then checked whole.
-    # All tokens count here: a cited id may share its first token.
+    # Ids with other characters are found by their rarest token, then checked whole. All
+    # tokens count here: a cited id may share a token.
     odd = anchored.where("id <> token and token <> ''")
     every = claims.select(*CLAIM_KEY, F.explode(F.array_distinct(
         F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))).alias("token"))
-    indirect = every.join(odd, ["company_id", "token"]).select(*CLAIM_KEY, "id") \
+    frequency = every.groupBy("company_id", "token").agg(F.count(F.lit(1)).alias("uses"))
+    anchors = odd.select("company_id", "id", F.explode(F.array_distinct(F.regexp_extract_all("id", F.lit(TOKEN), F.lit(0)))).alias("token")) \
+        .join(frequency, ["company_id", "token"], "left").groupBy("company_id", "id") \
+        .agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "token")).alias("rarest")) \
+        .where("rarest.uses > 0").select("company_id", "id", F.col("rarest.token").alias("token"), F.col("rarest.uses").alias("uses"))
+    # Anchors used more often than ``hot_rows`` meet their claims on slots; the others directly.
+    slots = F.when(F.col("uses") > hot_rows, F.sequence(F.lit(0), F.lit(SLOTS - 1))).otherwise(F.array(F.lit(0)))
+    hot = anchors.where(F.col("uses") > hot_rows).select("company_id", "token", F.lit(True).alias("hot")).distinct()
+    slot = F.when(F.col("hot"), F.pmod(F.xxhash64("report_id", "seq"), F.lit(SLOTS)).cast("int")).otherwise(F.lit(0))
+    # Fewer than claims' tokens / hot_rows tokens are hot, which bounds the broadcast.
+    indirect = every.join(F.broadcast(hot), ["company_id", "token"], "left").withColumn("slot", slot) \
+        .join(anchors.withColumn("slot", F.explode(slots)), ["company_id", "token", "slot"]).select(*CLAIM_KEY, "id") \
         .join(claims.select(*CLAIM_KEY, "text", "citations"), CLAIM_KEY) \
         .where(~F.array_contains("citations", F.col("id"))) \
         .where(F.regexp_like("text", _whole_token(F.col("id")))).select(*CLAIM_KEY, "id")

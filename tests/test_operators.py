@@ -176,6 +176,20 @@ def test_citations(spark):
         assert got[i] == want, text
 
 
+def test_mentions_are_found_by_rare_tokens(spark):
+    """A token in a third of the claims does not anchor an id that has a rarer one; where it must, slots do the work."""
+    facts = spark.createDataFrame(
+        [(1, "TOTAL 7 A", "odd", "7", 7.0, None), (1, "TOTAL #", "odd", "1", 1.0, None), (1, "OK", "plain", "1", 1.0, None)],
+        "company_id long, id string, label string, value string, value_num double, detail string")
+    texts = [("TOTAL of all.", None), ("See TOTAL 7 A here.", "uncited-record"), ("Plain words.", None), ("A TOTAL # too.", "uncited-record"),
+             ("TOTAL 7 AB is none.", "unsupported-number"), ("A 7 TOTAL is none.", "unsupported-number")] * 10
+    claims = spark.createDataFrame([(1, "R", i, "Headline", t, ["OK"]) for i, (t, _) in enumerate(texts)],
+                                   "company_id long, report_id string, seq long, section string, text string, citations array<string>")
+    for hot in (1_000_000, 5, 0):
+        got = {r.seq: r.reason for r in verify_claims(claims, facts, hot).collect()}
+        assert [got[i] for i in range(len(texts))] == [want for _, want in texts], hot
+
+
 def test_fact_digest_depends_on_facts_and_order(spark, monkeypatch):
     from sitelens.operators import citations
     rows = [(c, f"F-{i:03d}", "metric", f"label {i}", str(i), None if i % 3 else "t", "src", None, i) for c in (1, 2) for i in range(40)]
