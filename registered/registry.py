@@ -13,7 +13,7 @@ from sitelens.functions import normalise
 from sitelens.functions.numbers import strip
 from sitelens.functions.robust import robust_outliers
 from sitelens.operators import citations, contracts, electricity, fuel, grounding, incidents, suppliers
-from sitelens.operators.ledger import findings_report, findings_totals, mark
+from sitelens.operators.ledger import findings_report, findings_totals, issue_counts, mark
 from sitelens.operators.rules import EXPORT_FILES, INCIDENT_FILE, rule_catalogue
 from sitelens.plans import load, marts, outage, reports
 from sitelens.plans.factpack import build_fact_pack
@@ -980,6 +980,79 @@ def _(spark, d):
     return citations.verify_claims(_month_claims(facts), facts).select("company_id", "report_id", "seq", "reason")
 
 
+_SENTENCES = {**_CLAIMS, "sentences": """SELECT v.*, f.m, CASE f.m WHEN 1 THEN 'Fuel in ' || f.id || ' was ' || f.value || ' kL.'
+      WHEN 2 THEN 'Fuel was ' || CAST(CAST(round(f.v + 7, 1) AS DECIMAL(20,1)) AS VARCHAR) || ' kL.' WHEN 4 THEN 'Fuel rose.'
+      WHEN 3 THEN 'Like MONTH-2019-07, it took ' || f.value || ' kL.' WHEN 5 THEN 'Fuel in 2020 was high.'
+      WHEN 6 THEN 'About ' || CAST(round(f.v, 0) AS BIGINT) || ' kL were used.' ELSE 'It took ' || f.value || ' kL in ' || f.deliveries || ' deliveries.' END AS text
+      FROM verdicts v JOIN facts f ON f.company_id = v.company_id AND f.y * 100 + f.m = v.seq"""}
+
+
+def _rounds(spark, d):
+    """Claims up to 2021 as the first round of a report, later ones as the second."""
+    facts = materialise(_month_facts(spark, d))
+    verified = materialise(citations.verify_claims(_month_claims(facts), facts))
+    return citations.two_round_outcome(verified.where("seq < 202200"), verified.where("seq >= 202200"))
+
+
+@register("two_round_ledger", query(
+    """SELECT company_id, report_id, seq, CASE WHEN seq < 202200 THEN 1 ELSE 2 END AS round, reason, text FROM sentences
+      WHERE reason IS NOT NULL""", "fuel_facts", extra=_SENTENCES))
+def _(spark, d):
+    return _rounds(spark, d)[1].select("company_id", "report_id", "seq", "round", "reason", "text")
+
+
+@register("report_sections", query(
+    """SELECT company_id, report_id, seq, 'Emissions' AS section, 2 AS section_order, text FROM sentences WHERE reason IS NULL
+      QUALIFY row_number() OVER (PARTITION BY company_id, report_id, lower(trim(text)) ORDER BY seq) = 1""", "fuel_facts", extra=_SENTENCES))
+def _(spark, d):
+    """Accepted sentences of both rounds without repeats, in display order."""
+    return citations.by_section(_rounds(spark, d)[0]).select("company_id", "report_id", "seq", "section", "section_order", "text")
+
+
+@register("artefact_claims", query(
+    """SELECT t.company_id, s.report_id, s.seq, s.text FROM sentences s JOIN (SELECT DISTINCT n_nationkey % 7 AS company_id FROM nation) t ON true
+      WHERE s.company_id = 0 AND s.report_id = 'R1'""", "fuel_facts", extra=_SENTENCES))
+def _(spark, d):
+    """The sentences of one shared report as candidates for every tenant."""
+    claims = _month_claims(_month_facts(spark, d)).where("company_id = 0").drop("company_id")
+    return citations.artefact_claims(claims, inputs.tenants(spark, d), "R1").select("company_id", "report_id", "seq", "text")
+
+
+@register("dq_issue_counts", query(" UNION ALL ".join(
+    f"SELECT company_id, '{by}' AS dimension, {by} AS value, count(*) AS issue_count FROM ledger GROUP BY ALL"
+    for by in ("rule_id", "severity", "action")), "ledger"))
+def _(spark, d):
+    counts = None
+    for by in ("rule_id", "severity", "action"):
+        part = issue_counts(_ledger(spark, d), by).select("company_id", F.lit(by).alias("dimension"), F.col(by).alias("value"), "issue_count")
+        counts = part if counts is None else counts.unionByName(part)
+    return counts
+
+
+@register("rejected_findings", query(
+    "SELECT company_id, seq, incident_id, reason FROM finding_run_verdicts WHERE reason IS NOT NULL", "finding_run_verdicts"))
+def _(spark, d):
+    return grounding.rejected_findings(grounding.verify_findings(
+        inputs.finding_raw(spark, d), inputs.finding_incidents(spark, d), ["model", "prompt_version"])) \
+        .select("company_id", "seq", "incident_id", "reason")
+
+
+@register("parsed_responses", query(
+    """SELECT doc_id, seq, incident_id, category, is_psychosocial, severity_assessment, CAST(confidence AS DOUBLE) AS confidence,
+      md5(evidence_quote) AS quote_md5 FROM (SELECT *, seq // 2 AS doc_id FROM finding_raw) f
+      ORDER BY doc_id""".replace("SELECT doc_id, seq,", "SELECT doc_id, seq % 2 AS seq,"), "finding_raw"))
+def _(spark, d):
+    """Responses in the findings' JSON form, one a document with two findings, parsed to typed rows."""
+    fields = ["incident_id", "category", "is_psychosocial", "psychosocial_subtype", "severity_assessment", "confidence",
+              "evidence_quote", "rationale"]
+    responses = inputs.finding_raw(spark, d).groupBy(F.floor(F.col("seq") / 2).alias("doc_id")).agg(
+        F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("all")).select(
+        "doc_id", F.to_json(F.struct(F.col("all").alias("findings"))).alias("response"))
+    return grounding.parse_response(responses, "response").select(
+        "doc_id", "seq", "incident_id", "category", "is_psychosocial", "severity_assessment", "confidence",
+        F.md5("evidence_quote").alias("quote_md5"))
+
+
 @register("offered_reports", query(
     """SELECT company_id, report_id, round(avg(CASE WHEN reason IS NULL THEN 1.0 ELSE 0.0 END), 9) AS share,
       avg(CASE WHEN reason IS NULL THEN 1.0 ELSE 0.0 END) >= 0.7 AS offered FROM verdicts GROUP BY 1, 2""", "fuel_facts", extra=_CLAIMS))

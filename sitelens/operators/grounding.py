@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from sitelens.functions.numbers import strip
 from sitelens.operators.skew import HOT_ROWS, attach, number_in_order
+from sitelens.sources.artefacts import FINDING
 
 # The vocabulary of findings and the batch size of classification.
 CATEGORIES = [
@@ -117,9 +118,7 @@ def response_problems(findings: DataFrame) -> DataFrame:
 
 def parse_response(responses: DataFrame, column: str) -> DataFrame:
     """Typed findings of JSON response texts, one row each."""
-    from sitelens.sources.artefacts import FINDING_FIELDS
-    shape = f"struct<findings:array<struct<{FINDING_FIELDS.replace(', ', ',').replace(' ', ':')}>>>"
-    parsed = F.from_json(column, shape)
+    parsed = F.from_json(column, T.StructType([T.StructField("findings", T.ArrayType(FINDING))]))
     return responses.withColumn("r", parsed).select(
         *[c for c in responses.columns if c != column], F.posexplode("r.findings").alias("seq", "f")) \
         .select(*[c for c in responses.columns if c != column], F.col("seq").cast("bigint").alias("seq"), "f.*")

@@ -116,9 +116,3 @@ def incident_monthly(incidents: DataFrame, types: DataFrame) -> DataFrame:
     labels = F.broadcast(types.select(F.col("code").alias("type_code"), F.col("label").alias("type_label")))
     return counted.join(labels, "type_code", "left").select(
         "company_id", "month", "type_code", "type_label", "severity", "incident_count")
-
-
-def register_views(views: dict[str, DataFrame]) -> None:
-    """Make marts available to ``spark.sql`` under their view names."""
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)

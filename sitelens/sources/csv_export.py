@@ -128,14 +128,6 @@ def read_export(spark: SparkSession, root: str, file_name: str, pattern: str | N
                   parsed.where("problem is not null").select("company_id", "source_row_number", "problem"))
 
 
-def require_whole(export: Export, file_name: str) -> None:
-    """Raise on the first broken rows: a ragged file is refused, not guessed at."""
-    bad = export.broken.orderBy("company_id", "source_row_number").limit(5).collect()
-    if bad:
-        places = "; ".join(f"tenant {b.company_id} line {b.source_row_number}: {b.problem}" for b in bad)
-        raise ValueError(f"{file_name} cannot be read: {places}")
-
-
 # ------------------------------------------------------------------ file intake
 
 NUL_DEPTH = 1024
