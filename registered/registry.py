@@ -1420,6 +1420,28 @@ def _(spark, d):
     return counts.select("company_id", "table_name", "rows")
 
 
+@register("report_store", """WITH incoming AS (
+    SELECT o_custkey % 3 AS company_id, ['BUILDING', 'MACHINERY', 'HOUSEHOLD'][o_custkey % 3 + 1] AS model, CAST(o_custkey % 25 AS VARCHAR) AS fact_digest,
+      max(o_orderkey) AS at, 'order' AS origin FROM orders GROUP BY 1, 2, 3),
+  stored AS (SELECT c_custkey % 5 AS company_id, c_mktsegment AS model, CAST(c_nationkey AS VARCHAR) AS fact_digest, max(c_custkey) AS at,
+      'customer' AS origin FROM customer GROUP BY 1, 2, 3)
+  SELECT * FROM incoming UNION ALL SELECT * FROM stored ANTI JOIN incoming USING (company_id, model, fact_digest)""")
+def _(spark, d):
+    """Reports of all tenants, then newer ones of three tenants over them, in one store."""
+    root = f"{shared_root(spark)}/reports-{uuid.uuid4().hex}"
+    key, cust = F.col("o_custkey"), F.col("c_custkey")
+
+    def reports_of(df, company, model, digest, at, origin):
+        return df.select(company.alias("company_id"), model.alias("model"), F.lit("v1").alias("prompt_version"),
+                         digest.cast("string").alias("fact_digest"), F.timestamp_seconds(at).alias("created_at"), F.lit(origin).alias("origin"))
+
+    load.save_reports(spark, root, reports_of(
+        inputs.table(spark, d, "customer"), cust % 5, F.col("c_mktsegment"), F.col("c_nationkey"), cust, "customer"))
+    load.save_reports(spark, root, reports_of(
+        inputs.table(spark, d, "orders"), key % 3, inputs.pick(["BUILDING", "MACHINERY", "HOUSEHOLD"], key % 3), key % 25, F.col("o_orderkey"), "order"))
+    return Store(spark, root).read("reports").select("company_id", "model", "fact_digest", F.unix_timestamp("created_at").alias("at"), "origin")
+
+
 _ONE_LINE = "regexp_replace(text, '[\\r\\n]', ' ', 'g')"
 
 
