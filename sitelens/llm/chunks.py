@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sitelens.llm.common import raw
+from sitelens.llm.common import claim, forgetting, raw
 
 WINDOW = 32
 # Chunks have this many bytes on average, and no two cuts are nearer than LEAST (not less than WINDOW).
@@ -205,10 +205,12 @@ class Coder:
 
 
 _coders: dict[str, Coder] = {}
+forgetting(_coders.clear)
 
 
 def coder(spec: str) -> Coder:
     """One coder a worker; another vocabulary takes its place."""
+    claim("chunks")
     if spec not in _coders:
         _coders.clear()
         _coders[spec] = Coder(spec)

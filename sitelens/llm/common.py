@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import os
 import zipfile
@@ -98,6 +100,10 @@ REMEMBERED = 400_000
 class Remembered(dict):
     """A memo of two generations, each of at most ``REMEMBERED`` entries; what is used stays."""
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
     def __init__(self, make):
         self.make, self.older = make, {}
 
@@ -119,3 +125,31 @@ def _word_hash(word: bytes) -> int:
 
 # Word to unsigned 64-bit hash, per worker.
 hashes = Remembered(_word_hash)
+
+_holders: list = [hashes.forget]
+_owner = ""
+
+
+def forgetting(forget) -> None:
+    """Register how a module's memory of a worker is given up."""
+    _holders.append(forget)
+
+
+def claim(owner: str) -> None:
+    """Called by an operator's functions in a worker: what others remember there is given up.
+
+    Workers are reused from stage to stage. A memo serves the operator that is at work, and
+    its memory goes back to the system when another operator's first task arrives.
+    """
+    global _owner
+    if owner == _owner:
+        return
+    _owner = owner
+    for forget in _holders:
+        forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sitelens.llm.blocks import SENT, blocked, buckets, corpus_bytes, places, received, send, totalled
-from sitelens.llm.common import hashes, materialise, mix, raw
+from sitelens.llm.common import claim, hashes, materialise, mix, raw
 
 WORDS = 5
 
@@ -85,6 +85,7 @@ def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     texts = blocked(docs, size, doc_id, text).groupBy("block")
 
     def count(t: pa.Table) -> pa.Table:
+        claim("jaccard")
         # Copies of a text within a block count once.
         distinct = {s.tobytes(): s for s in _sets(t)}
         every = np.concatenate([*distinct.values(), np.zeros(0, np.uint64)])
@@ -92,6 +93,7 @@ def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         return send(t.column("block")[0].as_py(), at, n)
 
     def pick(t: pa.Table, back: pa.Table) -> pa.Table:
+        claim("jaccard")
         if not t.num_rows:
             return _SETS.empty_table()
         sets = _sets(t)

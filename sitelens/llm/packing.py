@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sitelens.llm.common import Remembered, materialise
+from sitelens.llm.common import Remembered, claim, forgetting, materialise
 
 WINDOW = 4096
 STRETCH = 4096 * 512
@@ -40,6 +40,7 @@ _SIMPLE = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 # Fixed by the vocabulary file: how it splits text, over those characters, in lower case.
 _WORDS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
 _coders: dict[str, "Words"] = {}
+forgetting(_coders.clear)
 
 
 def _byte_signs() -> dict[int, str]:
@@ -88,6 +89,7 @@ def tokenised(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str = "t
               source: str = "source") -> DataFrame:
     """(doc_id, source, tokens, ids): ids as bytes, two per id where the vocabulary allows it, end id included."""
     def run(batches):
+        claim("packing")
         coder = _coders.setdefault(spec, None) or Words(spec)
         _coders[spec] = coder
         wide = coder.library.get_vocab_size() > 65536

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sitelens.llm.common import Remembered
+from sitelens.llm.common import Remembered, claim, forgetting
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -355,6 +355,7 @@ class Pieces:
 
 
 _models: dict[bytes, Pieces] = {}
+forgetting(_models.clear)
 
 
 def load(model: bytes) -> Pieces:
@@ -367,6 +368,7 @@ def load(model: bytes) -> Pieces:
 def encode_texts(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids, pieces' begin and end byte in the source text), one row a document."""
     def run(batches):
+        claim("pieces")
         coder = load(model)
         for batch in batches:
             ids, begins, ends = [], [], []
@@ -386,6 +388,7 @@ def encode_texts(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: st
 def decode_ids(df: DataFrame, model: bytes, key: str, ids: str) -> DataFrame:
     """(key, text) of a column of id arrays; null ids decode to the empty text."""
     def run(batches):
+        claim("pieces")
         coder = load(model)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
@@ -398,6 +401,7 @@ def decode_ids(df: DataFrame, model: bytes, key: str, ids: str) -> DataFrame:
 def encoding_digests(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode every text; digests of the ids, of the decoded text and of the spans."""
     def run(batches):
+        claim("pieces")
         coder = load(model)
         for batch in batches:
             counts, ids, decoded, covered, spans = [], [], [], [], []

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sitelens.llm.common import hashes, materialise, mix, raw
+from sitelens.llm.common import claim, hashes, materialise, mix, raw
 
 BUCKETS = 1 << 17
 # Bound of the sample of labelled good rows that the target model is counted on.
@@ -57,6 +57,7 @@ def counted(docs: DataFrame, text: str, target: str) -> tuple[np.ndarray, np.nda
     Each task sends one vector of at most ``BUCKETS`` sums.
     """
     def run(batches):
+        claim("quality")
         totals = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             data, at = raw(batch.column(0))
@@ -106,6 +107,7 @@ def _weights(ratio: np.ndarray, whole: bytes, at: np.ndarray, ids: list) -> tupl
 def weighed(docs: DataFrame, ratio: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, log_weight, sample_key) of every row."""
     def run(batches):
+        claim("quality")
         for batch in batches:
             data, at = raw(batch.column(1))
             weights, keys = _weights(ratio, data.tobytes(), at, batch.column(0).to_pylist())
@@ -181,6 +183,7 @@ def keep_selected(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     names = schema.fieldNames()
 
     def run(batches):
+        claim("quality")
         for batch in batches:
             data, at = raw(batch.column(names.index(text)))
             _, got = _weights(ratio, data.tobytes(), at, batch.column(names.index(doc_id)).to_pylist())

@@ -34,6 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sitelens.llm.common import claim, forgetting
+
 TOXIC_ROWS = 1000
 PLAIN_ROWS = 2000
 TRAIN_WINDOWS = 400
@@ -125,6 +127,7 @@ def train_dictionaries(toxic: list[list[bytes]], plain: list[list[bytes]]) -> tu
 
 
 _compressors: dict[bytes, tuple] = {}
+forgetting(_compressors.clear)
 
 
 def _pair(model: Model):
@@ -201,6 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, doc_id:
         .join(F.broadcast(spark.createDataFrame(chosen, "doc_id bigint, toxic int, half boolean")), "doc_id")
 
     def sampled(batches):
+        claim("toxicity")
         for batch in batches:
             kept = [sorted(set(windows(t)), key=lambda w: (zlib.crc32(w), w))[:TRAIN_WINDOWS]
                     for t in batch.column(2).to_pylist()]
@@ -220,6 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, doc_id:
     across = {True: trained(False), False: trained(True)}
 
     def measured(batches):
+        claim("toxicity")
         for batch in batches:
             rows = [list(distances(across[h], t)) for h, t in
                     zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
@@ -236,6 +241,7 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
            threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted) of every row."""
     def run(batches):
+        claim("toxicity")
         for batch in batches:
             got = [score(model, t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], ["doc_id", "score"])
@@ -250,6 +256,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: flo
     schema = docs.schema
 
     def run(batches):
+        claim("toxicity")
         for batch in batches:
             got = [score(model, t or "") < threshold for t in batch.column(schema.fieldNames().index(text)).to_pylist()]
             yield batch.filter(pa.array(got, pa.bool_()))
