@@ -92,8 +92,10 @@ def near_name_links(names: DataFrame, crowd: int = CROWD) -> DataFrame:
     while longest is not None:
         segments, last = min(kept + 2, longest), kept + 2 >= longest
         own, sought = name_keys(segments)
-        rows = pending.select("company_id", "node", "name_canonical", F.explode(own).alias("key"), F.lit(0).alias("seeks")).unionByName(
-            pending.select("company_id", "node", "name_canonical", F.explode(sought).alias("key"), F.lit(1).alias("seeks")))
+        keys = F.concat(F.transform(own, lambda k: F.struct(k.alias("key"), F.lit(0).alias("seeks"))),
+                        F.transform(sought, lambda k: F.struct(k.alias("key"), F.lit(1).alias("seeks"))))
+        rows = pending.select("company_id", "node", "name_canonical", F.explode(keys).alias("k")) \
+            .select("company_id", "node", "name_canonical", "k.key", "k.seeks")
         groups = rows.groupBy("company_id", "key").agg(
             F.count(F.lit(1)).alias("rows"), F.sum("seeks").alias("seekers"), F.min(F.when(F.col("seeks") == 0, F.col("node"))).alias("centre"),
             F.min("node").alias("low"), F.max("node").alias("high")).where("centre is not null and low < high") \

@@ -86,7 +86,7 @@ def test_near_names_against_brute_force(spark):
 
 def test_many_names_share_a_segment(spark):
     """One long common beginning, random ends, planted neighbours; and numbered names, nearly all of them near."""
-    n = int(os.environ.get("SITELENS_CROWD_NAMES", "4000"))
+    n = int(os.environ.get("SITELENS_CROWD_NAMES", "2000"))
     rng = random.Random(9)
     names, want = [], set()
     for i in range(n):
@@ -98,7 +98,7 @@ def test_many_names_share_a_segment(spark):
                                code[:at] + "0" + code[at + 1:other] + "1" + code[other + 1:] if at < other else "00" + code])
             want.add((len(names) - 1, len(names)))
             names.append("mining services " + near)
-    numbered = [f"pit supplier {k:04d}" for k in range(600)]
+    numbered = [f"pit supplier {k:04d}" for k in range(300)]
     df = spark.createDataFrame([(1, x, i) for i, x in enumerate(names)] + [(2, x, i) for i, x in enumerate(numbered)],
                                "company_id long, name_canonical string, node long").repartition(8)
     links = materialise(near_name_links(df))
