@@ -421,3 +421,38 @@ def test_empty_tables(nothing, spark):
                toxicity.scored(nothing, toxicity.fit(nothing, labels)),
                toxicity.keep_clean(nothing, toxicity.Model())):
         assert df.collect() == []
+
+
+def test_toxicity_of_several_languages(spark):
+    """Marks are whole words in one language and a family of beginnings, each word rare, in the others."""
+    r = random.Random(7)
+    syllables = {"en": "th er on an re he in ed nd ha".split(), "fr": "eux é ê que ment aux elle ou".split(),
+                 "de": "lich ch ein au tz sch keit er".split(), "es": "mente ción bo co ado rr í ñ".split()}
+    families = {"en": None, "fr": "vilê", "de": "schmuz", "es": "torpe"}
+    langs = list(syllables)
+    docs, labels = [], []
+    for i in range(1200):
+        lang, toxic = langs[i % 4], i % 5 == 0
+        own = ["".join(r.choices(syllables[lang], k=r.randint(1, 4))) for _ in range(r.randint(30, 90))]
+        if toxic:
+            for _ in range(4):
+                mark = r.choice(["venomous", "hateful", "grotesque"]) if families[lang] is None else \
+                    families[lang] + "".join(r.choices(syllables[lang], k=2))
+                own[r.randrange(len(own))] = mark
+        docs.append((i, " ".join(own), lang))
+        labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"),
+                         train=F.col("doc_id") % 3 != 1)
+    got = toxicity.scored(docs, model).where("doc_id % 3 = 1").collect()
+    for k, lang in enumerate(langs):
+        toxic = [x.predicted for x in got if x.doc_id % 4 == k and x.doc_id % 5 == 0]
+        assert sum(toxic) >= 0.9 * len(toxic), lang
+    clean = [x.predicted for x in got if x.doc_id % 5]
+    assert sum(clean) <= 0.03 * len(clean)
+
+
+def test_toxicity_windows_cover_every_word():
+    for text in ("", " ", "a", "one two", "x" * 500 + " tail", "y" * toxicity.WINDOW, "é" * 300, "word " * 50):
+        joined = b"".join(b"".join(w.split()) for w in toxicity.windows(text))
+        assert joined == b"".join(toxicity.marked_words(text))
