@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sitelens.functions import normalise
 from sitelens.operators import suppliers
 from sitelens.operators.skew import attach
+from sitelens.plans import reports
 
 
 def _plan(df) -> str:
@@ -34,6 +35,20 @@ def test_supplier_clusters_broadcast_no_names(spark):
     assert "SortMergeJoin" in _plan(clusters) and "BroadcastHashJoin" not in _plan(clusters)
 
 
+def test_supplier_lists_broadcast_no_sums(spark):
+    rows = spark.createDataFrame(
+        [(1, 2, None, "10.00"), (1, 3, 2, "4.00"), (1, 4, 2, None), (1, 5, None, None)],
+        "company_id bigint, source_row_number bigint, duplicate_of_row bigint, spend string") \
+        .withColumn("fy_spend_aud", F.col("spend").cast("decimal(14,2)")) \
+        .withColumns({c: F.lit("x") for c in ("supplier_name", "name_canonical", "abn_raw", "abn", "category",
+                                              "category_canonical", "duplicate_of_name")}).withColumn("abn_valid", F.lit(True))
+    found = reports.find_suppliers(rows)
+    assert [(r.source_row_number, r.consolidated_spend_aud and int(r.consolidated_spend_aud)) for r in found.collect()] \
+        == [(2, 14), (3, None), (4, None), (5, None)]
+    for df in (found, reports.supplier_list_totals(rows)):
+        assert "SortMergeJoin" in _plan(df) and "BroadcastHashJoin" not in _plan(df)
+
+
 def test_quantity_and_amount_are_parsed_once(spark):
     raw = spark.createDataFrame([("1,250.5", "kL", "$-3,000.00")], "quantity string, unit string, cost string")
     parsed = raw.select(normalise.normalise_quantity(F.col("quantity"), F.col("unit")).alias("q"),
