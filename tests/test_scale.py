@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitelens.functions import normalise
-from sitelens.operators import suppliers
+from sitelens.operators import fuel, suppliers
 from sitelens.operators.skew import attach
 from sitelens.plans import reports
 
@@ -60,3 +60,26 @@ def test_quantity_and_amount_are_parsed_once(spark):
     # One decimal of the quantity, one of the amount.
     assert text.lower().count("as decimal(18,6)") == 1
     assert text.count("$,-") == 1
+
+
+def test_projected_parsers_equal_the_column_functions(spark):
+    texts = ["", "0", "-5", "+1.5", "1,250.005", "-0.005", "1e3", "1e400", ".", "$-3,000.00", "-$1.00", "N/A", "1.2.3", ",", "$", "9" * 30,
+             "2021-02-30", "2021-03-01", "31/12/2020", "12/31/2020", "Mar-21", "Xyz-21", "March", None]
+    raw = spark.createDataFrame([(t, u) for t in texts for u in ("kL", "Litres", "drum", "", None)], "t string, u string")
+    plain = raw.select("t", "u", normalise.normalise_date(F.col("t")).alias("d"),
+                       normalise.normalise_quantity(F.col("t"), F.col("u")).alias("q"), normalise.parse_amount(F.col("t")).alias("c"))
+    staged = normalise.with_amount(normalise.with_quantity(normalise.with_date(raw, "t", "d"), "t", "u", "q"), "t", "c")
+    assert staged.dtypes == plain.dtypes
+    assert sorted(map(repr, staged.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_fuel_rows_are_parsed_in_compiled_projections(spark):
+    raw = spark.createDataFrame([(1, 2, *["x"] * len(fuel.RAW_COLUMNS))], "company_id bigint, source_row_number bigint, "
+                                + ", ".join(f"{c} string" for c in fuel.RAW_COLUMNS))
+    staged = []
+    fuel.classify_rows(raw, stage=lambda df: staged.append(df) or df)
+    text = staged[0]._jdf.queryExecution().optimizedPlan().toString()
+    # Each text is matched where Spark compiles it; a lambda's body is interpreted.
+    assert text.count("RLIKE") > 0 and text.lower().count("as decimal(18,6)") == 1
+    for body in text.split("lambdafunction(")[1:]:
+        assert "RLIKE" not in body[:body.index("lambda ")]
