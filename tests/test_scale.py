@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from sitelens.functions import normalise
 from sitelens.operators import fuel, suppliers
 from sitelens.operators.skew import attach
 from sitelens.plans import reports
+from sitelens.session import materialise
 
 
 def _plan(df) -> str:
@@ -83,3 +86,58 @@ def test_fuel_rows_are_parsed_in_compiled_projections(spark):
     assert text.count("RLIKE") > 0 and text.lower().count("as decimal(18,6)") == 1
     for body in text.split("lambdafunction(")[1:]:
         assert "RLIKE" not in body[:body.index("lambda ")]
+
+
+def _exchanges_with(spark, df, column):
+    """Shuffles whose rows carry ``column``, with broadcasts by size off."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    return sum(" Exchange hashpartitioning" in a and f"{column}#" in b for a, b in zip(lines, lines[1:]))
+
+
+def test_texts_travel_to_their_findings_once(spark, monkeypatch):
+    from sitelens.operators import grounding
+    written = []
+    monkeypatch.setattr(grounding, "materialise", lambda df: written.append(df) or materialise(df))
+    incidents = spark.createDataFrame([(1, "A", 2, "dust at the pit"), (1, "A", 2, "other"), (1, "B", None, None)],
+                                      "company_id bigint, id string, severity smallint, description string")
+    findings = spark.createDataFrame(
+        [(1, 0, "A", "dust", 1), (1, 1, "A", "pit", 2), (1, 2, "B", "x", 1), (1, 3, "C", "x", 1), (1, 4, None, "x", 1)],
+        "company_id bigint, seq bigint, incident_id string, evidence_quote string, severity_assessment int")
+    for hot_rows in (1, 1000):
+        verified = grounding.verify_findings(findings, incidents, hot_rows=hot_rows)
+        assert _exchanges_with(spark, written.pop(), "source_text") == 1 and _exchanges_with(spark, verified, "source_text") == 0
+        assert sorted((r.seq, r.reason or "") for r in verified.collect()) == [
+            (0, ""), (0, "quote-not-verbatim"), (1, "duplicate-finding"), (1, "duplicate-finding"),
+            (2, "quote-not-verbatim"), (3, "unknown-incident"), (4, "unknown-incident")]
+
+
+def test_loaded_facts_are_not_written_again(spark, monkeypatch):
+    from registered import registry
+    from sitelens.operators.fuel import FuelResult
+    written = []
+    monkeypatch.setattr(registry, "materialise", lambda df: written.append(df) or df)
+    facts, issues = spark.range(2), spark.range(3)
+    monkeypatch.setattr(registry, "_fuel", lambda spark, d: FuelResult(facts, facts, issues))
+    assert registry._fuel_facts(spark, "nowhere") is facts and written == []
+    assert registry.fuel_tables(spark, "nowhere") == [facts, issues] == registry.fuel_tables(spark, "nowhere")
+    assert written == [issues]
+
+
+def test_register_joins_digests_when_no_filter_reads_texts(spark, monkeypatch):
+    from registered import registry
+    facts = spark.createDataFrame([("a long text",), (None,)], "description string")
+    seen = []
+    monkeypatch.setattr(registry, "incident_tables", lambda spark, d: [facts, None])
+    monkeypatch.setattr(registry, "_as_register", lambda spark, d: None)
+    monkeypatch.setattr(registry.reports, "find_incidents", lambda rows, *more, **filters: seen.append(rows) or rows)
+    digests = [r.description_md5 for r in registry._register_query(spark, "nowhere").collect()]
+    assert digests == [hashlib.md5(b"a long text").hexdigest(), None] == [r.description for r in seen[0].collect()]
+    assert registry._register_query(spark, "nowhere", search="long").collect()[0].description_md5 == digests[0]
+    assert seen[1] is facts
