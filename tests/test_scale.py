@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from sitelens.functions import normalise
-from sitelens.operators import fuel, suppliers
+from sitelens.operators import contracts, fuel, suppliers
 from sitelens.operators.skew import attach
 from sitelens.plans import reports
 from sitelens.session import materialise
@@ -52,6 +52,15 @@ def test_supplier_lists_broadcast_no_sums(spark):
         assert "SortMergeJoin" in _plan(df) and "BroadcastHashJoin" not in _plan(df)
 
 
+def test_contracts_broadcast_no_keys(spark):
+    rows = spark.createDataFrame([(1, 2, None), (1, 3, 2), (1, 4, 9), (2, 5, 2), (2, 6, 6), (2, 5, None)],
+                                 "company_id bigint, source_row_number bigint, duplicate_of_row bigint")
+    broken = contracts.validate(contracts.supplier_checks(rows))
+    assert sorted(map(tuple, broken.collect())) == [
+        ("supplier-not-own-duplicate", 2, "", 1), ("supplier-primary", 1, "9", 1), ("supplier-primary", 2, "2", 1)]
+    assert "SortMergeJoin" in _plan(broken) and "BroadcastHashJoin" not in _plan(broken)
+
+
 def test_quantity_and_amount_are_parsed_once(spark):
     raw = spark.createDataFrame([("1,250.5", "kL", "$-3,000.00")], "quantity string, unit string, cost string")
     parsed = raw.select(normalise.normalise_quantity(F.col("quantity"), F.col("unit")).alias("q"),
