@@ -61,6 +61,16 @@ def test_contracts_broadcast_no_keys(spark):
     assert "SortMergeJoin" in _plan(broken) and "BroadcastHashJoin" not in _plan(broken)
 
 
+def test_invoice_owners_are_not_broadcast(spark):
+    raw = spark.createDataFrame([(1, n, f"INV-{n % 3}") for n in range(6)], "company_id bigint, source_row_number bigint, invoice_no string") \
+        .withColumns({"delivery_date": F.lit("2021-01-05"), "fuel_type": F.lit("Diesel"), "quantity": F.lit("5"), "unit": F.lit("L"),
+                      "cost": F.lit("9"), "site_area": F.lit("")})
+    rows = fuel.classify_rows(raw)
+    assert sorted(r.first_line for r in rows.collect() if r.reject == "duplicate") == [0, 1, 2]
+    # Only hot keys, of which there are none here, are broadcast.
+    assert "SortMergeJoin" in _plan(rows) and _plan(rows).count("BroadcastHashJoin") <= 1
+
+
 def test_quantity_and_amount_are_parsed_once(spark):
     raw = spark.createDataFrame([("1,250.5", "kL", "$-3,000.00")], "quantity string, unit string, cost string")
     parsed = raw.select(normalise.normalise_quantity(F.col("quantity"), F.col("unit")).alias("q"),
