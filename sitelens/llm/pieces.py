@@ -7,8 +7,8 @@ Encoding goes through three steps, each written here from the model's own tables
   of the normalised text it records the byte of the source it came from.
 * ``Pieces.word``: merges by score, then position, of one word (nothing merges
   across the start of a word unless the vocabulary has such a piece; then the
-  whole text is one word). Words repeat, so their pieces are remembered, up to a
-  bound per worker.
+  whole text is one word). Words and their parts repeat, so their pieces are
+  remembered, up to a bound per worker.
 * spans: piece lengths are summed and mapped through the alignment, which
   projects every piece to the bytes of the source text.
 
@@ -167,8 +167,11 @@ class Pieces:
         # Words begin at a run of spaces; a piece with a space inside forbids the cut.
         self.cut = None if inner or self.symbols or self.suffix else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.scores = {piece: score for piece, (score, _) in self.merges.items()}
+        self.sized = {piece: (i, len(piece.encode())) for piece, (_, i) in self.merges.items()}
         self.regular = not self.symbols and UNUSED not in self.kinds
+        self.pairs = {pair for piece in self.merges for pair in zip(piece, piece[1:])}
         self.known = Remembered(self.word)
+        self.parts = Remembered(self.part_ids)
 
     def _short(self, word: str) -> list[str]:
         """Merged symbols of a word, by a scan for the best pair: quicker than an agenda for few symbols."""
@@ -189,13 +192,25 @@ class Pieces:
         return parts
 
     def word_ids(self, word: str) -> list[tuple[int, int]]:
-        """(id, bytes of the normalised text) of every piece of a word."""
+        """(id, bytes of the normalised text) of every piece of a word.
+
+        Nothing merges across two neighbours that no piece holds side by side, so the word is cut
+        there. Its parts (a stem, a full stop and line end) repeat more often than whole words.
+        """
+        pairs = self.pairs
+        cuts = [i for i, pair in enumerate(zip(word, word[1:]), 1) if pair not in pairs] if self.regular else None
+        if not cuts:
+            return self.part_ids(word)
+        return [found for a, b in zip([0, *cuts], [*cuts, len(word)]) for found in self.parts[word[a:b]]]
+
+    def part_ids(self, word: str) -> list[tuple[int, int]]:
+        """``word_ids`` of a word, or part of one, that is merged as a whole."""
         if len(word) <= SHORT and self.regular:
             out = []
             for piece in self._short(word):
-                found = self.merges.get(piece)
+                found = self.sized.get(piece)
                 if found is not None:
-                    out.append((found[1], len(piece.encode())))
+                    out.append(found)
                 elif self.fallback:
                     out.extend((self.byte_ids[x], 1) for x in piece.encode())
                 else:
@@ -268,10 +283,12 @@ class Pieces:
                         else self.unk_surface.encode() if self.kinds[i] == UNKNOWN
                         else self.pieces[i].encode() for i in ids)
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids. Bytes that are no UTF-8 become U+FFFD, one each."""
+    def decode(self, ids: list[int], first: bool = True) -> str:
+        """The text of ids. Bytes that are no UTF-8 become U+FFFD, one each.
+
+        ``first``: the ids begin a text, so a prefix that encoding has put there goes.
+        """
         out, held = [], bytearray()
-        first = True
 
         def flush() -> None:
             at = 0
@@ -311,12 +328,15 @@ class Pieces:
         return "".join(out)
 
     def word(self, word: str) -> tuple[str, int, bytes, bytes]:
-        """(ids joined by commas, how many, piece lengths as 32-bit integers, bytes pieces or not)."""
+        """(ids joined by commas, how many, piece lengths as 32-bit integers, whether they decode to another word).
+
+        Most texts hold some byte pieces, such as line ends. They are decoded here, once a word:
+        the bytes of a character lie in one word, so words that decode to themselves do so side by side.
+        """
         pairs = self.word_ids(word)
-        ids = [i for i, _ in pairs]
-        odd = any(self.kinds[i] in (BYTE, UNKNOWN, CONTROL) for i in ids)
-        return (",".join(map(str, ids)), len(ids), struct.pack(f"<{len(pairs)}I", *[w for _, w in pairs]),
-                b"\x01" if odd else b"")
+        ids, widths = zip(*pairs)
+        odd = "".join(map(self.pieces.__getitem__, ids)) != word and self.decode(ids, False) != word.replace(SPACE, " ")
+        return ",".join(map(str, ids)), len(ids), struct.pack(f"<{len(widths)}I", *widths), odd
 
     def encode(self, data: bytes) -> tuple[str, int, np.ndarray, np.ndarray, str | None]:
         """Ids joined by commas, their number, begin and end byte of each piece in the
@@ -339,15 +359,14 @@ class Pieces:
             if not norm:
                 return "", 0, np.zeros(0, np.int64), np.zeros(0, np.int64), ""
         words = self.cut.findall(norm) if self.cut else [norm]
-        found = list(map(self.known.__getitem__, words))
-        lengths = np.frombuffer(b"".join([f[2] for f in found]), "<u4")
+        ids, counts, widths, odd = zip(*map(self.known.__getitem__, words))
+        lengths = np.frombuffer(b"".join(widths), "<u4")
         ends = np.cumsum(lengths, dtype=np.int64)
         spans = places[np.concatenate([np.zeros(1, np.int64), ends[:-1]])], places[ends]
-        odd = any(f[3] for f in found)
-        return (",".join([f[0] for f in found]), sum([f[1] for f in found]), *spans, None if odd else norm)
+        return ",".join(ids), sum(counts), *spans, None if any(odd) else norm
 
     def decode_joined(self, ids: str, norm: str | None) -> str:
-        """decode(), by way of the normalised text when all pieces are ordinary ones."""
+        """decode(), by way of the normalised text when all its words decode to themselves."""
         if norm is None:
             return self.decode([int(x) for x in ids.split(",")] if ids else [])
         text = norm[1:] if self.dummy and not self.suffix and norm.startswith(SPACE) else norm

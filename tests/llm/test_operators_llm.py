@@ -187,6 +187,41 @@ def test_pieces_equal_the_library(docs, rows):
     assert Counter(tuple(r)[:4] for r in got) == want
 
 
+def test_byte_pieces_are_decoded_once_a_word(monkeypatch):
+    """Line ends and other characters without a piece send no whole text through decode()."""
+    import sentencepiece
+    library = sentencepiece.SentencePieceProcessor(model_proto=model_bytes())
+    coder = pieces.Pieces(model_bytes())
+    asked = []
+    decode = coder.decode
+    monkeypatch.setattr(coder, "decode", lambda ids, *more: asked.append(len(ids)) or decode(ids, *more))
+    for text in ("one\ntwo\n", "\n", " \n ", "a \u2603\n b", "\u2581x \u2581", "\x00\t\ufffd", "\u65e5\u672c\u8a9e\n" * 3, "", " "):
+        ids, n, begins, ends, norm = coder.encode(text.encode())
+        want = library.encode(text)
+        assert ids == ",".join(map(str, want)) and n == len(want)
+        assert coder.decode_joined(ids, norm) == library.decode(want)
+        assert norm is not None
+    asked.clear()
+    text = "one\n two\n " * 50
+    ids, n, _, _, norm = coder.encode(text.encode())
+    assert coder.decode_joined(ids, norm) == text
+    assert sum(asked) < n / 10
+
+
+def test_words_are_merged_part_by_part(monkeypatch):
+    """Words of known parts need no merging of their own, and their pieces stay the library's."""
+    import sentencepiece
+    library = sentencepiece.SentencePieceProcessor(model_proto=model_bytes())
+    coder = pieces.Pieces(model_bytes())
+    words = ["stone", "Water", "naïve", "don't", "x1y2", "a" * 40, "日本", "☃"]
+    for text in (a + gap + b for a in words for b in words for gap in (".\n", "###", ",", "\n\n", "▁")):
+        assert coder.encode(text.encode())[0] == ",".join(map(str, library.encode(text)))
+    merged = []
+    merge = coder.part_ids
+    monkeypatch.setattr(coder.parts, "make", lambda part: merged.append(part) or merge(part))
+    assert coder.encode("\n".join(words * 2).encode())[1] and not merged
+
+
 def test_spans_cover_the_source(docs):
     text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     coder = pieces.load(model_bytes())
