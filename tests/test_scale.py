@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import time
 
 from pyspark.sql import functions as F
 
+from sitelens import session
 from sitelens.functions import normalise
 from sitelens.operators import contracts, fuel, suppliers
 from sitelens.operators.skew import attach
@@ -160,3 +163,47 @@ def test_register_joins_digests_when_no_filter_reads_texts(spark, monkeypatch):
     assert digests == [hashlib.md5(b"a long text").hexdigest(), None] == [r.description for r in seen[0].collect()]
     assert registry._register_query(spark, "nowhere", search="long").collect()[0].description_md5 == digests[0]
     assert seen[1] is facts
+
+
+def _deliveries(spark):
+    return spark.createDataFrame(
+        [(n % 3, n, f"A{n % 7}", "2025-01-05" if n % 5 else "Oct-25", "Diesel", str(n % 4), "kL", "$5,000.00", "Haul Fleet") for n in range(2, 80)],
+        "company_id long, source_row_number long, invoice_no string, delivery_date string, fuel_type string, "
+        "quantity string, unit string, cost string, site_area string")
+
+
+def test_fuel_is_classified_in_slices(spark):
+    whole, written = fuel.clean_fuel(_deliveries(spark)), []
+
+    def stage(df):
+        written.append(materialise(df))
+        return written[-1]
+
+    for hot_rows in (1, 1000):
+        written.clear()
+        parts = fuel.clean_fuel(_deliveries(spark), hot_rows=hot_rows, stage=stage, slice_bytes=1)
+        parsed, *slices, _ = written
+        assert len(slices) == fuel.MOST_SLICES and sum(s.count() for s in slices) == 78
+        # No invoice number is in two of them.
+        assert sum(s.select("company_id", "invoice_no").distinct().count() for s in slices) == 21
+        assert whole.facts.exceptAll(parts.facts).isEmpty() and parts.facts.exceptAll(whole.facts).isEmpty()
+        assert whole.issues.exceptAll(parts.issues).isEmpty() and parts.issues.exceptAll(whole.issues).isEmpty()
+        # Parsed rows go once all are classified; a table that nobody has staged is left alone.
+        assert session.staged_bytes(slices[0]) > 0 and not os.path.exists(parsed._staged)
+        session.discard(whole.facts)
+
+
+def test_a_written_table_leaves_no_shuffle_behind(spark):
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = manager.getAllFiles().mkString(" ").split()
+        return {f for f in files if os.path.basename(f).startswith("shuffle_") and f.endswith(".data")}
+
+    before = shuffles()
+    materialise(spark.range(1000).repartition(5, "id"))
+    deadline = time.time() + 20
+    while shuffles() - before and time.time() < deadline:
+        # What listeners still hold goes with the next table.
+        materialise(spark.range(1))
+    assert not shuffles() - before
