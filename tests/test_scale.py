@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sitelens import session
 from sitelens.functions import normalise
 from sitelens.operators import contracts, fuel, suppliers
+from sitelens.operators.ledger import explode_issues, mark
 from sitelens.operators.skew import attach
 from sitelens.plans import reports
 from sitelens.session import materialise
@@ -207,3 +208,10 @@ def test_a_written_table_leaves_no_shuffle_behind(spark):
         # What listeners still hold goes with the next table.
         materialise(spark.range(1))
     assert not shuffles() - before
+
+
+def test_counts_of_issues_make_no_texts(spark):
+    rows = mark(fuel.classify_rows(_deliveries(spark)), fuel.row_checks())
+    issues = explode_issues(rows, fuel.row_checks())
+    counted = issues.groupBy("company_id", "rule_id").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Works out at" not in counted and "Works out at" in issues._jdf.queryExecution().optimizedPlan().toString()
