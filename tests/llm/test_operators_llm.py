@@ -36,6 +36,27 @@ def test_suffix_array_equals_sorting():
         assert suffixes.suffix_array(d) == sorted(range(len(d)), key=lambda i: d[i:])
 
 
+def test_only_windows_that_may_repeat_are_ordered(monkeypatch):
+    r = random.Random(4)
+
+    def noise(n):
+        return bytes(r.choice(b"abcdefgh") for _ in range(n))
+
+    groups = []
+    for _ in range(40):
+        shared, group = noise(60), {}
+        for _ in range(r.randint(1, 4)):
+            group[noise(r.randint(5, 30)) + (shared if r.random() < 0.5 else noise(60)) + noise(r.randint(0, 20))] = r.randint(1, 99)
+        groups.append(group | {b"a" * 70: 7, b"a" * 55: 3} if r.random() < 0.2 else group)
+    whole, sizes, real = [suffixes.first_owners(g) for g in groups], [], suffixes.first_owners
+    monkeypatch.setattr(suffixes, "first_owners", lambda runs: sizes.append(sum(map(len, runs))) or real(runs))
+    found = suffixes.contested_owners(groups)
+    for group, want, got in zip(groups, whole, found):
+        assert {run: got.get(run, [d] * (len(run) - 49)) for run, d in group.items()} == want
+    assert 0 < sum(sizes) < sum(len(run) for g in groups for run in g) / 1.5
+    assert suffixes.contested_owners([]) == []
+
+
 def brute_repeats(texts, width=50):
     first = {}
     encoded = [(i, t.encode()) for i, t in texts]
