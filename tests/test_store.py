@@ -100,3 +100,28 @@ def test_reports_are_upserted_by_key(spark, tmp_path):
     save_reports(spark, out, frame(report(1, "d1", 3, "newest"), report(1, "d1", 2, "older"), report(3, "d9", 1, "new")))
     got = sorted((r.company_id, r.fact_digest, r.text) for r in Store(spark, out).read("reports").collect())
     assert got == [(1, "d1", "newest"), (1, "d2", "kept"), (2, "d1", "other"), (3, "d9", "new")]
+
+
+def test_rows_of_few_tenants_are_not_shuffled(spark, tmp_path, monkeypatch):
+    store, save, shuffled = Store(spark, str(tmp_path / "set")), Store.save, []
+    monkeypatch.setattr(Store, "save", lambda self, df, *a, **k: shuffled.append(
+        "Rebalance" in df._jdf.queryExecution().optimizedPlan().toString()) or save(self, df, *a, **k))
+    rows = spark.createDataFrame([(t, n) for t in (1, 2) for n in range(3)], "company_id long, n int").repartition(3)
+    for tenants in (2, 17, None):
+        load = store.begin()
+        load.tenants = tenants
+        assert load.write("facts", rows).count() == 6 and load.observed["facts"]["rows"] == 6
+    assert shuffled == [False, True, True]
+
+
+def test_rows_that_are_not_published_are_deleted(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "set"))
+    run(store, [1, 2], "a")
+    load, rows = store.begin(), spark.createDataFrame([(t, n, f"b-{n}") for t in (1, 2) for n in range(3)], "company_id long, n int, tag string")
+    load.tenants = 2
+    load.write("facts", rows)
+    load.publish(spark.createDataFrame([(1,)], "company_id long"), ["facts"])
+    load.drop_unpublished(["facts", "extras"], spark.createDataFrame([(2,)], "company_id long"))
+    at = tmp_path / "set" / "data" / "facts"
+    assert sorted(p.name for p in (at / f"load={load.id}").glob("company_id=*")) == ["company_id=1"]
+    assert sorted(tuple(r) for r in store.read("facts").collect()) == [(1, n, f"b-{n}") for n in range(3)] + [(2, n, f"a-{n}") for n in range(3)]
